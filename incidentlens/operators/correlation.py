@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,53 +12,79 @@ from incidentlens.functions.rules import evidence_strength, is_latency_metric, i
 from incidentlens.operators.ranking import top_n
 from incidentlens.session import epoch_micros, interval
 
+ORDER = ["weight", "seq", "id"]
 
-def first_match(left: DataFrame, right: DataFrame, *, left_time: str, right_time: str,
-                back: float, forward: float, left_order: list[Column], right_order: list[Column],
-                few_requests: bool = False) -> DataFrame:
-    """Per request the first left row with a right row in ``[t - back, t + forward]``, and its
-    first right row: ``(request_id, left_id, right_id)``.
 
-    No pairs are formed to find it. Time is cut into buckets as wide as the window, so a window
-    meets one bucket and the next: it holds a right row exactly when the latest right time of the
-    first bucket or the earliest of the second one lies inside. Two numbers per bucket answer that.
-    Only the one left row chosen per request is then compared with that request's right rows.
-    """
-    width = max(int((back + forward) * 1_000_000), 1)
-
-    def bucket(ts: Column) -> Column:
-        return F.floor(epoch_micros(ts) / F.lit(width).cast("decimal(20,0)")).cast("long")
-
-    at = F.col(right_time)
-    here = F.struct(bucket(at).alias("_bucket"), at.alias("_latest"), F.lit(None).cast("timestamp_ntz").alias("_earliest"))
-    before = F.struct((bucket(at) - 1).alias("_bucket"), F.lit(None).cast("timestamp_ntz").alias("_latest"), at.alias("_earliest"))
-    edges = (
-        right.where(at.isNotNull()).select("request_id", F.inline(F.array(here, before)))
-        .groupBy("request_id", "_bucket")
-        .agg(F.max("_latest").alias("_latest"), F.min("_earliest").alias("_earliest"))
-    )
-    low = F.col(left_time) - interval(back)
-    windows = left.where(F.col(left_time).isNotNull()).withColumns({
-        "_low": low, "_high": F.col(left_time) + interval(forward), "_bucket": bucket(low),
-    })
-    inside = (F.col("_latest") >= F.col("_low")) | (F.col("_earliest") <= F.col("_high"))
-    matched = windows.join(edges, ["request_id", "_bucket"]).where(inside)
-    chosen = top_n(matched, ["request_id"], left_order, 1).select(
-        "request_id", F.col("evidence_id").alias("left_id"), "_low", "_high"
-    )
-    # At most one row per request, so its size is bounded by the counted requests.
-    picked = F.broadcast(chosen) if few_requests else chosen
-    partners = right.join(picked, "request_id").where(at.between(F.col("_low"), F.col("_high")))
-    return top_n(partners, ["request_id"], right_order, 1).select(
-        "request_id", "left_id", F.col("evidence_id").alias("right_id")
-    )
+def first_match(windows: DataFrame, points: DataFrame, few_requests: bool = False) -> DataFrame:
+    """Per (request, rule) the first window that holds a point, and its first point:
+    ``(request_id, rule, left_id, right_id)``.
 
+    ``windows``: request_id, rule, id, low, high, weight, seq; ``points``: request_id, rule, id,
+    at, weight, seq; both ordered by weight, seq, id. All windows of a rule have the same
+    ``width`` in microseconds, given on both sides.
 
-def _candidate(matches: DataFrame, label: str, rule_hit: bool, position: int) -> DataFrame:
-    return matches.select(
-        "request_id", F.lit(position).alias("position"), F.lit(label).alias("label"),
-        F.lit(C.CANDIDATE_TITLES[label]).alias("title"), F.lit(None).cast("string").alias("explanation"),
-        evidence_strength(F.lit(2), F.lit(False), F.lit(rule_hit)).alias("strength"),
+    No pairs are formed to find the window. Time is cut into buckets as wide as the window, so a
+    window meets one bucket and the next: it holds a point exactly when the latest point of the
+    first bucket or the earliest point of the second one lies inside. Two numbers per bucket
+    answer that. Only the one window chosen per request is then compared with its points.
+    """
+    keys = ["request_id", "rule"]
+    spots = points.where("at IS NOT NULL").withColumn("bucket", _bucket("at")).drop("width")
+    edges = spots.selectExpr(
+        *keys, "inline(array(named_struct('bucket', bucket, 'latest', at, 'earliest', CAST(NULL AS TIMESTAMP_NTZ)),"
+        " named_struct('bucket', bucket - 1, 'latest', CAST(NULL AS TIMESTAMP_NTZ), 'earliest', at)))",
+    ).groupBy(*keys, "bucket").agg(F.max("latest").alias("latest"), F.min("earliest").alias("earliest"))
+    dated = windows.where("low IS NOT NULL").withColumn("bucket", _bucket("low"))
+    matched = dated.join(edges, [*keys, "bucket"]).where("latest >= low OR earliest <= high")
+    order = [F.col(c) for c in ORDER]
+    chosen = top_n(matched, keys, order, 1).selectExpr(*keys, "id AS left_id", "low", "high")
+    # At most one row per request and rule, so its size is bounded by the counted requests.
+    picked = F.broadcast(chosen) if few_requests else chosen
+    partners = points.join(picked, keys).where("at BETWEEN low AND high")
+    return top_n(partners, keys, order, 1).selectExpr(*keys, "left_id", "id AS right_id")
+
+
+def _bucket(ts: str) -> Column:
+    return F.floor(epoch_micros(F.col(ts)) / F.col("width").cast("decimal(20,0)")).cast("long")
+
+
+def _micros(seconds: float) -> str:
+    return f"CAST({max(int(seconds * 1_000_000), 1)} AS BIGINT) AS width"
+
+
+def _deploy_parts(changes: DataFrame, clusters: DataFrame, back: float, forward: float) -> tuple[DataFrame, DataFrame]:
+    rule, width = f"'{C.DEPLOYMENT_REGRESSION}' AS rule", _micros(back + forward)
+    windows = changes.where(F.col("type").isin(C.DEPLOYMENT_TYPES)).withColumns({
+        "low": F.col("occurred_at") - interval(back), "high": F.col("occurred_at") + interval(forward),
+    }).selectExpr("request_id", rule, "evidence_id AS id", "low", "high", "0L AS weight", "change_seq AS seq", width)
+    points = clusters.where("spike").selectExpr(
+        "request_id", rule, "evidence_id AS id", "last_seen AS at", "-count AS weight", "cluster_seq AS seq", width)
+    return windows, points
+
+
+def _sql_parts(slow_sql: DataFrame, metrics: DataFrame, rules: dict[str, Column], window: float) -> tuple[DataFrame, DataFrame]:
+    width = _micros(2 * window)
+    windows = slow_sql.withColumns({
+        "low": F.col("first_seen") - interval(window), "high": F.col("first_seen") + interval(window),
+        "rule": F.explode(F.array(*[F.lit(rule) for rule in rules])),
+    }).selectExpr("request_id", "rule", "evidence_id AS id", "low", "high", "-avg_duration_ms AS weight", "sql_seq AS seq", width)
+    fitting = F.filter(F.array(*[F.when(fits, F.lit(rule)) for rule, fits in rules.items()]), lambda r: r.isNotNull())
+    points = metrics.withColumn("rule", F.explode(fitting)).selectExpr(
+        "request_id", "rule", "evidence_id AS id", "observed_at AS at", "0L AS weight", "metric_seq AS seq", width)
+    return windows, points
+
+
+def _candidates(matches: DataFrame) -> DataFrame:
+    """Matches as candidates; a latency correlation gives way to a pool contention."""
+    position = F.when(F.col("rule") == C.DEPLOYMENT_REGRESSION, 1).otherwise(2)
+    placed = matches.withColumn("position", position)
+    latency_last = [F.col("rule") == C.LATENCY_CORRELATION]
+    strongest = top_n(placed, ["request_id", "position"], latency_last, 1)
+    titles = F.create_map(*[F.lit(text) for pair in C.CANDIDATE_TITLES.items() for text in pair])
+    return strongest.select(
+        "request_id", "position", F.col("rule").alias("label"), titles[F.col("rule")].alias("title"),
+        F.lit(None).cast("string").alias("explanation"),
+        evidence_strength(F.lit(2), F.lit(False), F.col("rule") != C.LATENCY_CORRELATION).alias("strength"),
         F.array("left_id", "right_id").alias("evidence_ids"),
     )
 
@@ -65,47 +93,37 @@ def deployment_regression(changes: DataFrame, clusters: DataFrame, *, few_reques
                           back: float = C.DEPLOY_BACKWARD_SECONDS,
                           forward: float = C.DEPLOY_FORWARD_SECONDS) -> DataFrame:
     """First deployment or rollback near the last occurrence of a spiking cluster."""
-    deploys = changes.where(F.col("type").isin(C.DEPLOYMENT_TYPES)).select(
-        "request_id", "evidence_id", "occurred_at", "change_seq")
-    spikes = clusters.where("spike").select("request_id", "evidence_id", "last_seen", "count", "cluster_seq")
-    matches = first_match(
-        deploys, spikes, left_time="occurred_at", right_time="last_seen", back=back, forward=forward,
-        left_order=[F.col("change_seq"), F.col("evidence_id")],
-        right_order=[F.desc("count"), F.col("cluster_seq")], few_requests=few_requests,
-    )
-    return _candidate(matches, C.DEPLOYMENT_REGRESSION, True, 1)
+    return _candidates(first_match(*_deploy_parts(changes, clusters, back, forward), few_requests))
 
 
-def _slow_sql_near(slow_sql: DataFrame, metrics: DataFrame, kind, window: float, few_requests: bool) -> DataFrame:
-    wanted = metrics.where(kind(F.col("metric"))).select("request_id", "evidence_id", "observed_at", "metric_seq")
-    return first_match(
-        slow_sql.select("request_id", "evidence_id", "first_seen", "avg_duration_ms", "sql_seq"), wanted,
-        left_time="first_seen", right_time="observed_at", back=window, forward=window,
-        left_order=[F.desc("avg_duration_ms"), F.col("sql_seq"), F.col("evidence_id")],
-        right_order=[F.col("metric_seq"), F.col("evidence_id")], few_requests=few_requests,
-    )
+def slow_sql_candidates(slow_sql: DataFrame, metrics: DataFrame, *, few_requests: bool = False,
+                        window: float = C.SQL_METRIC_WINDOW_SECONDS) -> DataFrame:
+    """Slowest SQL with a connection-pool anomaly nearby; where a request has none, with a
+    latency anomaly nearby."""
+    return _candidates(first_match(*_sql_parts(slow_sql, metrics, _sql_rules(), window), few_requests))
 
 
-def pool_contention(slow_sql: DataFrame, metrics: DataFrame, *, few_requests: bool = False,
-                    window: float = C.SQL_METRIC_WINDOW_SECONDS) -> DataFrame:
-    """Slowest SQL with a connection-pool anomaly nearby."""
-    matches = _slow_sql_near(slow_sql, metrics, is_pool_metric, window, few_requests)
-    return _candidate(matches, C.POOL_CONTENTION, True, 2)
+def _sql_rules() -> dict[str, Column]:
+    metric = F.col("metric")
+    return {C.POOL_CONTENTION: is_pool_metric(metric), C.LATENCY_CORRELATION: is_latency_metric(metric)}
 
 
-def latency_correlation(slow_sql: DataFrame, metrics: DataFrame, pool: DataFrame, *, few_requests: bool = False,
-                        window: float = C.SQL_METRIC_WINDOW_SECONDS) -> DataFrame:
-    """Slowest SQL with a latency anomaly nearby, for requests without a pool candidate."""
-    matches = _slow_sql_near(slow_sql, metrics, is_latency_metric, window, few_requests)
-    return _candidate(matches.join(pool, "request_id", "left_anti"), C.LATENCY_CORRELATION, False, 2)
+def pool_contention(slow_sql: DataFrame, metrics: DataFrame, **options) -> DataFrame:
+    return slow_sql_candidates(slow_sql, metrics, **options).where(F.col("label") == C.POOL_CONTENTION)
+
+
+def latency_correlation(slow_sql: DataFrame, metrics: DataFrame, **options) -> DataFrame:
+    return slow_sql_candidates(slow_sql, metrics, **options).where(F.col("label") == C.LATENCY_CORRELATION)
 
 
 def rule_candidates(changes: DataFrame, clusters: DataFrame, slow_sql: DataFrame, metrics: DataFrame, *,
                     few_requests: bool = False, deploy_back: float = C.DEPLOY_BACKWARD_SECONDS,
                     deploy_forward: float = C.DEPLOY_FORWARD_SECONDS,
                     sql_window: float = C.SQL_METRIC_WINDOW_SECONDS) -> DataFrame:
-    """At most two candidates per request, in rule order."""
-    deploy = deployment_regression(changes, clusters, few_requests=few_requests, back=deploy_back, forward=deploy_forward)
-    pool = pool_contention(slow_sql, metrics, few_requests=few_requests, window=sql_window)
-    latency = latency_correlation(slow_sql, metrics, pool, few_requests=few_requests, window=sql_window)
-    return deploy.unionByName(pool).unionByName(latency)
+    """At most two candidates per request, in rule order; all rules run in one pass."""
+    parts = [
+        _deploy_parts(changes, clusters, deploy_back, deploy_forward),
+        _sql_parts(slow_sql, metrics, _sql_rules(), sql_window),
+    ]
+    windows, points = (reduce(DataFrame.unionByName, side) for side in zip(*parts))
+    return _candidates(first_match(windows, points, few_requests))

@@ -15,8 +15,9 @@ from incidentlens.schemas import MODEL_OUTPUT_JSON
 
 def ordered_list(order: Column, value: Column, when: Column) -> Column:
     """Values of the rows that meet ``when``, in ``order``; for lists the budget keeps short."""
-    pairs = F.array_sort(F.collect_list(F.when(when, F.struct(order.alias("o"), value.alias("v")))))
-    return F.transform(pairs, lambda p: p["v"])
+    pairs = F.collect_list(F.when(when, F.struct(order.alias("o"), value.alias("v"))))
+    by_order = F.array_sort(pairs, lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
+    return F.transform(by_order, lambda p: p["v"])
 
 
 # --- model contract -----------------------------------------------------------------------------

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentlens.functions.text import not_blank
-from incidentlens.session import broadcast_if_small
 
 
 def lookup_project(df: DataFrame, projects: DataFrame, *columns: str) -> DataFrame:
-    """Left join with the project table; ``_known`` and ``_env_ok`` tell what was found."""
+    """Left join with the project table; ``_known`` and ``_env_ok`` tell what was found.
+
+    No hint: Spark broadcasts the project table when its size, known or measured, is small.
+    """
     known = projects.select(
         "project_id", F.lit(True).alias("_known"), "environments",
         *[F.col(c).alias(f"_{c}") for c in columns],
     )
-    joined = df.join(broadcast_if_small(known), "project_id", "left")
+    joined = df.join(known, "project_id", "left")
     return joined.withColumn(
         "_env_ok", F.coalesce(F.array_contains("environments", F.col("environment")), F.lit(False))
     ).drop("environments")
@@ -25,11 +27,7 @@ def _unregistered() -> Column:
     return F.when(F.col("_known").isNull(), "unknown-project").when(~F.col("_env_ok"), "unknown-environment")
 
 
-def _first_reason(*reasons: Column) -> Column:
-    return F.coalesce(*reasons)
-
-
-def validate_requests(requests: DataFrame, projects: DataFrame) -> DataFrame:
+def validate_requests(requests: DataFrame, projects: DataFrame, *limits: str) -> DataFrame:
     """Every request with ``reject_reason``; null means accepted.
 
     Blank fields come first, then unknown project, unknown environment, an empty or reversed
@@ -40,16 +38,15 @@ def validate_requests(requests: DataFrame, projects: DataFrame) -> DataFrame:
     reversed_range = F.when(F.col("from_ts") >= F.col("to_ts"), "bad-range")
     allowed = F.make_dt_interval(hours=F.col("_max_query_hours"))
     too_long = F.when(F.col("to_ts") - F.col("from_ts") > allowed, "span-too-long")
-    return lookup_project(requests, projects, "max_query_hours").withColumn(
-        "reject_reason", _first_reason(*blank, no_time, _unregistered(), reversed_range, too_long)
-    ).select(*requests.columns, "reject_reason")
+    reason = F.coalesce(*blank, no_time, _unregistered(), reversed_range, too_long)
+    return lookup_project(requests, projects, "max_query_hours", *limits).select(
+        *requests.columns, *[f"_{name}" for name in limits], reason.alias("reject_reason"))
 
 
 def accepted_requests(requests: DataFrame, projects: DataFrame) -> DataFrame:
     """Valid requests only, each with its project's row limit."""
-    limits = projects.select("project_id", F.col("max_results").alias("_limit"))
-    valid = validate_requests(requests, projects).where(F.col("reject_reason").isNull()).drop("reject_reason")
-    return valid.join(broadcast_if_small(limits), "project_id").withColumn("max_results", F.col("_limit")).drop("_limit")
+    checked = validate_requests(requests, projects, "max_results").where(F.col("reject_reason").isNull())
+    return checked.withColumn("max_results", F.col("_max_results")).select(*requests.columns)
 
 
 def validate_changes(changes: DataFrame, projects: DataFrame) -> DataFrame:
@@ -60,6 +57,5 @@ def validate_changes(changes: DataFrame, projects: DataFrame) -> DataFrame:
         F.exists(F.map_values(F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>"))), F.isnull),
         "null-attribute",
     )
-    return lookup_project(changes, projects).withColumn(
-        "reject_reason", _first_reason(*blank, no_time, _unregistered(), null_value)
-    ).select(*changes.columns, "reject_reason")
+    reason = F.coalesce(*blank, no_time, _unregistered(), null_value)
+    return lookup_project(changes, projects).select(*changes.columns, reason.alias("reject_reason"))

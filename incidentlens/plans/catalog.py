@@ -480,9 +480,7 @@ def pool_contention(spark, d):
 
 @query
 def latency_correlation(spark, d):
-    slow_sql, metrics = _slow_sql(spark, d), _metrics(spark, d)
-    pool = J.pool_contention(slow_sql, metrics, window=SETTINGS.sql_window)
-    return _candidates(J.latency_correlation(slow_sql, metrics, pool, window=SETTINGS.sql_window))
+    return _candidates(J.latency_correlation(_slow_sql(spark, d), _metrics(spark, d), window=SETTINGS.sql_window))
 
 
 # --- budget, evidence, timeline -----------------------------------------------------------------

@@ -12,12 +12,12 @@ from incidentlens.operators import budget as B
 from incidentlens.operators import report as P
 from incidentlens.operators.clustering import log_clusters
 from incidentlens.operators.correlation import rule_candidates
-from incidentlens.operators.integrity import resolved_candidates, resolved_timeline
+from incidentlens.operators.integrity import resolved_candidates
 from incidentlens.operators.joins import request_evidence
 from incidentlens.operators.sanitize import redact_questions, sanitize_changes, sanitize_metrics, sanitize_slow_sql
 from incidentlens.operators.timeline import evidence_rows, order_short_timeline, timeline_entries
 from incidentlens.schemas import REQUEST_HEALTH
-from incidentlens.session import materialize, request_scope
+from incidentlens.session import RequestScope, materialize, request_scope
 from incidentlens.sources.database import route_slow_sql
 from incidentlens.sources.evidence import rollup_slow_sql, unavailable_sources
 from incidentlens.sources.logs import kept_level
@@ -99,32 +99,22 @@ def diagnose(requests: DataFrame, evidence: Evidence, settings: Settings = Setti
     """Diagnose accepted requests.
 
     Evidence inside the ranges is computed once and written, since rules, budget, timeline and
-    counts all read it. From the budget on, a request has at most a few dozen rows.
+    counts all read it. From the budget on, a request has at most a few dozen rows. Timeline
+    entries are made from kept evidence only, so each of them resolves.
     """
+    requests = materialize(requests)
     scope = request_scope(requests)
     few = scope.small
     spark = requests.sparkSession
-    health = evidence.health if evidence.health is not None else spark.createDataFrame([], REQUEST_HEALTH)
-    logs = kept_level(evidence.logs)
-    clusters = log_clusters(
-        requests, logs, current_seconds=settings.current_seconds, absolute=settings.spike_absolute,
-        ratio=settings.spike_ratio, capped=evidence.capped_logs, scope=scope)
+    health = spark.createDataFrame([], REQUEST_HEALTH) if evidence.health is None else materialize(evidence.health)
+    clusters = materialize(log_clusters(
+        requests, kept_level(evidence.logs), current_seconds=settings.current_seconds,
+        absolute=settings.spike_absolute, ratio=settings.spike_ratio, capped=evidence.capped_logs, scope=scope))
     metrics = materialize(sanitize_metrics(request_evidence(requests, evidence.metrics, "observed_at", scope)))
     changes = materialize(sanitize_changes(request_evidence(requests, evidence.changes, scope=scope)))
-    if evidence.slow_sql is not None:
-        summaries = evidence.slow_sql
-        if "request_id" not in summaries.columns:
-            summaries = request_evidence(requests, summaries, "first_seen", scope)
-    else:
-        summaries = request_slow_sql(requests, evidence.raw_slow_sql, scope)
-    if database_slow_sql is not None:
-        columns = [c for c in summaries.columns if c in database_slow_sql.columns]
-        summaries = route_slow_sql(projects, database_slow_sql.select(columns), summaries.select(columns))
-    slow_sql = materialize(sanitize_slow_sql(summaries))
+    slow_sql = materialize(sanitize_slow_sql(
+        _slow_sql_rows(requests, evidence, scope, database_slow_sql, projects)))
 
-    rules = rule_candidates(
-        changes, clusters, slow_sql, metrics, few_requests=few, deploy_back=settings.deploy_back,
-        deploy_forward=settings.deploy_forward, sql_window=settings.sql_window)
     caps = settings.caps
     kept = {
         "log_clusters": B.keep_clusters(clusters, caps[0]), "slow_sql": B.keep_slow_sql(slow_sql, caps[1]),
@@ -132,6 +122,9 @@ def diagnose(requests: DataFrame, evidence: Evidence, settings: Settings = Setti
     }
     rows = materialize(evidence_rows(
         kept["log_clusters"], kept["metrics"], kept["slow_sql"], kept["change_events"], health))
+    rules = rule_candidates(
+        changes, clusters, slow_sql, metrics, few_requests=few, deploy_back=settings.deploy_back,
+        deploy_forward=settings.deploy_forward, sql_window=settings.sql_window)
     entries = timeline_entries(
         kept["change_events"], kept["log_clusters"], kept["metrics"], kept["slow_sql"], health)
     unavailable = (
@@ -140,8 +133,21 @@ def diagnose(requests: DataFrame, evidence: Evidence, settings: Settings = Setti
     )
     return Diagnosis(
         requests=requests, clusters=clusters, kept=kept, evidence=rows,
-        timeline=order_short_timeline(resolved_timeline(entries, rows)),
-        candidates=resolved_candidates(rules, rows),
+        timeline=order_short_timeline(entries), candidates=materialize(resolved_candidates(rules, rows)),
         budget=B.budget_report(requests, clusters, slow_sql, metrics, changes, caps),
         unavailable=unavailable, health=health, settings=settings,
     )
+
+
+def _slow_sql_rows(requests: DataFrame, evidence: Evidence, scope: RequestScope,
+                   database_slow_sql: DataFrame | None, projects: DataFrame | None) -> DataFrame:
+    if evidence.slow_sql is None:
+        summaries = request_slow_sql(requests, evidence.raw_slow_sql, scope)
+    elif "request_id" in evidence.slow_sql.columns:
+        summaries = evidence.slow_sql
+    else:
+        summaries = request_evidence(requests, evidence.slow_sql, "first_seen", scope)
+    if database_slow_sql is None:
+        return summaries
+    columns = [c for c in summaries.columns if c in database_slow_sql.columns]
+    return route_slow_sql(projects, database_slow_sql.select(columns), summaries.select(columns))

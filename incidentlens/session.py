@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Session settings the jobs are meant to run with.
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    # Plans are built from many column calls; call sites need not be recorded for each of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+    for key, value in RECOMMENDED.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate data: the cluster's ``spark.checkpoint.dir``.
 

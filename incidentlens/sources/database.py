@@ -81,13 +81,14 @@ def mysql_health(status: DataFrame) -> DataFrame:
     )
 
 
-def pg_health(activity: DataFrame) -> DataFrame:
-    """Active, idle and waiting sessions per snapshot in one pass."""
+def pg_health(activity: DataFrame, threshold: float = C.LONG_TRANSACTION_SECONDS) -> DataFrame:
+    """Active, idle and waiting sessions and long transactions per snapshot in one pass."""
     active = F.col("state") == "active"
     return activity.groupBy("project_id", "environment", "snapshot_id", "captured_at").agg(
         F.count_if(active).alias("active_connections"),
         F.count_if(F.col("state") == "idle").alias("idle_connections"),
         F.count_if(active & F.col("wait_event_type").isNotNull()).alias("waiting_connections"),
+        F.count_if(F.col("captured_at") - F.col("xact_start") > interval(threshold)).alias("long_transactions"),
     )
 
 
@@ -133,17 +134,13 @@ def mysql_lock_waits(waits: DataFrame) -> DataFrame:
     )
 
 
-def with_findings(health: DataFrame, long_transactions: DataFrame, lock_waits: DataFrame) -> DataFrame:
-    """Snapshots with the numbers of their long transactions and lock waits."""
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("snapshot_id").agg(F.count("*").alias(name))
-
-    return (
-        health.join(counted(long_transactions, "long_transactions"), "snapshot_id", "left")
-        .join(counted(lock_waits, "lock_waits"), "snapshot_id", "left")
-        .fillna(0, ["long_transactions", "lock_waits"])
-        .withColumns({"available": F.lit(True), "unavailable_reason": F.lit(None).cast("string")})
-    )
+def with_findings(health: DataFrame, **findings: DataFrame) -> DataFrame:
+    """Snapshots with the numbers of their findings, e.g. ``lock_waits=rows``."""
+    counted = health
+    for name, rows in findings.items():
+        numbers = rows.groupBy("snapshot_id").agg(F.count("*").alias(name))
+        counted = counted.join(numbers, "snapshot_id", "left").fillna(0, [name])
+    return counted.withColumns({"available": F.lit(True), "unavailable_reason": F.lit(None).cast("string")})
 
 
 def health_status(requests: DataFrame, projects: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -155,7 +152,7 @@ def health_status(requests: DataFrame, projects: DataFrame, snapshots: DataFrame
     newest = top_n(snapshots, ["project_id", "environment"], [F.desc("captured_at"), F.col("snapshot_id")], 1, "_no").drop("_no")
     kinds = projects.select("project_id", database_kind(F.col("database_type")).alias("_kind"))
     ranged = requests.select("request_id", "project_id", "environment", "from_ts", "to_ts")
-    joined_rows = ranged.join(broadcast_if_small(kinds), "project_id", "left").join(
+    joined_rows = ranged.join(kinds, "project_id", "left").join(
         newest, ["project_id", "environment"], "left")
     found = F.coalesce("available", F.lit(False))
     product = F.when(F.col("_kind") == "mysql", "MySQL unavailable").otherwise("PostgreSQL unavailable")

@@ -1,11 +1,14 @@
 """The given Parquet tables read as evidence tables.
 
+Each function only declares a plan; plans are kept per session and folder, data is not.
 ``events`` becomes logs, change events, metric anomalies and slow SQL; ``orders`` becomes captured
 database sessions; ``conversations`` becomes stored reports and model answers.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ def _s(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+@lru_cache(maxsize=32)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,11 +39,13 @@ def _scoped(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _scoped(table(spark, sf_dir, "events"), "user_id")
     return raw.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
+@lru_cache(maxsize=32)
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows before the exception class is derived."""
     kind, mod = F.col("event_type"), (F.col("k") % 3)
@@ -63,11 +69,13 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = raw_logs(spark, sf_dir)
     return conform(logs.withColumn("attributes", exception_attributes(F.col("stack_trace"))), LOG_EVENTS)
 
 
+@lru_cache(maxsize=32)
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     mod = F.col("event_id") % 3
     return events(spark, sf_dir).where((F.col("event_type") == "signup") & (F.col("event_id") % 5 == 0)).select(
@@ -81,6 +89,7 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def metric_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     mod = F.col("event_id") % 8
     metric = (
@@ -97,6 +106,7 @@ def metric_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def raw_slow_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).where(F.col("event_type") == "view").select(
         "project_id", "environment",
@@ -106,6 +116,7 @@ def raw_slow_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per project seen in the events, with the sources it uses."""
     number = F.substring("project_id", 5, 9).cast("int")
@@ -123,6 +134,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per project and environment seen in the events."""
     return events(spark, sf_dir).select("project_id", "environment").distinct().select(
@@ -170,6 +182,7 @@ def submitted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def pg_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured database sessions: one snapshot per project, environment and month."""
     month = F.expr("make_timestamp_ntz(year(o_orderdate), month(o_orderdate), 1, 0, 0, 0)")
@@ -187,6 +200,7 @@ def pg_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def pg_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured locks of the same snapshots."""
     return _scoped(table(spark, sf_dir, "orders"), "o_custkey").select(
@@ -317,9 +331,8 @@ def health_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health of every captured session snapshot; one project's database did not answer."""
     from incidentlens.sources import database as D
 
-    activity = pg_activity(spark, sf_dir)
     found = D.with_findings(
-        D.pg_health(activity), D.pg_long_transactions(activity), D.pg_lock_waits(pg_locks(spark, sf_dir)))
+        D.pg_health(pg_activity(spark, sf_dir)), lock_waits=D.pg_lock_waits(pg_locks(spark, sf_dir)))
     return found.withColumn("available", F.col("project_id") != "svc-1")
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from incidentlens import schemas
 from incidentlens.operators.joins import request_evidence
 from incidentlens.operators.ranking import top_n
-from incidentlens.session import broadcast_if_small
 
 ENTITY_SCHEMAS = {
     "log": schemas.LOG_EVENTS, "metric": schemas.METRIC_ANOMALIES, "slow-sql": schemas.SLOW_SQL,
@@ -112,6 +111,5 @@ def source_labels(status: DataFrame) -> DataFrame:
 
 def unavailable_sources(requests: DataFrame, status: DataFrame) -> DataFrame:
     """Sorted labels of unavailable sources per request; as many as there are configured sources."""
-    labels = broadcast_if_small(source_labels(status))
-    return requests.join(labels, ["project_id", "environment"]).groupBy("request_id").agg(
+    return requests.join(source_labels(status), ["project_id", "environment"]).groupBy("request_id").agg(
         F.array_sort(F.collect_list("label")).alias("unavailable_sources"))

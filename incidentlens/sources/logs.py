@@ -13,7 +13,7 @@ from incidentlens.functions.text import exception_attributes
 from incidentlens.operators.joins import request_evidence
 from incidentlens.operators.ranking import top_n
 from incidentlens.schemas import LOG_EVENTS, conform
-from incidentlens.session import broadcast_if_small
+from incidentlens.session import broadcast_if_small, request_scope
 
 _TABLE = re.compile(rf"{C.TABLE_NAME_PART}(?:\.{C.TABLE_NAME_PART})?")
 
@@ -59,12 +59,13 @@ def scan_log_table(requests: DataFrame, table: DataFrame, zone: str = "UTC",
     the comparison is on the stored column and reaches the scan. ``n=None`` keeps every row.
     """
     local = requests.withColumns({c: utc_to_wallclock(F.col(c), zone) for c in ("from_ts", "to_ts")})
-    rows = request_evidence(local, kept_level(table))
+    scope = request_scope(local)
+    rows = request_evidence(local, kept_level(table), scope=scope)
     utc = rows.withColumn("occurred_at", wallclock_to_utc(F.col("occurred_at"), zone)).drop("from_ts", "to_ts")
     if n is not None:
         utc = most_recent(utc, n)
     ranges = requests.select("request_id", "from_ts", "to_ts")
-    with_range = utc.join(broadcast_if_small(ranges), "request_id")
+    with_range = utc.join(F.broadcast(ranges) if scope.small else ranges, "request_id")
     return with_range.withColumn("attributes", exception_attributes(F.col("stack_trace")))
 
 
