@@ -65,7 +65,7 @@ def metrics_in_range(requests: DataFrame, metrics: DataFrame, n: int | None = No
 
 def slow_sql_in_range(requests: DataFrame, slow_sql: DataFrame, n: int | None = None) -> DataFrame:
     rows = request_evidence(requests, slow_sql, "first_seen")
-    return rows if n is None else top_n(rows, ["request_id"], [F.col("sql_seq"), F.col("evidence_id")], n)
+    return rows if n is None else top_n(rows, ["request_id"], [F.col("sql_seq"), F.col("evidence_id"), F.col("first_seen")], n)
 
 
 def changes_in_range(requests: DataFrame, changes: DataFrame) -> DataFrame:
