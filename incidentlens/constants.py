@@ -9,6 +9,10 @@ SECRET_PATTERNS = [
     r"(?<!\d)1[3-9]\d{9}(?!\d)",
     r"(?<!\d)\d{17}[\dXx](?!\d)",
 ]
+# Lower-case words without which the first two patterns, which are slow to search, cannot match.
+SECRET_WORDS = [
+    "bearer", "password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key", "authorization",
+]
 SENSITIVE_KEY = (
     r"(?i)(pass(word|wd)?|pwd|token|secret|api[_-]?key|authorization|credential|access[_-]?key)"
 )

@@ -14,6 +14,8 @@ from incidentlens.operators.ranking import number_rows
 from incidentlens.operators.sanitize import sanitize_logs
 from incidentlens.session import RequestScope, broadcast_if_small, interval, request_scope
 
+#: Request days from which on events are counted per minute for all requests together.
+SHARED_FROM = 1000
 PARTS = ["exception_class", "message_template", "top_stack_frame"]
 
 
@@ -42,21 +44,67 @@ def cluster_parts(logs: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def cluster_counts(rows: DataFrame, current_seconds: float = C.CURRENT_WINDOW_SECONDS) -> DataFrame:
-    """Group request log rows into clusters.
+SHAPE = ["project_id", "environment", *PARTS, "level"]
+RANGE = ["request_id", "from_ts", "to_ts"]
 
-    The first aggregation keeps only fixed-width state, so it hashes and combines inside the map
-    tasks. The second one works on its few result rows, merges equal key texts and takes the
-    parts and the level of the first event.
-    """
+
+def cluster_counts(rows: DataFrame, current_seconds: float = C.CURRENT_WINDOW_SECONDS) -> DataFrame:
+    """Group request log rows into clusters."""
     current = F.col("occurred_at") >= F.col("to_ts") - interval(current_seconds)
-    fine = rows.groupBy(
-        "request_id", "project_id", "environment", "from_ts", "to_ts", *PARTS, "level"
-    ).agg(
+    # Only fixed-width state, so this hashes and combines inside the map tasks.
+    fine = rows.groupBy(*RANGE, *SHAPE).agg(
         F.count_if(current).alias("_current"), F.count_if(~current).alias("_baseline"),
         F.min("occurred_at").alias("_first"), F.max("occurred_at").alias("_last"),
         F.min("arrival_seq").alias("_seq"),
     )
+    return merge_counts(fine)
+
+
+def shared_cluster_counts(requests: DataFrame, parts: DataFrame, scope: RequestScope,
+                          current_seconds: float = C.CURRENT_WINDOW_SECONDS) -> DataFrame:
+    """The same counts when many requests overlap, without repeating every event per request.
+
+    Events are first counted per minute, once for all requests. A request takes whole minutes
+    from these counts. Only the minutes its own bounds cut (range start, range end and start of
+    the current window) are counted from their events.
+    """
+    dated = parts.withColumn("_minute", _minute("occurred_at"))
+    minutes = dated.groupBy("_minute", *SHAPE).agg(
+        F.count("*").alias("_rows"), F.min("occurred_at").alias("_first"),
+        F.max("occurred_at").alias("_last"), F.min("arrival_seq").alias("_seq"),
+    )
+    starts = F.col("to_ts") - interval(current_seconds)
+    opens, closes = F.col("_minute"), F.col("_minute") + interval(60)
+    whole = (
+        (opens >= F.col("from_ts")) & (closes <= F.col("to_ts")) & ((opens >= starts) | (closes <= starts)))
+    inner = request_evidence(requests, minutes, "_minute", scope).where(whole)
+    current = opens >= starts
+    taken = inner.groupBy(*RANGE, *SHAPE).agg(
+        F.sum(F.when(current, F.col("_rows")).otherwise(0)).alias("_current"),
+        F.sum(F.when(current, 0).otherwise(F.col("_rows"))).alias("_baseline"),
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.min("_seq").alias("_seq"),
+    )
+    bounds = F.array(*[_minute(c) for c in ("from_ts", "to_ts", "_starts")])
+    cut = (
+        requests.select("project_id", "environment", *RANGE).withColumn("_starts", starts)
+        .withColumn("_minute", F.explode(F.array_distinct(bounds))).drop("_starts")
+    )
+    edge = dated.join(F.broadcast(cut) if scope.small else cut, ["project_id", "environment", "_minute"]).where(
+        F.col("occurred_at").between(F.col("from_ts"), F.col("to_ts")) & ~whole)
+    at_current = F.col("occurred_at") >= starts
+    edges = edge.groupBy(*RANGE, *SHAPE).agg(
+        F.count_if(at_current).alias("_current"), F.count_if(~at_current).alias("_baseline"),
+        F.min("occurred_at").alias("_first"), F.max("occurred_at").alias("_last"), F.min("arrival_seq").alias("_seq"),
+    )
+    return merge_counts(taken.unionByName(edges))
+
+
+def _minute(ts: str) -> Column:
+    return F.expr(f"{ts} - make_dt_interval(0, 0, 0, extract(SECOND FROM {ts}))")
+
+
+def merge_counts(fine: DataFrame) -> DataFrame:
+    """Counts per parts and level merged by key text; parts and level come from the first event."""
     keyed = fine.withColumn(
         "cluster_key", cluster_key(F.col("project_id"), F.col("environment"), *[F.col(p) for p in PARTS])
     )
@@ -70,20 +118,24 @@ def cluster_counts(rows: DataFrame, current_seconds: float = C.CURRENT_WINDOW_SE
 
 def log_clusters(requests: DataFrame, logs: DataFrame, *, current_seconds: float = C.CURRENT_WINDOW_SECONDS,
                  absolute: int = C.SPIKE_ABSOLUTE, ratio: float = C.SPIKE_RATIO,
-                 capped: DataFrame | None = None, scope: RequestScope | None = None) -> DataFrame:
+                 capped: DataFrame | None = None, scope: RequestScope | None = None,
+                 shared: bool | None = None) -> DataFrame:
     """Clusters of every request with their ``log-N`` ids in first-encounter order.
 
     Log text is sanitized and normalized once per event, before requests that overlap multiply
     it. ``capped`` replaces the join with rows already limited per request (parity with a source
-    that stops at its row limit).
+    that stops at its row limit). With many requests, or when ``shared`` asks for it, events are
+    counted per minute once for all requests.
     """
     if capped is not None:
-        rows = cluster_parts(capped, "request_id", "from_ts", "to_ts")
+        counted = cluster_counts(cluster_parts(capped, *RANGE), current_seconds)
     else:
         scope = scope or request_scope(requests)
         parts = cluster_parts(wanted_evidence(requests, logs, scope=scope))
-        rows = request_evidence(requests, parts, scope=scope)
-    counted = cluster_counts(rows, current_seconds)
+        if scope.rows > SHARED_FROM if shared is None else shared:
+            counted = shared_cluster_counts(requests, parts, scope, current_seconds)
+        else:
+            counted = cluster_counts(request_evidence(requests, parts, scope=scope), current_seconds)
     has_baseline = F.col("to_ts") - F.col("from_ts") > interval(current_seconds)
     flagged = counted.select(
         "request_id", "project_id", "environment", "cluster_key", "_head.*",

@@ -57,12 +57,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
     """True when ``df`` has at most ``rows`` rows; counting stops just above the bound."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only after a row count; otherwise the join stays a shuffle join."""
     return F.broadcast(df) if is_small(df, rows) else df
 

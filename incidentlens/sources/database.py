@@ -24,9 +24,19 @@ def database_kind(database_type: Column) -> Column:
 
 
 def _ranked_statements(requests: DataFrame, statements: DataFrame, n: int | Column, source: str) -> DataFrame:
-    asked = broadcast_if_small(requests.select("request_id", "project_id", "environment", "from_ts", "max_results"))
-    rows = statements.where(F.col("sql_template").isNotNull()).join(asked, ["project_id", "environment"])
-    ranked = top_n(rows, ["request_id"], [F.desc("_avg"), F.col("sql_template")], n)
+    """Statements are ranked once per project and environment, down to the largest limit any of
+    its requests has, and only the winners meet the requests."""
+    place = ["project_id", "environment"]
+    limit = n if isinstance(n, Column) else F.lit(n)
+    asked = requests.select("request_id", *place, "from_ts", limit.cast("int").alias("_n"))
+    known = statements.where(F.col("sql_template").isNotNull())
+    order = [F.desc("_avg"), F.col("sql_template")]
+    if isinstance(n, int):
+        winners = top_n(known, place, order, n)
+    else:
+        limits = asked.groupBy(*place).agg(F.max("_n").alias("_most"))
+        winners = top_n(known.join(limits, place), place, order, F.col("_most")).drop("_most")
+    ranked = winners.join(asked, place).where(F.col("rank_no") <= F.col("_n"))
     return ranked.select(
         "request_id", F.concat(F.lit("dbsql-"), F.col("rank_no").cast("string")).alias("evidence_id"),
         "project_id", "environment", "sql_template", "occurrences",

@@ -161,3 +161,21 @@ def test_number_rows_with_a_hot_group(spark, keys):
     assert len(rows) == 5000
     for members in groups.values():
         assert [n for _, n in sorted(members)] == list(range(1, len(members) + 1))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_shared_minutes_and_shuffle_joins_change_nothing(spark, monkeypatch, broadcast):
+    """Counting per minute for all requests, and joining without a broadcast, give equal clusters."""
+    rng = random.Random(5)
+    logs = frame(spark, S.LOG_EVENTS, [
+        log(-rng.random() * 300 if i % 3 else -10 - rng.random() / 30, i, message=f"kind {rng.choice('ab')}", level=rng.choice(["WARN", "ERROR"]))
+        for i in range(400)])
+    requests = frame(spark, S.REQUESTS, [
+        request(request_id=f"r{i}", from_ts=at(-300 + 7.3 * i), to_ts=at(-10 * (i % 3) - i * 0.013)) for i in range(12)])
+    columns = ["request_id", "evidence_id", "cluster_key", "level", "count", "baseline_count", "spike", "first_seen", "last_seen", "first_seq"]
+    plain = {tuple(r) for r in K.log_clusters(requests, logs, shared=False).select(columns).collect()}
+    if not broadcast:
+        monkeypatch.setattr("incidentlens.session.BROADCAST_ROWS", 0)
+    shared = {tuple(r) for r in K.log_clusters(requests, logs, shared=True).select(columns).collect()}
+    direct = {tuple(r) for r in K.log_clusters(requests, logs, shared=False).select(columns).collect()}
+    assert shared == plain and direct == plain and len(plain) >= 24
