@@ -148,15 +148,17 @@ def log_clusters(requests: DataFrame, logs: DataFrame, *, current_seconds: float
 
 
 def attach_samples(clusters: DataFrame, logs: DataFrame) -> DataFrame:
-    """Add the sanitized first event of every cluster, read back by its arrival number."""
+    """Add the sanitized first event of every cluster, read back by its arrival number.
+
+    Logs that were limited per request carry their ``request_id`` and are looked up with it.
+    """
+    key = ["project_id", "environment", "arrival_seq", *(["request_id"] if "request_id" in logs.columns else [])]
     firsts = clusters.select(
         "request_id", "project_id", "environment", "cluster_key", F.col("first_seq").alias("arrival_seq")
     )
-    wanted = firsts.select("project_id", "environment", "arrival_seq").distinct()
-    rows = logs.join(broadcast_if_small(wanted), ["project_id", "environment", "arrival_seq"], "left_semi")
+    rows = logs.join(broadcast_if_small(firsts.select(key).distinct()), key, "left_semi")
     samples = sanitize_logs(rows).select(
-        "project_id", "environment", "arrival_seq",
-        F.struct("occurred_at", "level", "logger", "trace_id", "message", "stack_trace", "attributes").alias("sample"),
+        *key, F.struct("occurred_at", "level", "logger", "trace_id", "message", "stack_trace", "attributes").alias("sample"),
     )
-    found = firsts.join(samples, ["project_id", "environment", "arrival_seq"]).select("request_id", "cluster_key", "sample")
+    found = firsts.join(samples, key).select("request_id", "cluster_key", "sample")
     return clusters.join(found, ["request_id", "cluster_key"], "left")

@@ -17,7 +17,7 @@ from incidentlens.operators.joins import request_evidence
 from incidentlens.operators.sanitize import redact_questions, sanitize_changes, sanitize_metrics, sanitize_slow_sql
 from incidentlens.operators.timeline import evidence_rows, order_short_timeline, timeline_entries
 from incidentlens.schemas import REQUEST_HEALTH
-from incidentlens.session import RequestScope, materialize, request_scope
+from incidentlens.session import RequestScope, materialize, materialize_all, request_scope
 from incidentlens.sources.database import route_slow_sql
 from incidentlens.sources.evidence import rollup_slow_sql, unavailable_sources
 from incidentlens.sources.logs import kept_level
@@ -106,25 +106,26 @@ def diagnose(requests: DataFrame, evidence: Evidence, settings: Settings = Setti
     scope = request_scope(requests)
     few = scope.small
     spark = requests.sparkSession
-    health = spark.createDataFrame([], REQUEST_HEALTH) if evidence.health is None else materialize(evidence.health)
-    clusters = materialize(log_clusters(
-        requests, kept_level(evidence.logs), current_seconds=settings.current_seconds,
-        absolute=settings.spike_absolute, ratio=settings.spike_ratio, capped=evidence.capped_logs, scope=scope))
-    metrics = materialize(sanitize_metrics(request_evidence(requests, evidence.metrics, "observed_at", scope)))
-    changes = materialize(sanitize_changes(request_evidence(requests, evidence.changes, scope=scope)))
-    slow_sql = materialize(sanitize_slow_sql(
-        _slow_sql_rows(requests, evidence, scope, database_slow_sql, projects)))
-
+    health, clusters, metrics, changes, slow_sql = materialize_all(
+        lambda: spark.createDataFrame([], REQUEST_HEALTH) if evidence.health is None else evidence.health,
+        lambda: log_clusters(
+            requests, kept_level(evidence.logs), current_seconds=settings.current_seconds,
+            absolute=settings.spike_absolute, ratio=settings.spike_ratio, capped=evidence.capped_logs, scope=scope),
+        lambda: sanitize_metrics(request_evidence(requests, evidence.metrics, "observed_at", scope)),
+        lambda: sanitize_changes(request_evidence(requests, evidence.changes, scope=scope)),
+        lambda: sanitize_slow_sql(_slow_sql_rows(requests, evidence, scope, database_slow_sql, projects)),
+    )
     caps = settings.caps
     kept = {
         "log_clusters": B.keep_clusters(clusters, caps[0]), "slow_sql": B.keep_slow_sql(slow_sql, caps[1]),
         "metrics": B.keep_metrics(metrics, caps[2]), "change_events": B.keep_changes(changes, caps[3]),
     }
-    rows = materialize(evidence_rows(
-        kept["log_clusters"], kept["metrics"], kept["slow_sql"], kept["change_events"], health))
-    rules = rule_candidates(
-        changes, clusters, slow_sql, metrics, few_requests=few, deploy_back=settings.deploy_back,
-        deploy_forward=settings.deploy_forward, sql_window=settings.sql_window)
+    rows, rules = materialize_all(
+        lambda: evidence_rows(kept["log_clusters"], kept["metrics"], kept["slow_sql"], kept["change_events"], health),
+        lambda: rule_candidates(
+            changes, clusters, slow_sql, metrics, few_requests=few, deploy_back=settings.deploy_back,
+            deploy_forward=settings.deploy_forward, sql_window=settings.sql_window),
+    )
     entries = timeline_entries(
         kept["change_events"], kept["log_clusters"], kept["metrics"], kept["slow_sql"], health)
     unavailable = (

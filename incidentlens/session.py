@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_all(*builders: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Materialize independent tables at the same time, so that their jobs share the cluster."""
+    session = SparkSession.getActiveSession()
+
+    def build(builder: Callable[[], DataFrame]) -> DataFrame:
+        return materialize(builder())
+
+    with ThreadPoolExecutor(len(builders)) as pool:
+        return list(pool.map(inheritable_thread_target(session)(build), builders))
+
+
 def is_small(df: DataFrame, rows: int | None = None) -> bool:
     """True when ``df`` has at most ``rows`` rows; counting stops just above the bound."""
     rows = BROADCAST_ROWS if rows is None else rows

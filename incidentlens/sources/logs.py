@@ -51,6 +51,22 @@ def first_arrived(rows: DataFrame, n, seq_col: str = "arrival_seq") -> DataFrame
     return top_n(rows, ["request_id"], [F.col(seq_col)], n)
 
 
+def capped_logs(requests: DataFrame, logs: DataFrame, source_type: str = "mock",
+                n=None) -> DataFrame:
+    """Log rows per request as a source with a row limit delivers them, for exact parity.
+
+    The limit (``max_results`` of each request unless ``n`` is given) applies before clustering,
+    so counts saturate. Arrival follows the source: list order for ``mock``, rising time for text
+    files, falling time for tables; text files and tables keep the newest rows.
+    """
+    limit = F.col("max_results") if n is None else n
+    if source_type == "mock":
+        return first_arrived(request_evidence(requests, logs), limit)
+    rows = request_evidence(requests, kept_level(logs, exact=source_type == "local-file"))
+    place = F.col("rank_no").cast("long")
+    return most_recent(rows, limit).withColumn("arrival_seq", -place if source_type == "local-file" else place)
+
+
 def scan_log_table(requests: DataFrame, table: DataFrame, zone: str = "UTC",
                    n=C.DEFAULT_MAX_RESULTS) -> DataFrame:
     """Newest WARN/ERROR rows of a log table per request, in UTC, with the exception class.

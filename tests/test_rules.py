@@ -179,3 +179,17 @@ def test_shared_minutes_and_shuffle_joins_change_nothing(spark, monkeypatch, bro
     shared = {tuple(r) for r in K.log_clusters(requests, logs, shared=True).select(columns).collect()}
     direct = {tuple(r) for r in K.log_clusters(requests, logs, shared=False).select(columns).collect()}
     assert shared == plain and direct == plain and len(plain) >= 24
+
+
+@pytest.mark.parametrize("source,expected", [
+    ("mock", ["log-1 b", "log-2 a"]), ("local-file", ["log-1 b", "log-2 c"]), ("jdbc", ["log-1 c", "log-2 b"])])
+def test_row_limit_and_arrival_of_each_source(spark, source, expected):
+    """Which rows stay under a limit, and which cluster is met first, depend on the source."""
+    from incidentlens.sources.logs import capped_logs
+
+    requests = frame(spark, S.REQUESTS, [request(max_results=2)])
+    logs = frame(spark, S.LOG_EVENTS, [log(-20, 1, message="b"), log(-30, 2, message="a"), log(-10, 3, message="c")])
+    capped = capped_logs(requests, logs, source)
+    found = K.attach_samples(K.log_clusters(requests, logs, capped=capped), capped).orderBy("cluster_seq").collect()
+    assert [f"{c['evidence_id']} {c['message_template']}" for c in found] == expected
+    assert [c["sample"]["message"] for c in found] == [c["message_template"] for c in found]
