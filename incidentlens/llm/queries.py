@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from incidentlens.llm.fingerprints import op3_fingerprints
-from incidentlens.llm.licenses import op7_license_scan
-from incidentlens.llm.secrets import op6_secret_scan
-from incidentlens.llm.url_filter import ORACLE as URL_SQL
-from incidentlens.llm.url_filter import op9_url_filter
+import corpus_pipeline
+from incidentlens.llm import decontaminate, fingerprints, html_extract, licenses, line_dedup, minhash, pieces, secrets, toxicity, url_filter
 
 QUERIES = {
-    "op3_fingerprints": op3_fingerprints,
-    "op6_secret_scan": op6_secret_scan,
-    "op7_license_scan": op7_license_scan,
-    "op9_url_filter": op9_url_filter,
+    "op1_html_extract": html_extract.op1_html_extract,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_minhash": minhash.op4_minhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_piece_sampling": pieces.op8_piece_sampling,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
+#: The others train, sample, parse or build on positions that SQL does not give; the tests hold them against brute force.
 SQL = {
-    "op9_url_filter": URL_SQL,
+    "op4_minhash": minhash.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -88,16 +88,16 @@ def gaps_and_matches(kind: Kind, text: Column, lowered: Column) -> Column:
         "array<struct<kind:string,gap:int,size:int,value:bigint>>"))
 
 
-def find_candidates(docs: DataFrame, kinds: list[Kind], key: str, repo: str, owner: str, text: str) -> DataFrame:
+def find_candidates(docs: DataFrame, kinds: list[Kind], key: str, repo: str, owner: str, text: str, extra: list[str]) -> DataFrame:
     """One row per input row with its candidates, without its text, written once."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(repo).alias("_repo"), F.col(owner).alias("_owner"),
-        F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        F.coalesce(F.col(text), F.lit("")).alias("_text"), *extra,
     ).withColumn("_lowered", F.lower("_text"))
     found = F.concat(*[
         F.transform(gaps_and_matches(k, F.col("_text"), F.col("_lowered")), lambda x, p: x.withField("place", p)) for k in kinds
     ])
-    return materialize(rows.select("_row", "_key", "_repo", "_owner", found.alias("_found")))
+    return materialize(rows.select("_row", "_key", "_repo", "_owner", *extra, found.alias("_found")))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, key: str = "doc_id", repo: str = "source", owner: str = "source", text: str = "text",
-    kinds: list[Kind] | None = None, base: int = len(BASE), example_owners: int = EXAMPLE_OWNERS,
+    kinds: list[Kind] | None = None, base: int = len(BASE), example_owners: int = EXAMPLE_OWNERS, extra: list[str] | None = None,
 ) -> DataFrame:
     """Key and ``found`` of every row: its spans by start, then kind as listed.
 
@@ -126,7 +126,8 @@ def scan_secrets(
     for number, kind in enumerate(kinds):
         rank = F.when(F.col("kind") == kind.name, number).otherwise(rank)
     specific = [k.name for k in kinds if k.owner_specific]
-    rows = find_candidates(docs, kinds, key, repo, owner, text)
+    extra = extra or []
+    rows = find_candidates(docs, kinds, key, repo, owner, text, extra)
     upto = Window.partitionBy("_row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     spans = (
         rows.where(F.size("_found") > 0).select("_row", "_repo", "_owner", F.inline("_found"))
@@ -145,8 +146,21 @@ def scan_secrets(
         F.col("_fixed"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     of_row = of_row.withColumn("_fixed", fixed).select("_row", kept.alias("found"))
     none = F.array().cast("array<struct<start:bigint,_rank:int,kind:string,end:bigint,copies:bigint,repositories:bigint,owners:bigint,standing:string>>")
-    return rows.select("_row", F.col("_key").alias(key)).join(of_row, "_row", "left").select(
-        key, F.coalesce("found", none).alias("found"))
+    return rows.select("_row", F.col("_key").alias(key), *extra).join(of_row, "_row", "left").select(
+        key, *extra, F.coalesce("found", none).alias("found"))
+
+
+def without_live_secrets(docs: DataFrame, key: str = "doc_id", repo: str = "source", owner: str = "source", text: str = "text") -> DataFrame:
+    """The rows without a live-looking credential, with all their columns.
+
+    Values of digits only (card and telephone numbers match ``hex``) are no credentials, so they drop nothing.
+    """
+    kinds = [Kind("hex", r"(?<![0-9a-f])(?=[0-9]*[a-f])[0-9a-f]{16,}", gate=r"[0-9a-f]{16}") if k.name == "hex" else k for k in BASE + OWN]
+    found = scan_secrets(docs.withColumn("_digest", F.xxhash64(text)), key, repo, owner, text, kinds, extra=["_digest"])
+    live = found.where(F.exists("found", lambda x: x["standing"] == "live")).select(
+        F.col(key).alias("_key"), F.col("_digest").alias("_hash")).distinct()
+    same = F.col(f"d.{key}").eqNullSafe(F.col("l._key")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("l._hash"))
+    return docs.alias("d").join(live.alias("l"), same, "left_anti")
 
 
 def span_text(spans: Column) -> Column:
