@@ -5,7 +5,7 @@ full score, so a passage's score is the share (0 to 1) of the item's BM25 weight
 serves short and long items. All items at or above the threshold are retrieved: posting lists are cut into blocks with
 their largest weights, and blocks whose sum cannot reach the threshold are skipped unread. A passage is skipped as a whole when its words'
 largest weights together stay below the threshold. Retrieved items are verified: the passage must hold enough
-of the question's five-word shingles and of the answer's words. The question is an item's text up to its last sentence, which is
+of the question's and of the answer's words in their order (longest common subsequence). The question is an item's text up to its last sentence, which is
 the answer; an item of one sentence is split before its last quarter.
 
 Passages are windows of twice the longest item's words, moved by that length, so any copy of an item lies in one whole.
@@ -33,8 +33,7 @@ from incidentlens.llm.common import read_table
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight from which it is retrieved, and what verification asks of question and answer.
-THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.5, 0.5
-SHINGLE_WORDS = 5
+THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.75, 0.5
 BLOCK_ITEMS = 64
 #: Items of one index hold at most about so many characters; more items make more shards.
 SHARD_CHARS = 8_000_000
@@ -47,8 +46,17 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def shingles_of(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i:i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))} if words else set()
+def common_in_order(part: list[str], passage: list[str]) -> int:
+    """Length of the longest common subsequence of words, one bit for each word of ``part``."""
+    places: dict[str, int] = {}
+    for n, word in enumerate(part):
+        places[word] = places.get(word, 0) | 1 << n
+    full = (1 << len(part)) - 1
+    row = full
+    for word in passage:
+        hit = row & places.get(word, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(part) - row.bit_count()
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -88,9 +96,8 @@ class Index:
             full = sum(weight.values())
             for w, x in weight.items():
                 lists.setdefault(w, []).append((number, x / full))
-            question, answer = question_and_answer(text)
             self.ids.append(item_id)
-            self.parts.append((shingles_of(question), Counter(answer)))
+            self.parts.append(question_and_answer(text))
             self.longest = max(self.longest, len(words))
         self.term = {w: n for n, w in enumerate(lists)}
         self.numbers = [[n for n, _ in x] for x in lists.values()]
@@ -145,17 +152,9 @@ class Index:
             cursors[: pivot + 1] = kept
         return found
 
-    def overlap(self, number: int, words: list[str], shingles: set) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's words that a passage holds."""
-        question, answer = self.parts[number]
-        size = sum(answer.values())
-        if question and len(next(iter(question))) < SHINGLE_WORDS:
-            held = Counter(words)
-            short = next(iter(question))
-            share = sum(w in held for w in short) / len(short)
-        else:
-            share = len(question & shingles) / len(question) if question else 1.0
-        return share, sum((answer & Counter(words)).values()) / size if size else 1.0
+    def overlap(self, number: int, passage: list[str]) -> tuple[float, float]:
+        """Shares of the question's and of the answer's words that a passage holds in order."""
+        return tuple(common_in_order(p, passage) / len(p) if p else 1.0 for p in self.parts[number])
 
     def matches(self, text: str | None, threshold: float, question: float, answer: float) -> dict[int, tuple[float, float, float, int]]:
         """Best verified passage of every item: score, question and answer share, and its first word."""
@@ -176,11 +175,8 @@ class Index:
             query = [int(t) for t in np.unique(terms[start:end]) if t != other]
             if self.bound[query].sum() < threshold - 1e-6:
                 continue
-            shingles = None
             for number, score in self.search(query, threshold):
-                passage = words[start:end]
-                shingles = shingles_of(passage) if shingles is None else shingles
-                q, a = self.overlap(number, passage, shingles)
+                q, a = self.overlap(number, words[start:end])
                 if q >= question - 1e-9 and a >= answer - 1e-9:
                     best[number] = max(best.get(number, (0.0,)), (score, q, a, -int(start)))
         return best

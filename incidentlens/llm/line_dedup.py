@@ -121,7 +121,7 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
   FROM documents),
 units AS (
-  SELECT doc_id, place, line, n, len(list_filter(string_split(n, ' '), w -> w <> '')) AS words,
+  SELECT doc_id, place, line, n, len(list_filter(string_split(n, ' '), lambda w: w <> '')) AS words,
     (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place))::BIGINT - length(line) - 1 AS start
   FROM (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g')) AS n FROM lines)),
 ranked AS (

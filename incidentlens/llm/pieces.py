@@ -191,7 +191,7 @@ class Lattice:
         count = np.zeros(len(node), dtype=np.int64)
         active, here, taken, step = np.arange(len(node)), node, [], 0
         while len(active):
-            draw = mix64(key[active] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            draw = mix64(key[active] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
             u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
             edge, last = self.first[here], self.last[here]
             more = np.flatnonzero((u >= self.share[edge]) & (edge < last))

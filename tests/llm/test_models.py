@@ -67,9 +67,8 @@ def test_toxicity_query_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     true = sum(s >= 0.3 and y for s, y in held)
-    # a fourth of the labelled toxic texts hold no insult, so recall has a ceiling
-    assert true / sum(s >= 0.3 for s, _ in held) > 0.9
-    assert true / sum(y for _, y in held) > 0.6
+    assert true / sum(s >= 0.3 for s, _ in held) > 0.85
+    assert true / sum(y for _, y in held) > 0.85
 
 
 def test_toxicity_edges(spark):
@@ -119,9 +118,9 @@ def test_decontamination_query_equals_brute_force(spark):
     lowered = {d: " ".join(B.words_of(t)) for d, t in docs.items()}
     exact = {(d, i) for i, t in items for d, x in lowered.items() if " ".join(B.words_of(t)) in x}
     assert exact <= found
-    for d, i in found - exact:  # what is no exact copy still shares most of the question's shingles
+    for d, i in found - exact:  # what is no exact copy still holds most of the question in order
         question, _ = B.question_and_answer(dict(items)[i])
-        assert len(B.shingles_of(question) & B.shingles_of(B.words_of(docs[d]))) >= 0.5 * len(B.shingles_of(question))
+        assert _common(question, B.words_of(docs[d])) >= 0.75 * len(question)
 
 
 def test_decontamination_edges(spark):
