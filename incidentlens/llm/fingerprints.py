@@ -36,24 +36,35 @@ ANCHORS = (
 SIMILARITY = 0.75
 
 
-def _marked(text: Column) -> Column:
-    """Each word after a space; each anchor before a word turned into one mark."""
-    words = F.concat(F.regexp_replace(F.concat(F.lit(" "), F.lower(text)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
-    return F.regexp_replace(words, f" (?:{'|'.join(sorted(set(ANCHORS)))})(?= )", "\x01")
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words by shared beginnings, so that a text word is tried against one branch only."""
+    branches: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        branches.setdefault(word[:1], []).append(word[1:])
+    ends = "" in branches
+    inner = "|".join(c + _any_of(rest) for c, rest in branches.items() if c)
+    return "" if not inner else f"(?:{inner})" + ("?+" if ends else "")
 
 
-def signatures(text: Column) -> Column:
-    """The sorted distinct signatures of a text (32-bit hashes)."""
-    marked = _marked(text)
+def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the sorted distinct signatures (32-bit hashes) of a text column.
+
+    Every step is a column of its own, so that no step is computed twice.
+    """
     word = "[^ \x01]+"
     chain = f"( {word}(?:\x01* {word}){{0,{CHAIN - 1}}})"
-    spots = F.regexp_extract_all(marked, F.lit(f"\x01(?={chain})"), F.lit(1))
-    every = F.regexp_extract_all(marked, F.lit(f"(?={chain})"), F.lit(1))
-    found = F.when(F.contains(marked, F.lit("\x01")), spots).otherwise(F.array().cast("array<string>"))
-    found = F.when(F.size(found) > 0, found).otherwise(every)
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(text))
-    hashed = F.transform(found, lambda s: F.hash(F.replace(s, F.lit("\x01"), F.lit(""))))
-    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(hashed)))
+    spaced = F.concat(F.regexp_replace(F.concat(F.lit(" "), F.lower(text)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
+    spots = F.regexp_extract_all(F.col("_marked"), F.lit(f"\x01(?={chain})"), F.lit(1))
+    every = F.regexp_extract_all(F.col("_marked"), F.lit(f"(?={chain})"), F.lit(1))
+    hashed = F.transform("_found", lambda s: F.hash(F.replace(s, F.lit("\x01"), F.lit(""))))
+    return (
+        rows.withColumn("_marked", F.regexp_replace(spaced, f" {_any_of(ANCHORS)}(?= )", "\x01"))
+        .withColumn("_found", spots)
+        .withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(every))
+        .withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).when(F.col(text) != "", F.array(text))
+                    .otherwise(F.array().cast("array<string>")))
+        .withColumn(out, F.array_sort(F.array_distinct(hashed))).drop("_marked", "_found")
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,7 +102,7 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns(
         {"_hash": F.xxhash64("_text"), "_chars": F.length("_text")})
     order = neighbours(rows).select(F.col("_id").alias("_key"), F.col("_hash").alias("_digest"), "_before_id", "_before_hash", "_before_chars")
-    signed = rows.withColumn("_signs", signatures(F.col("_text")))
+    signed = with_signatures(rows, "_text", "_signs")
     placed = signed.join(order, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_digest")))
     following = placed.select(
         F.col("_before_id").alias("_key"), F.col("_before_hash").alias("_digest"),
@@ -100,9 +111,9 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     own = placed.drop("_key", "_digest", "_before_id", "_before_hash", "_before_chars")
     joined = own.join(following, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_digest")))
     edited = F.concat(F.expr("left(_text, _chars - int(_chars / 2))"), F.col("_next"))
-    return joined.select(
+    return with_signatures(joined.select(
         F.col("_id").alias(key), F.col("_chars").cast("long").alias("n_chars"), "_signs", "_next_signs", edited.alias("_edited"),
-    ).withColumn("_edited_signs", signatures(F.col("_edited")))
+    ), "_edited", "_edited_signs")
 
 
 def length_partition(size: Column, threshold: float = SIMILARITY) -> Column:
@@ -116,7 +127,7 @@ def similar_documents(docs: DataFrame, threshold: float = SIMILARITY, key: str =
     Documents of one fingerprint are one class, so copies form no pairs. A set of ``n`` signatures is found through its
     first ``n - ceil(threshold * n) + 1`` ones, rarest in the corpus first, in its own and the next length partition.
     """
-    signed = docs.select(F.col(key).alias("id"), signatures(F.coalesce(F.col(text), F.lit(""))).alias("signs"))
+    signed = with_signatures(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", "signs").drop("_text")
     classes = materialize(signed.groupBy("signs").agg(F.min("id").alias("id")).where(F.size("signs") > 0))
     spread = classes.select("id", F.explode("signs").alias("sign"))
     counts = spread.groupBy("sign").agg(F.count("*").alias("n"))
