@@ -14,8 +14,6 @@ from incidentlens.operators.ranking import number_rows
 from incidentlens.operators.sanitize import sanitize_logs
 from incidentlens.session import RequestScope, broadcast_if_small, interval, request_scope
 
-#: Request days from which on events are counted per minute for all requests together.
-SHARED_FROM = 1000
 PARTS = ["exception_class", "message_template", "top_stack_frame"]
 
 
@@ -118,24 +116,19 @@ def merge_counts(fine: DataFrame) -> DataFrame:
 
 def log_clusters(requests: DataFrame, logs: DataFrame, *, current_seconds: float = C.CURRENT_WINDOW_SECONDS,
                  absolute: int = C.SPIKE_ABSOLUTE, ratio: float = C.SPIKE_RATIO,
-                 capped: DataFrame | None = None, scope: RequestScope | None = None,
-                 shared: bool | None = None) -> DataFrame:
+                 capped: DataFrame | None = None, scope: RequestScope | None = None) -> DataFrame:
     """Clusters of every request with their ``log-N`` ids in first-encounter order.
 
     Log text is sanitized and normalized once per event, before requests that overlap multiply
     it. ``capped`` replaces the join with rows already limited per request (parity with a source
-    that stops at its row limit). With many requests, or when ``shared`` asks for it, events are
-    counted per minute once for all requests.
+    that stops at its row limit); otherwise events are counted per minute once for all requests.
     """
     if capped is not None:
         counted = cluster_counts(cluster_parts(capped, *RANGE), current_seconds)
     else:
         scope = scope or request_scope(requests)
         parts = cluster_parts(wanted_evidence(requests, logs, scope=scope))
-        if scope.rows > SHARED_FROM if shared is None else shared:
-            counted = shared_cluster_counts(requests, parts, scope, current_seconds)
-        else:
-            counted = cluster_counts(request_evidence(requests, parts, scope=scope), current_seconds)
+        counted = shared_cluster_counts(requests, parts, scope, current_seconds)
     has_baseline = F.col("to_ts") - F.col("from_ts") > interval(current_seconds)
     flagged = counted.select(
         "request_id", "project_id", "environment", "cluster_key", "_head.*",

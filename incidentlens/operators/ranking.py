@@ -7,31 +7,29 @@ from pyspark.sql import functions as F
 
 from incidentlens.session import materialize
 
-#: Largest n that Spark's own per-task group limit is trusted with.
-GROUP_LIMIT = 1000
-SALTS = 64
 
 
-def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int | Column, rank: str = "rank_no") -> DataFrame:
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int | Column, rank: str = "rank_no",
+          most: int | None = None) -> DataFrame:
     """The first ``n`` rows of every group in ``order``, numbered from 1.
 
-    For a small constant ``n`` Spark cuts each group to ``n`` rows in every task before the
-    shuffle. Otherwise each group is first ranked in salted parts, so that a hot group is spread
-    over many tasks and only the parts' winners meet.
+    Every task first cuts its part of a group to the largest ``n`` of all rows, so that at most
+    that many rows per task and group are shuffled; each row's own ``n`` is applied to the final
+    rank. ``most`` is that largest ``n`` where the caller knows it (``largest`` of a small table);
+    without it the rows themselves are asked.
     """
+    if isinstance(n, int):
+        most = n
+    elif most is None:
+        most = largest(df, n)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    if isinstance(n, int) and n <= GROUP_LIMIT:
-        return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n)
-    limit = n if isinstance(n, Column) else F.lit(n)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_inputs(order, df)), F.lit(SALTS)))
-    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    winners = salted.withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= limit).drop("_salt")
-    return winners.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= limit)
-
-
-def order_inputs(order: list[Column], df: DataFrame) -> list[Column]:
-    """Columns to derive the salt from: every column that can be hashed."""
-    return [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    ranked = df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= F.lit(most))
+    return ranked if isinstance(n, int) else ranked.where(F.col(rank) <= n)
+
+
+def largest(df: DataFrame, n: Column) -> int:
+    """The largest limit of any row; 0 for an empty table."""
+    return df.agg(F.max(n).cast("int").alias("n")).first()["n"] or 0
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[Column], out: str = "row_no") -> DataFrame:

@@ -20,6 +20,7 @@ from incidentlens.operators import sanitize as Z
 from incidentlens.operators import timeline as T
 from incidentlens.operators import validation as A
 from incidentlens.operators.joins import request_evidence
+from incidentlens.operators.ranking import largest
 from incidentlens.plans.diagnose import Diagnosis, Evidence, Settings, diagnose, request_slow_sql
 from incidentlens.session import scratch_path
 from incidentlens.sources import database as D
@@ -168,7 +169,7 @@ def zone_shift(spark, d):
 
 @query
 def scan_log_table(spark, d):
-    rows = S.scan_log_table(E.requests(spark, d), E.raw_logs(spark, d), "Asia/Shanghai", 25)
+    rows = S.scan_log_table(E.requests(spark, d), E.raw_logs(spark, d), "Asia/Shanghai")
     return rows.select(
         "request_id", "occurred_at", "level", "trace_id", "message", "stack_trace",
         F.col("attributes")["exceptionClass"].alias("exception_class"), F.col("rank_no").cast("long").alias("rank_no"))
@@ -200,7 +201,8 @@ def recent_logs(spark, d):
     rows = request_evidence(
         E.requests(spark, d),
         S.kept_level(E.raw_logs(spark, d)).select("project_id", "environment", "occurred_at", "arrival_seq"))
-    return S.most_recent(rows, F.col("max_results")).select(
+    limit = F.col("max_results")
+    return S.most_recent(rows, limit, most=largest(E.requests(spark, d), limit)).select(
         "request_id", "occurred_at", "arrival_seq", F.col("rank_no").cast("long").alias("rank_no"))
 
 
@@ -258,12 +260,12 @@ _DIGEST = ["request_id", "evidence_id", "sql_template", "occurrences", "avg_dura
 
 @query
 def mysql_digest(spark, d):
-    return D.mysql_digest(E.requests(spark, d), E.mysql_digests(spark, d), 25).select(_DIGEST)
+    return D.mysql_digest(E.requests(spark, d), E.mysql_digests(spark, d)).select(_DIGEST)
 
 
 @query
 def pg_statements(spark, d):
-    return D.pg_statements(E.requests(spark, d), E.pg_statements(spark, d), F.col("max_results")).select(_DIGEST)
+    return D.pg_statements(E.requests(spark, d), E.pg_statements(spark, d)).select(_DIGEST)
 
 
 @query
@@ -326,7 +328,7 @@ def report_find(spark, d):
 
 @query
 def report_history(spark, d):
-    return O.report_history(E.stored_reports(spark, d), project_id="svc-2", environment=" ", limit=500)
+    return O.report_history(E.stored_reports(spark, d), project_id="svc-2", environment=" ", limit=10)
 
 
 # --- text functions over whole columns ----------------------------------------------------------

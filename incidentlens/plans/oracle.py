@@ -50,12 +50,15 @@ lg AS (SELECT project_id, environment, ts AS occurred_at, event_id AS arrival_se
     || CASE k % 3 WHEN 0 THEN 'NullPointer' WHEN 1 THEN 'IllegalState' ELSE 'IllegalArgument' END
     || 'Exception: k=' || k || chr(10) || chr(9) || 'at com.example.S' || (k % 3) || '.run(S.java:' || event_id || ')' END AS stack_trace
   FROM ev),
-rq AS (SELECT DISTINCT 'req-' || project_id || '-' || environment AS request_id, project_id, environment,
-  {_FROM} AS from_ts, {_TO} AS to_ts FROM ev),
+span AS (SELECT project_id, environment, CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) AS low, CAST(CAST(max(ts) AS DATE) AS TIMESTAMP) AS high FROM ev GROUP BY ALL),
+rq AS (SELECT 'req-' || project_id || '-' || environment || '-' || strftime(day, '%Y%m%d') || '-' || hours || 'h' AS request_id, project_id, environment,
+  day + to_hours(shift) AS from_ts, day + to_hours(shift + hours) AS to_ts, day(day) % 3 * 15 + 10 AS max_results FROM (
+    SELECT project_id, environment, 48 AS hours, 0 AS shift, unnest(generate_series(low, high, INTERVAL 2 DAY)) AS day FROM span
+    UNION ALL SELECT project_id, environment, 20, 5, unnest(generate_series(low, high, INTERVAL 6 DAY)) FROM span)),
 chg AS (SELECT 'event-' || event_id AS evidence_id, project_id, environment, event_id AS change_seq, ts AS occurred_at,
   CASE event_id % 3 WHEN 0 THEN 'DEPLOYMENT' WHEN 1 THEN 'ROLLBACK' ELSE 'CONFIG_CHANGE' END AS type,
   '{{password=***, version=v' || k || '}}' AS attributes
-  FROM ev WHERE event_type = 'signup' AND event_id % 5 = 0),
+  FROM ev WHERE event_type = 'signup'),
 met AS (SELECT 'metric-' || event_id AS evidence_id, project_id, environment, event_id AS metric_seq, ts AS observed_at, value,
   CASE event_id % 8 WHEN 0 THEN 'db_pool_pending_connections' WHEN 1 THEN 'http_p95_seconds'
     WHEN 2 THEN 'request_latency_ms' ELSE 'cpu_usage_percent' END AS metric
@@ -64,10 +67,10 @@ raw_sql AS (SELECT project_id, environment, 'select * from t_' || (user_id % 3)
   CAST(round(value * 10) AS BIGINT) AS duration_ms, ts AS occurred_at FROM ev WHERE event_type = 'view'),
 prj AS (SELECT project_id, list(DISTINCT environment) AS environments, substr(project_id, 5) AS number FROM ev GROUP BY project_id),
 dbs AS (SELECT project_id, CASE number WHEN '1' THEN 'mysql' WHEN '2' THEN 'postgresql' WHEN '4' THEN 'mysql' END AS kind FROM prj),
-sess AS (SELECT *, project_id || '/' || environment || '/' || strftime(month, '%Y-%m') AS snapshot_id,
+sess AS (SELECT *, project_id || '/' || environment || '/' || strftime(month - INTERVAL 26 YEAR, '%Y-%m') AS snapshot_id,
     month + INTERVAL 60 SECOND AS captured_at,
     CASE WHEN pid % 7 <> 0 THEN month + to_seconds(pid % 61) END AS xact_start
-  FROM (SELECT {_SCOPE.format('o_custkey')}, o_orderkey AS pid, date_trunc('month', o_orderdate)::TIMESTAMP AS month,
+  FROM (SELECT {_SCOPE.format('o_custkey')}, o_orderkey AS pid, date_trunc('month', o_orderdate)::TIMESTAMP + INTERVAL 26 YEAR AS month,
     CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'idle' ELSE 'idle in transaction' END AS state,
     o_orderpriority AS priority, o_orderstatus <> 'P' AS granted FROM orders)),
 snap AS (SELECT project_id, environment, snapshot_id, captured_at,
@@ -76,6 +79,13 @@ snap AS (SELECT project_id, environment, snapshot_id, captured_at,
   count(*) FILTER (captured_at - xact_start > INTERVAL 30 SECOND) AS long_transactions,
   count(*) FILTER (NOT granted) AS lock_waits
   FROM sess GROUP BY ALL),
+mysnap AS (SELECT project_id, environment, snapshot_id, captured_at, running AS active_connections, greatest(0, connected - running) AS idle_connections,
+  CAST(0 AS BIGINT) AS waiting_connections, CAST(0 AS BIGINT) AS long_transactions, CAST(0 AS BIGINT) AS lock_waits
+  FROM (SELECT project_id, environment, snapshot_id, captured_at, coalesce(max(v) FILTER (n = 1), 0) AS running, coalesce(max(v) FILTER (n = 0), 0) AS connected
+  FROM (SELECT project_id, environment, project_id || '/' || environment || '/' || strftime(ts, '%Y-%m-%d') AS snapshot_id,
+    date_trunc('day', ts)::TIMESTAMP AS captured_at, event_id % 4 AS n, CAST(k AS BIGINT) AS v FROM ev WHERE k % 10 <> 3)
+  GROUP BY project_id, environment, snapshot_id, captured_at)),
+own_snap AS (SELECT * FROM snap WHERE project_id = 'svc-2' UNION ALL SELECT * FROM mysnap WHERE project_id IN ('svc-1', 'svc-4')),
 health AS (SELECT r.request_id, s.snapshot_id, r.to_ts,
     coalesce(s.project_id <> 'svc-1', false) AS available,
     CASE WHEN coalesce(s.project_id <> 'svc-1', false) THEN NULL WHEN d.kind = 'mysql' THEN 'MySQL unavailable'
@@ -86,14 +96,14 @@ health AS (SELECT r.request_id, s.snapshot_id, r.to_ts,
     CASE WHEN s.project_id <> 'svc-1' THEN long_transactions ELSE 0 END AS long_transactions,
     CASE WHEN s.project_id <> 'svc-1' THEN lock_waits ELSE 0 END AS lock_waits
   FROM rq r JOIN dbs d ON d.project_id = r.project_id AND d.kind IS NOT NULL
-  LEFT JOIN (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY project_id, environment ORDER BY captured_at DESC) = 1) s
-    ON s.project_id = r.project_id AND s.environment = r.environment),
-rl AS (SELECT r.request_id, r.from_ts, r.to_ts, l.* FROM lg l JOIN rq r ON l.project_id = r.project_id
+  LEFT JOIN own_snap s ON s.project_id = r.project_id AND s.environment = r.environment AND s.captured_at <= r.to_ts
+  QUALIFY row_number() OVER (PARTITION BY r.request_id ORDER BY s.captured_at DESC NULLS LAST) = 1),
+rl AS (SELECT r.request_id, r.from_ts, r.to_ts, r.max_results, l.* FROM lg l JOIN rq r ON l.project_id = r.project_id
   AND l.environment = r.environment AND l.occurred_at BETWEEN r.from_ts AND r.to_ts),
 kl AS (SELECT * FROM rl WHERE upper(level) IN ('WARN', 'ERROR')),
-parts AS (SELECT request_id, project_id, environment, occurred_at, arrival_seq, level, to_ts, message, trace_id,
+parts AS (SELECT request_id, project_id, environment, occurred_at, arrival_seq, level, from_ts, to_ts, message, trace_id,
   {_EXC} AS exception_class, {normalize('message')} AS message_template, {_FRAME} AS top_stack_frame FROM kl),
-clu0 AS (SELECT request_id, project_id, environment, exception_class, message_template, top_stack_frame,
+clu0 AS (SELECT request_id, project_id, environment, to_ts - from_ts > INTERVAL 1 DAY AS has_baseline, exception_class, message_template, top_stack_frame,
     project_id || '|' || environment || '|' || coalesce(exception_class, 'null') || '|'
       || coalesce(message_template, 'null') || '|' || coalesce(top_stack_frame, 'null') AS cluster_key,
     count(*) AS count, count(*) FILTER (occurred_at >= to_ts - INTERVAL 1 DAY) AS current_count,
@@ -103,7 +113,7 @@ clu0 AS (SELECT request_id, project_id, environment, exception_class, message_te
   FROM parts GROUP BY ALL),
 clu AS (SELECT *, 'log-' || cluster_seq AS evidence_id FROM (SELECT *,
   row_number() OVER (PARTITION BY request_id ORDER BY first_seq) AS cluster_seq,
-  current_count >= 5 AND current_count >= baseline_count * 1.2::DOUBLE AS spike FROM clu0)),
+  current_count >= 5 AND (NOT has_baseline OR current_count >= baseline_count * 1.2::DOUBLE) AS spike FROM clu0)),
 rc AS (SELECT r.request_id, c.* FROM chg c JOIN rq r ON c.project_id = r.project_id AND c.environment = r.environment
   AND c.occurred_at BETWEEN r.from_ts AND r.to_ts),
 rm AS (SELECT r.request_id, m.*, metric || ' rose for *** ***' AS description FROM met m JOIN rq r ON m.project_id = r.project_id
@@ -166,7 +176,7 @@ digest AS (SELECT project_id, environment, CASE WHEN event_type <> 'signup' THEN
   count(*) AS occurrences, CAST((sum(CAST(round(value * 100) AS BIGINT))::BIGINT * 100000000) // count(*) AS DOUBLE) / 1e9 AS avg_ms,
   CAST(max(CAST(round(value * 100) AS BIGINT)) * 100000000 AS DOUBLE) / 1e9 AS max_ms
   FROM ev GROUP BY project_id, environment, event_type, k % 20),
-ranked AS (SELECT r.request_id, d.project_id, 'dbsql-' || n AS evidence_id, n, sql_template, occurrences,
+ranked AS (SELECT r.request_id, d.project_id, 'dbsql-' || n AS evidence_id, n, sql_template, occurrences, r.max_results,
     CAST(floor(avg_ms + 0.5) AS BIGINT) AS avg_duration_ms, CAST(floor(max_ms + 0.5) AS BIGINT) AS max_duration_ms, r.from_ts AS first_seen
   FROM (SELECT *, row_number() OVER (PARTITION BY project_id, environment ORDER BY avg_ms DESC, sql_template) AS n
     FROM digest WHERE sql_template IS NOT NULL) d JOIN rq r ON r.project_id = d.project_id AND r.environment = d.environment),
@@ -232,7 +242,7 @@ _FIRST_HEAD = _LINES.replace("{head}", "n = 1")
 
 _STAMP = "strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%g')"
 _CANDIDATE_ROWS = "SELECT request_id, label, title, strength, id_1 || ';' || id_2 AS evidence_ids FROM "
-_DIGEST = "SELECT request_id, evidence_id, sql_template, occurrences, avg_duration_ms, max_duration_ms, first_seen, '{0}' AS source FROM ranked WHERE n <= 25"
+_DIGEST = "SELECT request_id, evidence_id, sql_template, occurrences, avg_duration_ms, max_duration_ms, first_seen, '{0}' AS source FROM ranked WHERE n <= max_results"
 
 _ACTIONS = """CASE label WHEN 'deployment-regression' THEN '核对发布版本对应的提交,定位空值处理改动。;人工评估是否回滚到上一个稳定版本。'
   WHEN 'slow-sql-pool-contention' THEN '人工运行 EXPLAIN 评估该 SQL 模板的索引情况。;检查连接池容量与慢查询是否需要分离读负载。'
@@ -295,10 +305,10 @@ def _queries() -> dict[str, tuple[str, str]]:
       FROM (SELECT arrival_seq, date_trunc('milliseconds', occurred_at)::TIMESTAMP AS ms FROM lg)""")
     add("zone_shift", "SELECT arrival_seq, occurred_at + INTERVAL 5 HOUR AS utc, occurred_at + INTERVAL 8 HOUR AS wallclock FROM lg")
     add("scan_log_table", f"""SELECT request_id, utc AS occurred_at, level, trace_id, message, stack_trace, {_EXC} AS exception_class, rank_no FROM (
-      SELECT r.request_id, l.*, l.occurred_at - INTERVAL 8 HOUR AS utc,
+      SELECT r.request_id, r.max_results, l.*, l.occurred_at - INTERVAL 8 HOUR AS utc,
         row_number() OVER (PARTITION BY r.request_id ORDER BY l.occurred_at DESC, arrival_seq) AS rank_no
       FROM lg l JOIN rq r ON l.project_id = r.project_id AND l.environment = r.environment
-        AND l.occurred_at - INTERVAL 8 HOUR BETWEEN r.from_ts AND r.to_ts WHERE upper(level) IN ('WARN', 'ERROR')) WHERE rank_no <= 25""")
+        AND l.occurred_at - INTERVAL 8 HOUR BETWEEN r.from_ts AND r.to_ts WHERE upper(level) IN ('WARN', 'ERROR')) WHERE rank_no <= max_results""")
     add("route_log_sources", """SELECT l.project_id, environment, arrival_seq, level,
       CASE number WHEN '1' THEN 'local-file' WHEN '2' THEN 'jdbc' ELSE 'mock' END AS source_type FROM lg l JOIN prj p ON p.project_id = l.project_id
       WHERE number IN ('0', '3') OR (number = '1' AND level IN ('WARN', 'ERROR')) OR (number = '2' AND upper(level) IN ('WARN', 'ERROR'))""")
@@ -306,8 +316,8 @@ def _queries() -> dict[str, tuple[str, str]]:
       UNION ALL SELECT arrival_seq, level, 'file' FROM lg WHERE level IN ('WARN', 'ERROR')""")
     add("logs_first_n", """SELECT request_id, arrival_seq, rank_no FROM (SELECT request_id, arrival_seq,
       row_number() OVER (PARTITION BY request_id ORDER BY arrival_seq) AS rank_no FROM rl) WHERE rank_no <= 25""")
-    add("recent_logs", """SELECT request_id, occurred_at, arrival_seq, rank_no FROM (SELECT request_id, occurred_at, arrival_seq,
-      row_number() OVER (PARTITION BY request_id ORDER BY occurred_at DESC, arrival_seq) AS rank_no FROM kl) WHERE rank_no <= 25""")
+    add("recent_logs", """SELECT request_id, occurred_at, arrival_seq, rank_no FROM (SELECT request_id, occurred_at, arrival_seq, max_results,
+      row_number() OVER (PARTITION BY request_id ORDER BY occurred_at DESC, arrival_seq) AS rank_no FROM kl) WHERE rank_no <= max_results""")
     add("request_evidence", "SELECT request_id, arrival_seq, occurred_at FROM rl")
     add("metrics_in_range", """SELECT request_id, evidence_id, metric, observed_at, value AS baseline_value, rank_no FROM (SELECT *,
       row_number() OVER (PARTITION BY request_id ORDER BY metric_seq) AS rank_no FROM rm) WHERE rank_no <= 10""")
@@ -330,11 +340,8 @@ def _queries() -> dict[str, tuple[str, str]]:
       FROM ranked r JOIN dbs d ON d.project_id = r.project_id WHERE kind IS NOT NULL AND n <= 10
       UNION ALL SELECT r.project_id, request_id, evidence_id, sql_template, occurrences, avg_duration_ms, max_duration_ms, 'log'
       FROM rs r JOIN dbs d ON d.project_id = r.project_id WHERE kind IS NULL""")
-    add("mysql_health", """SELECT project_id, environment, snapshot_id, running AS active_connections, greatest(0, connected - running) AS idle_connections,
-      CAST(0 AS BIGINT) AS waiting_connections FROM (SELECT project_id, environment, snapshot_id, coalesce(max(v) FILTER (n = 1), 0) AS running,
-        coalesce(max(v) FILTER (n = 0), 0) AS connected
-      FROM (SELECT project_id, environment, project_id || '/' || environment || '/' || strftime(ts, '%Y-%m-%d') AS snapshot_id,
-        event_id % 4 AS n, CAST(k AS BIGINT) AS v FROM ev WHERE k % 10 <> 3) GROUP BY project_id, environment, snapshot_id)""")
+    add("mysql_health", """SELECT project_id, environment, snapshot_id, captured_at, active_connections, idle_connections, waiting_connections,
+      long_transactions FROM mysnap""")
     add("pg_health", """SELECT project_id, environment, snapshot_id, captured_at, active_connections, idle_connections, waiting_connections,
       long_transactions FROM snap""")
     add("long_transactions", """SELECT snapshot_id, 'postgresql' AS engine, 'pid=' || pid || ' age=' || CASE WHEN pid % 61 = 0 THEN '00:01:00' ELSE '00:00:' || lpad(CAST(60 - pid % 61 AS VARCHAR), 2, '0') END
@@ -353,7 +360,7 @@ def _queries() -> dict[str, tuple[str, str]]:
     add("report_history", """SELECT json_extract_string(report_json, '$.diagnosisId') AS diagnosis_id, json_extract_string(report_json, '$.projectId') AS project_id,
       json_extract_string(report_json, '$.environment') AS environment, created_at, json_extract_string(report_json, '$.summary') AS summary,
       json_extract_string(report_json, '$.ruleFallback') = 'true' AS rule_fallback
-      FROM (SELECT * FROM latest WHERE project_id = 'svc-2' ORDER BY created_at DESC, diagnosis_id DESC LIMIT 200) WHERE json_valid(report_json)""")
+      FROM (SELECT * FROM latest WHERE project_id = 'svc-2' ORDER BY created_at DESC, diagnosis_id DESC LIMIT 10) WHERE json_valid(report_json)""")
     add("redact_documents", f"SELECT doc_id, {redact('text')} AS text FROM documents")
     add("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '…' ELSE text END AS text FROM documents")
     add("limit_stack", """SELECT doc_id, CASE WHEN len(string_split(rtrim(text, chr(10)), chr(10))) > 12

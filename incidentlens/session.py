@@ -20,6 +20,8 @@ BROADCAST_ROWS = 200_000
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Groups are cut to their limit in every task before the shuffle, whatever the limit is.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.sql.session.timeZone": "UTC",
     # Plans are built from many column calls; call sites need not be recorded for each of them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

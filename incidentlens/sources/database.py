@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from incidentlens import constants as C
 from incidentlens.functions.rules import joined
 from incidentlens.functions.text import not_blank, redact
-from incidentlens.operators.ranking import top_n
+from incidentlens.operators.ranking import largest, top_n
 from incidentlens.session import broadcast_if_small, interval
 
 
@@ -23,11 +23,12 @@ def database_kind(database_type: Column) -> Column:
     return F.when(not_blank(database_type), known)
 
 
-def _ranked_statements(requests: DataFrame, statements: DataFrame, n: int | Column, source: str) -> DataFrame:
+def _ranked_statements(requests: DataFrame, statements: DataFrame, n: int | str, source: str) -> DataFrame:
     """Statements are ranked once per project and environment, down to the largest limit any of
-    its requests has, and only the winners meet the requests."""
+    its requests has, and only the winners meet the requests. ``n`` is a number or the request's
+    column that holds it."""
     place = ["project_id", "environment"]
-    limit = n if isinstance(n, Column) else F.lit(n)
+    limit = F.col(n) if isinstance(n, str) else F.lit(n)
     asked = requests.select("request_id", *place, "from_ts", limit.cast("int").alias("_n"))
     known = statements.where(F.col("sql_template").isNotNull())
     order = [F.desc("_avg"), F.col("sql_template")]
@@ -35,7 +36,8 @@ def _ranked_statements(requests: DataFrame, statements: DataFrame, n: int | Colu
         winners = top_n(known, place, order, n)
     else:
         limits = asked.groupBy(*place).agg(F.max("_n").alias("_most"))
-        winners = top_n(known.join(limits, place), place, order, F.col("_most")).drop("_most")
+        winners = top_n(
+            known.join(limits, place), place, order, F.col("_most"), most=largest(asked, F.col("_n"))).drop("_most")
     ranked = winners.join(asked, place).where(F.col("rank_no") <= F.col("_n"))
     return ranked.select(
         "request_id", F.concat(F.lit("dbsql-"), F.col("rank_no").cast("string")).alias("evidence_id"),
@@ -46,7 +48,7 @@ def _ranked_statements(requests: DataFrame, statements: DataFrame, n: int | Colu
     )
 
 
-def mysql_digest(requests: DataFrame, digests: DataFrame, n: int | Column = C.DEFAULT_MAX_RESULTS) -> DataFrame:
+def mysql_digest(requests: DataFrame, digests: DataFrame, n: int | str = "max_results") -> DataFrame:
     """Slowest statement digests per request; durations come in picoseconds. No time filter."""
     rows = digests.select(
         "project_id", "environment", F.col("digest_text").alias("sql_template"),
@@ -56,7 +58,7 @@ def mysql_digest(requests: DataFrame, digests: DataFrame, n: int | Column = C.DE
     return _ranked_statements(requests, rows, n, "mysql-digest")
 
 
-def pg_statements(requests: DataFrame, statements: DataFrame, n: int | Column = C.DEFAULT_MAX_RESULTS) -> DataFrame:
+def pg_statements(requests: DataFrame, statements: DataFrame, n: int | str = "max_results") -> DataFrame:
     """The same from statement statistics that are already in milliseconds."""
     rows = statements.select(
         "project_id", "environment", F.col("query").alias("sql_template"), F.col("calls").alias("occurrences"),
@@ -77,17 +79,17 @@ def route_slow_sql(projects: DataFrame, database_rows: DataFrame, fallback_rows:
 def mysql_health(status: DataFrame) -> DataFrame:
     """Connections per snapshot from server status values; only all-digit values count."""
     numeric = status.where(F.col("value").rlike(r"\A[0-9]+\z")).select(
-        "project_id", "environment", "snapshot_id", F.lower("name").alias("name"), F.col("value").cast("long").alias("value"))
+        "project_id", "environment", "snapshot_id", "captured_at", F.lower("name").alias("name"), F.col("value").cast("long").alias("value"))
 
     def value_of(name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("name") == name, F.col("value"))), F.lit(0))
 
-    counted = numeric.groupBy("project_id", "environment", "snapshot_id").agg(
+    counted = numeric.groupBy("project_id", "environment", "snapshot_id", "captured_at").agg(
         value_of("threads_running").alias("active_connections"), value_of("threads_connected").alias("_connected"))
     return counted.select(
-        "project_id", "environment", "snapshot_id", "active_connections",
+        "project_id", "environment", "snapshot_id", "captured_at", "active_connections",
         F.greatest(F.lit(0).cast("long"), F.col("_connected") - F.col("active_connections")).alias("idle_connections"),
-        F.lit(0).cast("long").alias("waiting_connections"),
+        F.lit(0).cast("long").alias("waiting_connections"), F.lit(0).cast("long").alias("long_transactions"),
     )
 
 
@@ -149,23 +151,34 @@ def with_findings(health: DataFrame, **findings: DataFrame) -> DataFrame:
     counted = health
     for name, rows in findings.items():
         numbers = rows.groupBy("snapshot_id").agg(F.count("*").alias(name))
-        counted = counted.join(numbers, "snapshot_id", "left").fillna(0, [name])
+        counted = counted.drop(name).join(numbers, "snapshot_id", "left").fillna(0, [name])
     return counted.withColumns({"available": F.lit(True), "unavailable_reason": F.lit(None).cast("string")})
 
 
-def health_status(requests: DataFrame, projects: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Newest snapshot per request, or why there is none.
+def health_status(requests: DataFrame, projects: DataFrame, snapshots: DataFrame, max_age: float | None = None) -> DataFrame:
+    """Newest snapshot per request as of its end, or why there is none.
 
-    A project without a database is a sentinel and is dropped; a database without any snapshot
-    is unavailable, which is kept and counted.
+    Only snapshots captured up to the request's end count; ``max_age`` seconds, if given, bounds how old
+    one may be. A project without a database is a sentinel and is dropped; a database without such
+    a snapshot is unavailable, which is kept and counted; an unknown kind of database is an error.
     """
-    newest = top_n(snapshots, ["project_id", "environment"], [F.desc("captured_at"), F.col("snapshot_id")], 1, "_no").drop("_no")
     kinds = projects.select("project_id", database_kind(F.col("database_type")).alias("_kind"))
     ranged = requests.select("request_id", "project_id", "environment", "from_ts", "to_ts")
+    as_of = F.col("captured_at") <= F.col("to_ts")
+    if max_age is not None:
+        as_of = as_of & (F.col("captured_at") >= F.col("to_ts") - interval(max_age))
+    seen = ranged.select("request_id", "project_id", "environment", "to_ts").join(
+        snapshots.select("project_id", "environment", "snapshot_id", "captured_at"), ["project_id", "environment"]).where(as_of)
+    newest = seen.groupBy("request_id", "project_id", "environment").agg(
+        F.max(F.struct("captured_at", "snapshot_id")).alias("_newest")).select(
+        "request_id", "project_id", "environment", "_newest.*")
+    chosen = newest.join(snapshots, ["project_id", "environment", "snapshot_id", "captured_at"])
     joined_rows = ranged.join(kinds, "project_id", "left").join(
-        newest, ["project_id", "environment"], "left")
+        chosen.drop("project_id", "environment"), "request_id", "left")
     found = F.coalesce("available", F.lit(False))
-    product = F.when(F.col("_kind") == "mysql", "MySQL unavailable").otherwise("PostgreSQL unavailable")
+    product = (
+        F.when(F.col("_kind") == "mysql", "MySQL unavailable").when(F.col("_kind") == "postgresql", "PostgreSQL unavailable")
+        .otherwise(F.concat(F.lit("unsupported database "), "_kind")))
     reason = F.when(F.col("_kind").isNull(), C.NO_DATABASE).when(
         ~found, F.coalesce("unavailable_reason", product))
     counts = ["active_connections", "idle_connections", "waiting_connections", "long_transactions", "lock_waits"]

@@ -78,7 +78,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=32)
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     mod = F.col("event_id") % 3
-    return events(spark, sf_dir).where((F.col("event_type") == "signup") & (F.col("event_id") % 5 == 0)).select(
+    return events(spark, sf_dir).where(F.col("event_type") == "signup").select(
         _text("event-", _s("event_id")).alias("evidence_id"), "project_id", "environment",
         F.when(mod == 0, "DEPLOYMENT").when(mod == 1, "ROLLBACK").otherwise("CONFIG_CHANGE").alias("type"),
         F.col("ts").alias("occurred_at"),
@@ -136,14 +136,26 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=32)
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per project and environment seen in the events."""
-    return events(spark, sf_dir).select("project_id", "environment").distinct().select(
-        _text("req-", F.col("project_id"), "-", F.col("environment")).alias("request_id"),
-        "project_id", "environment",
-        _text("why did ", F.col("project_id"), " fail? password=", F.col("environment")).alias("question"),
-        instant(RANGE_FROM).alias("from_ts"), instant(RANGE_TO).alias("to_ts"),
-        F.lit(25).alias("max_results"),
-    )
+    """Requests of each project and environment over the whole time of its events.
+
+    Two days each, end to end, and one of twenty hours (shorter than the current window) every
+    six days that overlaps them. Limits differ by day.
+    """
+    span = events(spark, sf_dir).groupBy("project_id", "environment").agg(
+        F.to_date(F.min("ts")).alias("low"), F.to_date(F.max("ts")).alias("high"))
+
+    def every(days: int, offset_hours: int, hours: int) -> DataFrame:
+        day = F.explode(F.sequence("low", "high", F.expr(f"INTERVAL '{days}' DAY"))).alias("day")
+        start = F.col("day").cast("timestamp_ntz") + F.expr(f"INTERVAL '{offset_hours}' HOUR")
+        return span.select("project_id", "environment", day).select(
+            _text("req-", F.col("project_id"), "-", F.col("environment"), "-", F.date_format("day", "yyyyMMdd"), f"-{hours}h").alias("request_id"),
+            "project_id", "environment",
+            _text("why did ", F.col("project_id"), " fail? password=", F.col("environment")).alias("question"),
+            start.alias("from_ts"), (start + F.expr(f"INTERVAL '{hours}' HOUR")).alias("to_ts"),
+            (F.dayofmonth("day") % 3 * 15 + 10).cast("int").alias("max_results"),
+        )
+
+    return every(2, 0, 48).unionByName(every(6, 5, 20))
 
 
 def submitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +196,8 @@ def submitted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=32)
 def pg_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured database sessions: one snapshot per project, environment and month."""
-    month = F.expr("make_timestamp_ntz(year(o_orderdate), month(o_orderdate), 1, 0, 0, 0)")
+    """Captured database sessions: one snapshot per project, environment and month, some after the last request."""
+    month = F.expr("make_timestamp_ntz(year(o_orderdate) + 26, month(o_orderdate), 1, 0, 0, 0)")
     age = F.expr("make_dt_interval(0, 0, 0, CAST(o_orderkey % 61 AS INT))")
     status = F.col("o_orderstatus")
     return _scoped(table(spark, sf_dir, "orders"), "o_custkey").select(
@@ -217,6 +229,7 @@ def mysql_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         "project_id", "environment",
         _text(F.col("project_id"), "/", F.col("environment"), "/", F.date_format("ts", "yyyy-MM-dd")).alias("snapshot_id"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("captured_at"),
         F.when(mod == 0, "Threads_connected").when(mod == 1, "THREADS_RUNNING").when(mod == 2, "Uptime")
         .otherwise("Version").alias("name"),
         F.when(F.col("k") % 10 == 3, "n/a").otherwise(_s("k")).alias("value"),
@@ -328,12 +341,17 @@ def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of every captured session snapshot; one project's database did not answer."""
+    """Health of every snapshot of the projects' own kind of database; one project's did not answer."""
     from incidentlens.sources import database as D
 
-    found = D.with_findings(
+    pg = D.with_findings(
         D.pg_health(pg_activity(spark, sf_dir)), lock_waits=D.pg_lock_waits(pg_locks(spark, sf_dir)))
-    return found.withColumn("available", F.col("project_id") != "svc-1")
+    mysql = D.with_findings(
+        D.mysql_health(mysql_status(spark, sf_dir)), long_transactions=D.mysql_long_transactions(mysql_transactions(spark, sf_dir)),
+        lock_waits=D.mysql_lock_waits(mysql_lock_waits(spark, sf_dir)))
+    number = F.col("project_id")
+    return pg.where(number == "svc-2").unionByName(mysql.where(number.isin("svc-1", "svc-4"))).withColumn(
+        "available", number != "svc-1")
 
 
 def daily_slow_sql(spark: SparkSession, sf_dir: str) -> DataFrame:

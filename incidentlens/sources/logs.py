@@ -11,7 +11,7 @@ from incidentlens import constants as C
 from incidentlens.functions.logline import utc_to_wallclock, wallclock_to_utc
 from incidentlens.functions.text import exception_attributes
 from incidentlens.operators.joins import request_evidence
-from incidentlens.operators.ranking import top_n
+from incidentlens.operators.ranking import largest, top_n
 from incidentlens.schemas import LOG_EVENTS, conform
 from incidentlens.session import broadcast_if_small, request_scope
 
@@ -41,14 +41,14 @@ def kept_level(logs: DataFrame, exact: bool = False) -> DataFrame:
     return logs.where(level.isin(C.KEPT_LEVELS))
 
 
-def most_recent(rows: DataFrame, n, time_col: str = "occurred_at", seq_col: str = "arrival_seq") -> DataFrame:
+def most_recent(rows: DataFrame, n, time_col: str = "occurred_at", seq_col: str = "arrival_seq", most: int | None = None) -> DataFrame:
     """The newest ``n`` rows per request; of equal times the earlier arrival wins."""
-    return top_n(rows, ["request_id"], [F.desc(time_col), F.col(seq_col)], n)
+    return top_n(rows, ["request_id"], [F.desc(time_col), F.col(seq_col)], n, most=most)
 
 
-def first_arrived(rows: DataFrame, n, seq_col: str = "arrival_seq") -> DataFrame:
+def first_arrived(rows: DataFrame, n, seq_col: str = "arrival_seq", most: int | None = None) -> DataFrame:
     """The first ``n`` rows per request in source order."""
-    return top_n(rows, ["request_id"], [F.col(seq_col)], n)
+    return top_n(rows, ["request_id"], [F.col(seq_col)], n, most=most)
 
 
 def capped_logs(requests: DataFrame, logs: DataFrame, source_type: str = "mock",
@@ -60,25 +60,29 @@ def capped_logs(requests: DataFrame, logs: DataFrame, source_type: str = "mock",
     files, falling time for tables; text files and tables keep the newest rows.
     """
     limit = F.col("max_results") if n is None else n
+    most = largest(requests, limit) if n is None else n
     if source_type == "mock":
-        return first_arrived(request_evidence(requests, logs), limit)
+        return first_arrived(request_evidence(requests, logs), limit, most=most)
     rows = request_evidence(requests, kept_level(logs, exact=source_type == "local-file"))
     place = F.col("rank_no").cast("long")
-    return most_recent(rows, limit).withColumn("arrival_seq", -place if source_type == "local-file" else place)
+    return most_recent(rows, limit, most=most).withColumn("arrival_seq", -place if source_type == "local-file" else place)
 
 
 def scan_log_table(requests: DataFrame, table: DataFrame, zone: str = "UTC",
-                   n=C.DEFAULT_MAX_RESULTS) -> DataFrame:
+                   n: int | str | None = "max_results") -> DataFrame:
     """Newest WARN/ERROR rows of a log table per request, in UTC, with the exception class.
 
     Stored times are wall-clock times of ``zone``. The request range is moved into that zone, so
-    the comparison is on the stored column and reaches the scan. ``n=None`` keeps every row.
+    the comparison is on the stored column and reaches the scan. ``n`` is a number or the
+    request's column that holds it; ``None`` keeps every row.
     """
     local = requests.withColumns({c: utc_to_wallclock(F.col(c), zone) for c in ("from_ts", "to_ts")})
     scope = request_scope(local)
     rows = request_evidence(local, kept_level(table), scope=scope)
     utc = rows.withColumn("occurred_at", wallclock_to_utc(F.col("occurred_at"), zone)).drop("from_ts", "to_ts")
-    if n is not None:
+    if isinstance(n, str):
+        utc = most_recent(utc, F.col(n), most=largest(requests, F.col(n)))
+    elif n is not None:
         utc = most_recent(utc, n)
     ranges = requests.select("request_id", "from_ts", "to_ts")
     with_range = utc.join(F.broadcast(ranges) if scope.small else ranges, "request_id")

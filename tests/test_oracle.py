@@ -71,3 +71,20 @@ def test_no_python_and_no_products(spark, name):
     plan = _plan(catalog.QUERIES[name](spark, SF))
     for bad in ("PythonUDF", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
+
+
+@needs_data
+def test_every_event_lies_in_a_request(spark):
+    from incidentlens.operators.joins import wanted_evidence
+
+    logs = E.raw_logs(spark, SF).select("project_id", "environment", "occurred_at", "arrival_seq")
+    requests = E.requests(spark, SF)
+    assert wanted_evidence(requests, logs).count() == logs.count()
+    assert requests.where("to_ts - from_ts <= INTERVAL '24' HOUR").count() > 0
+    assert requests.select("max_results").distinct().count() == 3
+
+
+@needs_data
+def test_limits_per_request_are_cut_before_the_shuffle(spark):
+    plan = _plan(catalog.recent_logs(spark, SF))
+    assert plan.count("WindowGroupLimit") == 2
