@@ -108,7 +108,7 @@ def test_line_edges(spark):
     assert len(got) == len(rows)
     text = {r.doc_id: r.text for r in got}
     assert text[1] == f"{long}\nhi" and text[3] == "intro\nend" and text[4] == text[5] == "" and text[6] == "hi" and text[None] == ""
-    assert text[2] == "hi\n\nother"  # the second hi goes with the repeated run before it
+    assert text[2] == "other"  # short repeated lines go with the repeated run they stand in
     assert text[7] == "a b c\nd e f\n\ng h i\nx" and text[8] == "y" and text[9] == f"{long}𝒳" and text[10] == ""
     by = {r.doc_id: r for r in got}
     assert [tuple(s) for s in by[3].spans] == [(6, 6 + len(long))] and by[3].kept_doc_ids == [1]
