@@ -53,9 +53,6 @@ MAX_SAMPLE_CHARS = 1200
 MAX_STACK_LINES = 12
 MAX_EVENT_LINES = 100
 MAX_EVENT_CHARS = 16 * 1024
-MAX_FILE_CHARS = 64 * 1024 * 1024
-DEFAULT_MAX_RESULTS = 500
-DEFAULT_MAX_QUERY_HOURS = 24
 LONG_TRANSACTION_SECONDS = 30
 HISTORY_DEFAULT_LIMIT = 50
 HISTORY_MAX_LIMIT = 200

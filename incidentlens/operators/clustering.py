@@ -12,7 +12,7 @@ from incidentlens.functions.text import (
 from incidentlens.operators.joins import request_evidence, wanted_evidence
 from incidentlens.operators.ranking import number_rows
 from incidentlens.operators.sanitize import sanitize_logs
-from incidentlens.session import RequestScope, broadcast_if_small, interval, request_scope
+from incidentlens.session import RequestScope, broadcast_if_small, instant, interval, request_scope
 
 PARTS = ["exception_class", "message_template", "top_stack_frame"]
 
@@ -124,10 +124,10 @@ def log_clusters(requests: DataFrame, logs: DataFrame, *, current_seconds: float
     that stops at its row limit); otherwise events are counted per minute once for all requests.
     """
     if capped is not None:
-        counted = cluster_counts(cluster_parts(capped, *RANGE), current_seconds)
+        counted = cluster_counts(cluster_parts(_in_order(capped), *RANGE), current_seconds)
     else:
         scope = scope or request_scope(requests)
-        parts = cluster_parts(wanted_evidence(requests, logs, scope=scope))
+        parts = cluster_parts(wanted_evidence(requests, _in_order(logs), scope=scope))
         counted = shared_cluster_counts(requests, parts, scope, current_seconds)
     has_baseline = F.col("to_ts") - F.col("from_ts") > interval(current_seconds)
     flagged = counted.select(
@@ -140,11 +140,22 @@ def log_clusters(requests: DataFrame, logs: DataFrame, *, current_seconds: float
     return numbered.withColumn("evidence_id", F.concat(F.lit("log-"), F.col("cluster_seq").cast("string")))
 
 
+def _in_order(logs: DataFrame) -> DataFrame:
+    """Rows without an arrival number cannot be put in first-encounter order: they are an error."""
+    missing = F.raise_error(F.lit("log rows need an arrival_seq; see log_view_events and read_log_files")).cast("long")
+    return logs.withColumn("arrival_seq", F.coalesce(F.col("arrival_seq").cast("long"), missing))
+
+
 def attach_samples(clusters: DataFrame, logs: DataFrame) -> DataFrame:
     """Add the sanitized first event of every cluster, read back by its arrival number.
 
-    Logs that were limited per request carry their ``request_id`` and are looked up with it.
+    Logs that were limited per request carry their ``request_id`` and are looked up with it. The
+    clusters' outer times, from one small aggregate, bound the scan of the logs.
     """
+    outer = clusters.agg(
+        F.min("first_seen").cast("string").alias("low"), F.max("last_seen").cast("string").alias("high")).first()
+    if outer["low"] is not None:
+        logs = logs.where(F.col("occurred_at").between(instant(outer["low"]), instant(outer["high"])))
     key = ["project_id", "environment", "arrival_seq", *(["request_id"] if "request_id" in logs.columns else [])]
     firsts = clusters.select(
         "request_id", "project_id", "environment", "cluster_key", F.col("first_seq").alias("arrival_seq")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from incidentlens import constants as C
 from incidentlens.functions.text import not_blank
 from incidentlens.operators.ranking import number_rows
-from incidentlens.schemas import MODEL_OUTPUT_JSON
 
 
 def ordered_list(order: Column, value: Column, when: Column) -> Column:
@@ -25,23 +24,39 @@ def ordered_list(order: Column, value: Column, when: Column) -> Column:
 def parse_model_outputs(outputs: DataFrame) -> DataFrame:
     """``valid``, summary, candidates and actions of every raw answer; nothing is thrown.
 
-    An answer is valid when it is a JSON object with a textual ``summary``. Candidates with a
-    blank label are dropped.
+    An answer is valid when it is a JSON object with a textual ``summary``. Candidates that are no
+    objects or have a blank label are dropped, each by itself; missing texts are empty, missing or
+    malformed lists too. Of a repeated key the last one counts (a setting of ``configure``).
     """
     parsed = outputs.withColumn("_json", F.try_parse_json("raw_json"))
     kind = F.schema_of_variant(F.try_variant_get("_json", "$.summary", "variant"))
-    body = F.from_json("raw_json", MODEL_OUTPUT_JSON)
-    read = parsed.withColumn("valid", F.coalesce(kind == "STRING", F.lit(False))).withColumn(
-        "_body", F.when(F.col("valid"), body))
-    labelled = F.filter(F.col("_body.rootCauseCandidates"), lambda c: not_blank(c["label"]))
+    read = parsed.withColumn("valid", F.coalesce(kind == "STRING", F.lit(False)))
+    listed = [F.when(F.col("valid"), F.try_variant_get("_json", f"$.{name}", "array<variant>")).alias(alias)
+              for name, alias in (("rootCauseCandidates", "_found"), ("recommendedActions", "_actions"))]
+    body = read.select(*outputs.columns, "valid", "_json", *listed)
+    candidates = F.transform(
+        F.filter("_found", lambda c: F.schema_of_variant(c).startswith("OBJECT")),
+        lambda c: F.struct(
+            *[_text_of(F.try_variant_get(c, f"$.{name}", "variant")).alias(name) for name in ("label", "title", "explanation")],
+            F.transform(
+                F.coalesce(F.try_variant_get(c, "$.evidenceIds", "array<variant>"), F.array().cast("array<variant>")), _text_of,
+            ).alias("evidenceIds"),
+        ))
     none = F.array().cast("array<struct<label:string,title:string,explanation:string,evidenceIds:array<string>>>")
-    return read.select(
-        *outputs.columns, "valid", F.col("_body.summary").alias("summary"),
-        F.coalesce(labelled, none).alias("model_candidates"),
-        F.coalesce(F.col("_body.recommendedActions"), F.array().cast("array<string>")).alias("recommended_actions"),
+    return body.select(
+        *outputs.columns, "valid", F.when(F.col("valid"), F.try_variant_get("_json", "$.summary", "string")).alias("summary"),
+        F.coalesce(F.filter(candidates, lambda c: not_blank(c["label"])), none).alias("model_candidates"),
+        F.coalesce(F.transform("_actions", _text_of), F.array().cast("array<string>")).alias("recommended_actions"),
     )
 
 
+def _text_of(value: Column) -> Column:
+    """The text of a scalar; empty for a missing one, an object or an array."""
+    kind = F.schema_of_variant(value)
+    scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    return F.coalesce(F.when(scalar, F.try_variant_get(value, "$", "string")), F.lit(""))
+
+
 def merge_explanations(candidates: DataFrame, parsed: DataFrame) -> DataFrame:
     """Rule candidates with the model's first non-blank explanation for their label."""
     told = parsed.where("valid").select("request_id", F.posexplode("model_candidates").alias("pos", "c"))
@@ -159,6 +174,23 @@ def assign_report_ids(requests: DataFrame, order: list[Column], stored_ids: Data
     return queue.join(numbered, "turn_no").withColumn("diagnosis_id", F.concat(F.lit(prefix), text)).drop("turn_no", "number")
 
 
+def stored_rows(reports: DataFrame, ids: DataFrame, created_at: Column, version: int = 1) -> DataFrame:
+    """Finished reports as they are stored: id, time, version and the whole report as JSON.
+
+    ``ids`` has ``request_id`` and ``diagnosis_id``.
+    """
+    named = reports.join(ids.select("request_id", "diagnosis_id"), "request_id").withColumn("created_at", created_at)
+    body = F.struct(
+        F.col("diagnosis_id").alias("diagnosisId"), F.col("project_id").alias("projectId"), "environment",
+        F.col("created_at").alias("createdAt"), "summary", "timeline", F.col("root_cause_candidates").alias("rootCauseCandidates"),
+        F.col("recommended_actions").alias("recommendedActions"), "evidence",
+        F.col("unavailable_sources").alias("unavailableSources"), "budget", F.col("rule_fallback").alias("ruleFallback"), "disclaimer",
+    )
+    return named.select(
+        "diagnosis_id", "project_id", "environment", "created_at", F.lit(version).cast("long").alias("version"),
+        F.to_json(body, {"ignoreNullFields": "false"}).alias("report_json"))
+
+
 def model_inputs(requests: DataFrame, clusters: DataFrame, metrics: DataFrame, slow_sql: DataFrame,
                  changes: DataFrame, health: DataFrame, timeline: DataFrame, candidates: DataFrame,
                  unavailable: DataFrame) -> DataFrame:

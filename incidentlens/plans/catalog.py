@@ -22,7 +22,7 @@ from incidentlens.operators import validation as A
 from incidentlens.operators.joins import request_evidence
 from incidentlens.operators.ranking import largest
 from incidentlens.plans.diagnose import Diagnosis, Evidence, Settings, diagnose, request_slow_sql
-from incidentlens.session import scratch_path
+from incidentlens.session import instant, scratch_path
 from incidentlens.sources import database as D
 from incidentlens.sources import driver_tables as E
 from incidentlens.sources import evidence as G
@@ -175,6 +175,37 @@ def scan_log_table(spark, d):
         F.col("attributes")["exceptionClass"].alias("exception_class"), F.col("rank_no").cast("long").alias("rank_no"))
 
 
+def _cluster_rows(clusters: DataFrame) -> DataFrame:
+    return clusters.select("request_id", "evidence_id", "cluster_key", "level", "count", "baseline_count", "spike", "first_seen", "last_seen")
+
+
+def _own_clusters(spark: SparkSession, d: str, logs: DataFrame, project: str, environment: str) -> DataFrame:
+    s, mine = SETTINGS, (F.col("project_id") == project) & (F.col("environment") == environment)
+    return _cluster_rows(K.log_clusters(
+        E.requests(spark, d).where(mine), logs, current_seconds=s.current_seconds, absolute=s.spike_absolute, ratio=s.spike_ratio))
+
+
+@query
+def log_view_clusters(spark, d):
+    """A five-column log view of one project, clustered."""
+    mine = (F.col("project_id") == "svc-2") & (F.col("environment") == "local")
+    view = E.raw_logs(spark, d).where(mine).select("occurred_at", "level", "trace_id", "message", "stack_trace")
+    return _own_clusters(spark, d, S.log_view_events(view, "svc-2", "local", "Asia/Shanghai"), "svc-2", "local")
+
+
+@query
+def textlog_clusters(spark, d):
+    """Text files of one project, clustered."""
+    mine = (F.col("project_id") == "svc-1") & (F.col("environment") == "local")
+    text = F.concat(
+        F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), F.upper("level"), F.lit(" [worker] "),
+        "logger", F.lit(" - "), "message", F.coalesce(F.concat(F.lit("\n"), "stack_trace"), F.lit("")))
+    path = scratch_path(spark, "textlog")
+    E.raw_logs(spark, d).where(mine).select(text.alias("value")).write.text(path)
+    rows, _ = M.read_log_files(spark, [path], project_id="svc-1", environment="local")
+    return _own_clusters(spark, d, rows, "svc-1", "local")
+
+
 @query
 def route_log_sources(spark, d):
     logs = E.log_events(spark, d)
@@ -615,6 +646,14 @@ def fallback_reports(spark, d):
     return _flat_report(diagnosis(spark, d).reports(answers))
 
 
+@query
+def stored_reports_roundtrip(spark, d):
+    """Diagnose, finish, append, read back: the newest page of the history."""
+    path = scratch_path(spark, "reports")
+    O.append_reports(diagnosis(spark, d).finished(instant("2024-02-01 00:00:00"), REPORT_DAY), path)
+    return O.report_history(O.read_reports(spark, path), limit=40)
+
+
 # --- end to end and scoring ---------------------------------------------------------------------
 
 @query

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentlens import constants as C
 from incidentlens.operators import budget as B
 from incidentlens.operators import report as P
-from incidentlens.operators.clustering import log_clusters
+from incidentlens.operators.clustering import attach_samples, log_clusters
 from incidentlens.operators.correlation import rule_candidates
 from incidentlens.operators.integrity import resolved_candidates
 from incidentlens.operators.joins import request_evidence
@@ -65,11 +65,22 @@ class Diagnosis:
     budget: DataFrame
     unavailable: DataFrame
     health: DataFrame
+    logs: DataFrame
     settings: Settings
 
+    def sampled_clusters(self) -> DataFrame:
+        """The kept clusters, each with its sanitized first event."""
+        return attach_samples(self.kept["log_clusters"], self.logs)
+
+    def finished(self, created_at: Column, day: str, stored_ids: DataFrame | None = None, parsed: DataFrame | None = None) -> DataFrame:
+        """Reports as they are stored (``append_reports``): ids of ``day`` that are not yet taken, time, JSON."""
+        taken = self.requests.sparkSession.createDataFrame([], "diagnosis_id string") if stored_ids is None else stored_ids
+        ids = P.assign_report_ids(self.requests.select("request_id"), [F.col("request_id")], taken, day)
+        return P.stored_rows(self.reports(parsed), ids, created_at)
+
     def model_inputs(self) -> DataFrame:
         return P.model_inputs(
-            redact_questions(self.requests), self.kept["log_clusters"], self.kept["metrics"], self.kept["slow_sql"],
+            redact_questions(self.requests), self.sampled_clusters(), self.kept["metrics"], self.kept["slow_sql"],
             self.kept["change_events"], self.health, self.timeline, self.candidates, self.unavailable)
 
     def narration(self) -> DataFrame:
@@ -136,7 +147,8 @@ def diagnose(requests: DataFrame, evidence: Evidence, settings: Settings = Setti
         requests=requests, clusters=clusters, kept=kept, evidence=rows,
         timeline=order_short_timeline(entries), candidates=materialize(resolved_candidates(rules, rows)),
         budget=B.budget_report(requests, clusters, slow_sql, metrics, changes, caps),
-        unavailable=unavailable, health=health, settings=settings,
+        unavailable=unavailable, health=health,
+        logs=evidence.logs if evidence.capped_logs is None else evidence.capped_logs, settings=settings,
     )
 
 

@@ -45,12 +45,10 @@ REQUEST_HEALTH = (
 SOURCE_STATUS = (
     "project_id string, environment string, kind string, name string, state string"
 )
-MODEL_OUTPUTS = ("request_id string, raw_json string")
-MODEL_OUTPUT_JSON = (
-    "summary string, "
-    "rootCauseCandidates array<struct<label string, title string, explanation string, "
-    "evidenceIds array<string>>>, recommendedActions array<string>"
+STORED_REPORTS = (
+    "diagnosis_id string, project_id string, environment string, created_at timestamp_ntz, version long, report_json string"
 )
+MODEL_OUTPUTS = ("request_id string, raw_json string")
 
 
 def fields(ddl: str) -> dict[str, str]:

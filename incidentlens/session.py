@@ -23,6 +23,8 @@ RECOMMENDED = {
     # Groups are cut to their limit in every task before the shuffle, whatever the limit is.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.sql.session.timeZone": "UTC",
+    # Of a repeated key in a JSON text the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Plans are built from many column calls; call sites need not be recorded for each of them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -11,7 +11,7 @@ from incidentlens import constants as C
 from incidentlens.functions.logline import utc_to_wallclock, wallclock_to_utc
 from incidentlens.functions.text import exception_attributes
 from incidentlens.operators.joins import request_evidence
-from incidentlens.operators.ranking import largest, top_n
+from incidentlens.operators.ranking import largest, number_rows, top_n
 from incidentlens.schemas import LOG_EVENTS, conform
 from incidentlens.session import broadcast_if_small, request_scope
 
@@ -89,6 +89,21 @@ def scan_log_table(requests: DataFrame, table: DataFrame, zone: str = "UTC",
     return with_range.withColumn("attributes", exception_attributes(F.col("stack_trace")))
 
 
+def log_view_events(table: DataFrame, project_id: str, environment: str, zone: str = "UTC") -> DataFrame:
+    """The five canonical columns of a project's log view as log rows (``LOG_EVENTS``).
+
+    Stored times are wall-clock times of ``zone``. Only WARN and ERROR rows are kept. Rows arrive
+    by falling time; of equal times by their other columns.
+    """
+    rows = kept_level(table).select(
+        F.lit(project_id).alias("project_id"), F.lit(environment).alias("environment"),
+        wallclock_to_utc(F.col("occurred_at"), zone).alias("occurred_at"), "level", "trace_id", "message", "stack_trace",
+        exception_attributes(F.col("stack_trace")).alias("attributes"),
+    ).where(F.col("occurred_at").isNotNull())
+    order = [F.desc("occurred_at"), *[F.col(c).asc_nulls_first() for c in ("level", "trace_id", "message", "stack_trace")]]
+    return conform(number_rows(rows, [], order, "arrival_seq"), LOG_EVENTS)
+
+
 def route_logs(projects: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     """Log rows of each project from the one source its ``logs_type`` names.
 

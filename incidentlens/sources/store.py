@@ -9,6 +9,7 @@ from incidentlens import constants as C
 from incidentlens.operators.ranking import number_rows, top_n
 from incidentlens.operators.sanitize import sanitize_changes
 from incidentlens.operators.validation import validate_changes
+from incidentlens.schemas import CHANGE_EVENTS, STORED_REPORTS
 
 REPORT_JSON = "diagnosisId string, projectId string, environment string, summary string, ruleFallback boolean"
 
@@ -37,7 +38,8 @@ def append_changes(prepared: DataFrame, path: str) -> None:
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("occurred_on")
+    """Stored events; the schema is given, so that an id like ``007`` stays text."""
+    return spark.read.schema(f"{CHANGE_EVENTS}, occurred_on date").parquet(path).drop("occurred_on")
 
 
 # --- reports ------------------------------------------------------------------------------------
@@ -47,6 +49,11 @@ def append_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("append").partitionBy("project_id", "environment").parquet(path)
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Stored report versions; the schema is given, so that an id like ``007`` stays text."""
+    return spark.read.schema(STORED_REPORTS).parquet(path)
+
+
 def latest_reports(versions: DataFrame) -> DataFrame:
     """One row per id, the last written one. Every task first cuts an id to its own newest row."""
     return top_n(versions, ["diagnosis_id"], [F.desc("version")], 1, "_no").drop("_no")
@@ -65,7 +72,10 @@ def report_history(versions: DataFrame, project_id: str | None = None, environme
         if value is not None and value.strip():
             rows = rows.where(F.col(name) == value)
     capped = min(max(limit, 1), C.HISTORY_MAX_LIMIT)
-    page = latest_reports(rows).orderBy(F.desc("created_at"), F.desc("diagnosis_id")).limit(capped)
+    # ids and times choose the page; only its bodies are then moved
+    key = ["diagnosis_id", "version"]
+    chosen = latest_reports(rows.select(*key, "created_at")).orderBy(F.desc("created_at"), F.desc("diagnosis_id")).limit(capped)
+    page = rows.join(F.broadcast(chosen.select(*key)), key, "left_semi")
     readable = page.where(F.try_parse_json("report_json").isNotNull())
     body = readable.withColumn("_r", F.from_json("report_json", REPORT_JSON))
     return body.select(

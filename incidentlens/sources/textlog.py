@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from incidentlens import constants as C
 from incidentlens.functions import logline as L
 from incidentlens.functions.text import exception_attributes
-from incidentlens.operators.ranking import top_n
+from incidentlens.operators.ranking import number_rows, top_n
+from incidentlens.schemas import LOG_EVENTS, conform
 
 
 def bound_stack(lines: Column) -> Column:
@@ -57,7 +58,8 @@ def assemble_events(lines: DataFrame, pattern: str = C.DEFAULT_LINE_PATTERN, lev
     are dropped before they are shuffled again, and no more than 102 lines of an event ever meet.
     """
     L.check_pattern(pattern)
-    clean = lines.withColumn("line", L.strip_ansi(F.col("line"))).withColumn("chars", F.length("line") + 1)
+    # the size bound counts a line as it stands in the file
+    clean = lines.withColumn("chars", F.length("line") + 1).withColumn("line", L.strip_ansi(F.col("line")))
     head = L.is_head(F.col("line"), pattern)
     flagged = clean.withColumn("head", head)
     wanted = F.lit(True) if levels is None else F.coalesce(
@@ -101,18 +103,21 @@ def assemble_events(lines: DataFrame, pattern: str = C.DEFAULT_LINE_PATTERN, lev
 def read_log_files(spark: SparkSession, paths: list[str], *, project_id: str, environment: str,
                    pattern: str | None = None, charset: str = "UTF-8", zone: str = "UTC",
                    max_chars_per_file: int | None = None) -> tuple[DataFrame | None, str]:
-    """Log rows of a project's text files and the state of the source.
+    """Log rows (``LOG_EVENTS``) of a project's text files and the state of the source.
 
     Missing files are skipped; when none of the configured ones exists there are no rows and the
-    state is ``error``. Heads with an unreadable time are dropped.
+    state is ``error``. Heads with an unreadable time are dropped. Rows arrive by rising time; of
+    equal times by file and place in it.
     """
     found = existing_paths(spark, paths)
     if paths and not found:
         return None, "error"
     layout = pattern if pattern and pattern.strip() else C.DEFAULT_LINE_PATTERN
     events = assemble_events(read_lines(spark, found, charset), layout, max_chars_per_file=max_chars_per_file)
-    return parse_events(events, layout, zone).select(
-        F.lit(project_id).alias("project_id"), F.lit(environment).alias("environment"), "*"), "ok"
+    rows = parse_events(events, layout, zone).select(
+        F.lit(project_id).alias("project_id"), F.lit(environment).alias("environment"), "*")
+    arrived = number_rows(rows, [], [F.col("occurred_at"), F.col("file"), F.col("ordinal")], "arrival_seq")
+    return conform(arrived, LOG_EVENTS), "ok"
 
 
 def parse_events(events: DataFrame, pattern: str = C.DEFAULT_LINE_PATTERN, zone: str = "UTC") -> DataFrame:

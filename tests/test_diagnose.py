@@ -158,3 +158,29 @@ def test_scoring(spark):
     assert (got[2]["root_cause_hit"], got[2]["evidence_cited"], got[2]["no_fabricated_ids"], got[2]["model_answered"], got[2]["summary_present"]) == (True, False, False, False, False)
     assert not got[3]["root_cause_hit"]
     assert V.score_summary(V.score_reports(scenarios, reports, found, evidence)).first().asDict() == {"passed": 1, "scenarios": 3}
+
+
+def test_malformed_parts_of_an_answer(spark):
+    """Each part is judged by itself: wrong elements drop, missing texts are empty, the last of a repeated key counts."""
+    raw = (
+        '{"summary":"first","summary":"s","rootCauseCandidates":[1,null,["x"],{"label":"a"},{"label":"b","title":{"x":1},"explanation":3,'
+        '"evidenceIds":"none"},{"label":"c","evidenceIds":["log-1",2,{"x":1}]}],"recommendedActions":["do",{"x":1},4,null]}')
+    row = P.parse_model_outputs(spark.createDataFrame([("r", raw)], S.MODEL_OUTPUTS)).first()
+    assert row["valid"] and row["summary"] == "s"
+    assert [tuple(c) for c in row["model_candidates"]] == [
+        ("a", "", "", []), ("b", "", "3", []), ("c", "", "", ["log-1", "2", ""])]
+    assert row["recommended_actions"] == ["do", "", "4", ""]
+
+
+def test_stored_ids_keep_their_type(spark, tmp_path):
+    from incidentlens.sources import store
+
+    report = spark.sql("SELECT 'diag-1' diagnosis_id, '007' project_id, '1' environment, TIMESTAMP_NTZ'2026-06-01 00:00:00' created_at, 1L version, "
+                       """'{"diagnosisId":"diag-1","projectId":"007","environment":"1","summary":"s","ruleFallback":false}' report_json""")
+    store.append_reports(report, str(tmp_path / "reports"))
+    page = store.report_history(store.read_reports(spark, str(tmp_path / "reports")), project_id="007").collect()
+    assert [(r.project_id, r.environment) for r in page] == [("007", "1")]
+    change = spark.sql("SELECT 'event-1' evidence_id, '007' project_id, '1' environment, 'DEPLOYMENT' type, TIMESTAMP_NTZ'2026-06-01 00:00:00' occurred_at, "
+                       "map('a', 'b') attributes, 1L change_seq")
+    store.append_changes(change, str(tmp_path / "changes"))
+    assert [r.project_id for r in store.read_changes(spark, str(tmp_path / "changes")).collect()] == ["007"]

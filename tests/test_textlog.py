@@ -20,7 +20,7 @@ def events(spark, tmp_path, text, name="app.log", encoding="utf-8", **options):
     path = tmp_path / name
     path.write_bytes(text.encode(encoding))
     rows, _ = read(spark, path, **options)
-    return [r.asDict() for r in rows.orderBy("ordinal").collect()]
+    return [r.asDict() for r in rows.orderBy("arrival_seq").collect()]
 
 
 def test_multi_line_event(spark, tmp_path):
@@ -47,7 +47,7 @@ def test_iso_and_offset_stamps(spark, tmp_path):
     got = events(spark, tmp_path, (
         "2026-06-01T10:00:00.500 ERROR [t] a.B - one\n2026-06-01T10:00:00.500+08:00 ERROR 12 --- [t] a.B : two\n"
         "2026-02-30 10:00:00.500 ERROR [t] a.B - unreadable day\n"))
-    assert [(g["message"], g["occurred_at"].hour) for g in got] == [("one", 10), ("two", 2)]
+    assert [(g["message"], g["occurred_at"].hour) for g in got] == [("two", 2), ("one", 10)]  # by time
 
 
 def test_deep_stack_is_bounded(spark, tmp_path):
@@ -116,7 +116,7 @@ def test_newest_n(spark, tmp_path):
     path.write_text("".join(f"2026-06-01 02:00:0{i}.000 ERROR [t] a.B - e{i}\n" for i in range(10)))
     rows, _ = read(spark, path)
     requests = frame(spark, schemas.REQUESTS, [request("p", "e")])
-    newest = most_recent(request_evidence(requests, rows.withColumnRenamed("ordinal", "arrival_seq")), 3)
+    newest = most_recent(request_evidence(requests, rows), 3)
     assert sorted(r["message"] for r in newest.collect()) == ["e7", "e8", "e9"]
 
 
@@ -148,3 +148,23 @@ def test_documents_split_equals_line_scan(spark):
             elif number:
                 expected[doc, number][1].append(line)
     assert got == expected
+
+
+def test_size_bound_counts_the_file_as_it_is(spark, tmp_path):
+    """Colour codes count: with them only two of three events fit."""
+    line = "2026-06-01 02:00:0{}.000 \x1b[31mERROR\x1b[0m [t] a.B - e\n"
+    path = tmp_path / "colour.log"
+    path.write_text("".join(line.format(i) for i in range(3)))
+    rows, _ = read(spark, path, max_chars_per_file=2 * len(line.format(0)) + 50)
+    assert rows.count() == 2
+
+
+def test_rows_without_arrival_number_are_refused(spark, tmp_path):
+    from incidentlens.operators.clustering import log_clusters
+
+    logs = frame(spark, schemas.LOG_EVENTS, []).unionByName(spark.sql(
+        "SELECT 'p' project_id, 'e' environment, TIMESTAMP_NTZ'2026-06-01 02:00:00' occurred_at, 'ERROR' level, 'l' logger, "
+        "'t' trace_id, 'm' message, CAST(NULL AS STRING) stack_trace, CAST(NULL AS MAP<STRING, STRING>) attributes, CAST(NULL AS BIGINT) arrival_seq"))
+    requests = frame(spark, schemas.REQUESTS, [request("p", "e")])
+    with pytest.raises(Exception, match="arrival_seq"):
+        log_clusters(requests, logs).collect()
