@@ -43,6 +43,8 @@ MAX_TOXIC, MAX_CLEAN, LANDMARKS, USUAL, CACHE = 1000, 2000, 24, 8, 300_000
 COMMON = 0.7
 #: Pairs worked on at a time, so that their tables stay in the processor's cache.
 PAIRS = 1536
+#: Entries of the table that counts letter sequences by hash.
+TALLY = 1 << 24
 #: Longest letter sequence that becomes a landmark.
 LONGEST = 12
 #: A text is toxic from this probability.
@@ -207,11 +209,20 @@ def choose_landmarks(toxic: list[list[str]], clean: list[list[str]], limit: int
     for n, units in enumerate(toxic):
         for unit in units:
             in_toxic[unit].append(n)
+    rare = {unit: texts for unit, texts in in_toxic.items() if in_clean[unit] * ratio < 0.1 * len(texts)}
+    # most sequences are rare: a table of counts by hash, which can only count too much, spares holding them
+    tally = np.zeros(TALLY, dtype=np.int32)
+
+    def slots(found: list[str]) -> np.ndarray:
+        return np.fromiter((hash(s) % TALLY for s in found), dtype=np.int64, count=len(found))
+
+    for unit, texts in rare.items():
+        tally[slots(list(sequences(unit)))] += len(texts)
     held = defaultdict(set)
-    for unit, texts in in_toxic.items():
-        if in_clean[unit] * ratio < 0.1 * len(texts):
-            for s in sequences(unit):
-                held[s].update(texts)
+    for unit, texts in rare.items():
+        found = list(sequences(unit))
+        for n in np.flatnonzero(tally[slots(found)] >= least):
+            held[found[n]].update(texts)
     held = {s: x for s, x in held.items() if len(x) >= least}
     against = Counter()
     for unit, texts in in_clean.items():
