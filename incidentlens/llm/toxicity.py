@@ -23,7 +23,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import nlargest
 from math import ceil
 
 import numpy as np
@@ -41,8 +40,10 @@ START, END = "\x02", "\x03"
 MAX_TOXIC, MAX_CLEAN, LANDMARKS, USUAL, CACHE = 1000, 2000, 24, 8, 300_000
 #: Share of a landmark's letters that a unit must have in order for the kernel to count; below it is 0.
 COMMON = 0.7
-#: Pairs worked on at a time, so that their tables stay in the processor's cache.
-PAIRS = 1536
+#: Texts and units worked on at a time.
+TEXTS, UNITS = 1024, 16384
+#: Pairs worked on at a time: enough to outweigh the calls, few enough for some 25 MB of tables.
+PAIRS = 6144
 #: Entries of the table that counts letter sequences by hash.
 TALLY = 1 << 24
 #: Longest letter sequence that becomes a landmark.
@@ -131,8 +132,8 @@ class Landmarks:
     def kernels(self, units: list[str]) -> np.ndarray:
         out = np.zeros((len(units), len(self.texts)), dtype=np.float32)
         order = sorted(range(len(units)), key=lambda n: len(units[n]))
-        for low in range(0, len(order), 4096):
-            part = [n for n in order[low:low + 4096] if len(units[n]) >= LETTERS]
+        for low in range(0, len(order), UNITS):
+            part = [n for n in order[low:low + UNITS] if len(units[n]) >= LETTERS]
             if not part:
                 continue
             chosen = [units[n] for n in part]
@@ -142,7 +143,9 @@ class Landmarks:
                 continue
             touched = np.unique(row)
             own = np.zeros(len(part))
-            own[touched] = subsequence_kernel(codes[touched], np.where(codes[touched] == 0xFFFFFFFD, 0xFFFFFFFE, codes[touched]))
+            for at in range(0, len(touched), PAIRS):
+                some = codes[touched[at:at + PAIRS]]
+                own[touched[at:at + PAIRS]] = subsequence_kernel(some, np.where(some == 0xFFFFFFFD, 0xFFFFFFFE, some))
             value = np.concatenate([
                 subsequence_kernel(codes[row[i:i + PAIRS]], self.codes[column[i:i + PAIRS]]) for i in range(0, len(row), PAIRS)])
             out[np.array(part)[row], column] = value / np.sqrt(own[row] * self.own[column])
@@ -183,15 +186,16 @@ class Model:
     def best_decisions(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
         """The values of each text's two best units."""
         best = np.full((len(texts), 2), self.bias)
-        for low in range(0, len(texts), 256):
-            units = [units_of(t) if t else [] for t in texts[low:low + 256]]
+        for low in range(0, len(texts), TEXTS):
+            units = [units_of(t) if t else [] for t in texts[low:low + TEXTS]]
             if len(cache) > CACHE:
                 cache.clear()
             fresh = list({u for own in units for u in own if u not in cache})
             cache.update(zip(fresh, self.decisions(fresh).tolist()) if fresh else ())
             for n, own in enumerate(units, low):
-                top = nlargest(2, map(cache.__getitem__, own))
-                best[n, :len(top)] = top
+                values = np.fromiter(map(cache.__getitem__, own), dtype=np.float64, count=len(own))
+                top = np.partition(values, -2)[-2:] if len(own) > 2 else values
+                best[n, :len(top)] = np.sort(top)[::-1]
         return np.maximum(best, self.bias)
 
 
