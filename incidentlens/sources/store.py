@@ -74,8 +74,9 @@ def report_history(versions: DataFrame, project_id: str | None = None, environme
     capped = min(max(limit, 1), C.HISTORY_MAX_LIMIT)
     # ids and times choose the page; only its bodies are then moved
     key = ["diagnosis_id", "version"]
-    chosen = latest_reports(rows.select(*key, "created_at")).orderBy(F.desc("created_at"), F.desc("diagnosis_id")).limit(capped)
-    page = rows.join(F.broadcast(chosen.select(*key)), key, "left_semi")
+    newest = [F.desc("created_at"), F.desc("diagnosis_id")]
+    chosen = latest_reports(rows.select(*key, "created_at")).orderBy(*newest).limit(capped)
+    page = rows.join(F.broadcast(chosen.select(*key)), key, "left_semi").orderBy(*newest)
     readable = page.where(F.try_parse_json("report_json").isNotNull())
     body = readable.withColumn("_r", F.from_json("report_json", REPORT_JSON))
     return body.select(

@@ -62,14 +62,33 @@ def test_registry_degrades_a_failing_source(spark):
     assert failed == ["change-event:Broken (error)", "change-event:Partial (error)"]
 
 
+def mysql_status(spark):
+    rows = [("s1", -30, n, v) for n, v in [("Threads_connected", "20"), ("Threads_running", "5"), ("version", "8.0")]]
+    rows += [("s2", 30, "THREADS_RUNNING", "7"), ("s2", 30, "Threads_connected", "n/a")]
+    return spark.createDataFrame(
+        [("order-service", "staging", s, at(m), n, v) for s, m, n, v in rows],
+        "project_id string, environment string, snapshot_id string, captured_at timestamp_ntz, name string, value string")
+
+
 def test_mysql_health(spark):
-    rows = [("p", "e", "s1", n, v) for n, v in [("Threads_connected", "20"), ("Threads_running", "5"), ("version", "8.0")]]
-    rows += [("p", "e", "s2", "THREADS_RUNNING", "7"), ("p", "e", "s2", "Threads_connected", "n/a")]
-    df = spark.createDataFrame(rows, "project_id string, environment string, snapshot_id string, name string, value string")
-    got = {r["snapshot_id"]: (r["active_connections"], r["idle_connections"]) for r in D.mysql_health(df).collect()}
+    got = {r["snapshot_id"]: (r["active_connections"], r["idle_connections"]) for r in D.mysql_health(mysql_status(spark)).collect()}
     assert got == {"s1": (5, 15), "s2": (7, 0)}
 
 
+def test_health_as_of_the_request(spark, projects):
+    """The newest snapshot up to the request's end counts, within the given age; an unknown kind is an error."""
+    waits = spark.createDataFrame([("s1", 1, 2)], "snapshot_id string, blocking_id int, requesting_id int")
+    snapshots = D.with_findings(
+        D.mysql_health(mysql_status(spark)), lock_waits=D.mysql_lock_waits(waits))
+    requests = frame(spark, S.REQUESTS, [request()])
+    row = D.health_status(requests, projects, snapshots).first()
+    assert (row["snapshot_id"], row["available"], row["active_connections"], row["lock_waits"]) == ("s1", True, 5, 1)
+    late = D.health_status(requests, projects, snapshots, max_age=60).first()
+    assert not late["available"] and late["unavailable_reason"] == "MySQL unavailable"
+    odd = projects.withColumn("database_type", F.lit("oracle"))
+    assert D.health_status(requests, odd, snapshots.limit(0)).first()["unavailable_reason"] == "unsupported database oracle"
+
+
 def test_health_sentinel_and_unavailable(spark, projects):
     requests = frame(spark, S.REQUESTS, [request(), request("plain", request_id="r2"), request("nobody", request_id="r3")])
     none = frame(spark, S.DB_HEALTH, [])
