@@ -3,8 +3,10 @@
 The items are the indexed documents, a passage's distinct words are the query. An item's BM25 weights are divided by its
 full score, so a passage's score is the share (0 to 1) of the item's BM25 weight that it holds, and one threshold
 serves short and long items. All items at or above the threshold are retrieved: posting lists are cut into blocks with
-their largest weights, and blocks whose sum cannot reach the threshold are skipped unread. A passage is skipped as a whole when its words'
-largest weights together stay below the threshold. Retrieved items are verified: the passage must hold enough
+their largest weights, and blocks whose sum cannot reach the threshold are skipped unread. The most frequent words, as many as
+give no item more than half of the threshold, open no lists: what they can add to any item is subtracted from the threshold of the other
+lists, and they are counted for the items that these reach. A passage is skipped as a whole when in no block of neighbouring items
+the largest weights of its words together reach that. Retrieved items are verified: the passage must hold enough
 of the question's and of the answer's words in their order (longest common subsequence). The question is an item's text up to its last sentence, which is
 the answer; an item of one sentence is split before its last quarter.
 
@@ -34,7 +36,7 @@ from incidentlens.llm.common import read_table
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight from which it is retrieved, and what verification asks of question and answer.
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.75, 0.5
-BLOCK_ITEMS = 64
+BLOCK_ITEMS = 8
 #: Items of one index hold at most about so many characters; more items make more shards.
 SHARD_CHARS = 8_000_000
 
@@ -80,8 +82,9 @@ class Statistics:
 class Index:
     """Posting lists by word: item numbers ascending, their weights, and the largest weight of every block."""
 
-    def __init__(self, items: list[tuple], statistics: Statistics):
+    def __init__(self, items: list[tuple], statistics: Statistics, lowest: float = THRESHOLD):
         self.ids, self.parts, lists = [], [], {}
+        self.lowest = lowest
         self.longest = 1
         for item_id, text in items:
             words = words_of(text)
@@ -104,13 +107,47 @@ class Index:
         self.weights = [[w for _, w in x] for x in lists.values()]
         self.blocks = [[max(x[i:i + BLOCK_ITEMS]) for i in range(0, len(x), BLOCK_ITEMS)] for x in self.weights]
         self.largest = [max(x) for x in self.weights]
-        #: By term number; the last entry stands for all other words.
-        self.bound = np.array([*self.largest, 0.0])
+        self.item_weights: list[dict[int, float]] = [{} for _ in self.ids]
+        for t, (numbers, weights) in enumerate(zip(self.numbers, self.weights)):
+            for n, w in zip(numbers, weights):
+                self.item_weights[n][t] = w
+        # frequent words that open no list, and the most that they give any item
+        self.frequent: set[int] = set()
+        self.frequent_most, sums = 0.0, [0.0] * len(self.ids)
+        for t in sorted(range(len(self.numbers)), key=lambda t: -len(self.numbers[t])):
+            most = max(sums[n] + w for n, w in zip(self.numbers[t], self.weights[t]))
+            if most > lowest / 2:
+                break
+            for n, w in zip(self.numbers[t], self.weights[t]):
+                sums[n] += w
+            self.frequent.add(t)
+            self.frequent_most = max(self.frequent_most, most)
+        #: What each term adds to the bound of a passage; the last entry stands for all other words.
+        self.bound = np.array([*(0.0 if t in self.frequent else x for t, x in enumerate(self.largest)), 0.0])
+
+        # of each term: the blocks of neighbouring items that hold it, and its largest weight in each
+        self.item_blocks, self.item_block_most = [], []
+        for t, (numbers, weights) in enumerate(zip(self.numbers, self.weights)):
+            most: dict[int, float] = {}
+            for n, w in zip(numbers, weights):
+                most[n // BLOCK_ITEMS] = max(most.get(n // BLOCK_ITEMS, 0.0), w)
+            self.item_blocks.append(np.fromiter(most.keys(), dtype=np.int64))
+            self.item_block_most.append(np.fromiter(most.values(), dtype=np.float64))
+
+    def may_hold(self, terms: list[int], least: float) -> bool:
+        """Whether some block of items has a sum of largest weights of at least ``least``."""
+        if not terms:
+            return False
+        blocks = np.concatenate([self.item_blocks[t] for t in terms])
+        most = np.concatenate([self.item_block_most[t] for t in terms])
+        return np.bincount(blocks, weights=most).max() >= least
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all (item number, score) with a score of at least ``threshold``."""
-        cursors = [[self.numbers[t][0], 0, t] for t in terms]
-        found, slack = [], threshold - 1e-9
+        if threshold < self.lowest:
+            raise ValueError(f"the index serves thresholds from {self.lowest}")
+        cursors = [[self.numbers[t][0], 0, t] for t in terms if t not in self.frequent]
+        found, slack = [], threshold - self.frequent_most - 1e-9
         while cursors:
             cursors.sort()
             reach, pivot = 0.0, -1
@@ -137,8 +174,9 @@ class Index:
             if reach < slack:
                 target = max(behind, item + 1)
             elif cursors[0][0] == item:
-                score = sum(self.weights[t][at] for _, at, t in cursors[: pivot + 1])
-                if score >= slack:
+                held = self.item_weights[item]
+                score = sum(held.get(t, 0.0) for t in terms)
+                if score >= threshold - 1e-9:
                     found.append((item, score))
                 target = item + 1
             kept = []
@@ -165,15 +203,16 @@ class Index:
         get = self.term.get
         terms = np.fromiter((get(w, other) for w in words), dtype=np.int64, count=len(words))
         total = np.concatenate(([0.0], np.cumsum(self.bound[terms])))
-        width = 2 * self.longest
+        width, least = 2 * self.longest, threshold - self.frequent_most - 1e-6
         starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
         ends = np.minimum(starts + width, len(words))
         best: dict[int, tuple[float, float, float, int]] = {}
         for start, end in zip(starts, ends):
-            if total[end] - total[start] < threshold - 1e-6:
+            if total[end] - total[start] < least:
                 continue
-            query = [int(t) for t in np.unique(terms[start:end]) if t != other]
-            if self.bound[query].sum() < threshold - 1e-6:
+            query = np.unique(terms[start:end])
+            query = query[query != other].tolist()
+            if not self.may_hold([t for t in query if t not in self.frequent], least):
                 continue
             for number, score in self.search(query, threshold):
                 q, a = self.overlap(number, words[start:end])

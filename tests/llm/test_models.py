@@ -98,13 +98,14 @@ def _bm25(index_items, statistics, words):
 def test_block_max_wand_equals_all_scores():
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 30)))) for i in range(700)]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 30))) + " the of" + " and" * (i % 2)) for i in range(700)]
     lengths = [len(B.words_of(t)) for _, t in items]
     frequency = Counter(w for _, t in items for w in set(B.words_of(t)))
     statistics = B.Statistics(len(items), sum(lengths) / len(items), frequency)
-    index = B.Index(items, statistics)
+    index = B.Index(items, statistics, lowest=0.3)
+    assert index.frequent and index.frequent_most <= 0.15
     for n in range(60):
-        words = list(rng.choice(vocabulary, 60))
+        words = [*rng.choice(vocabulary, 60), "the", "and"]
         threshold = (0.3, 0.4, 0.6)[n % 3]
         want = {i: s for i, s in _bm25(items, statistics, words).items() if s >= threshold - 1e-9}
         got = dict(index.search(sorted({index.term[w] for w in words if w in index.term}), threshold))
