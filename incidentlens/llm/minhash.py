@@ -7,8 +7,9 @@ bijective integer mixers. Signatures are cut into bands; texts that agree in a b
 * Texts of one shingle set are one class from the start, so copies never meet.
 * In each bucket every class is compared with the bucket's first class only (a star), on the full sets.
 * What the stars have linked needs no more pairs. Classes that the first one's component does not hold are
-  compared with the rest of their bucket, unless the triangle inequality of the Jaccard distance rules a link
-  out: with distances p and q to the first class, two classes are at least |p - q| apart.
+  compared with the rest of their bucket, unless one of two bounds rules a link out. Shingles that no other class of
+  the open buckets has (edits make them) can be in no intersection. And with Jaccard distances p and q to the first
+  class, two classes are at least |p - q| apart.
 
 So no link inside any bucket is lost, and a bucket full of near copies costs one comparison for each. With 32 bands of
 four coordinates two sets of similarity 0.75 share no bucket with probability 0.000005.
@@ -145,13 +146,25 @@ def near_duplicates(
     )
     lead_label = label.select(F.col("node").alias("lead"), F.col("component").alias("_of_lead"))
     placed = materialize(placed.join(lead_label, "lead", "left").withColumn("outside", F.col("component") != F.coalesce("_of_lead", "lead")))
-    x = placed.where("outside").alias("x")
-    y = placed.where("node <> lead").alias("y")
+    still = placed.join(placed.where("outside").select("band").distinct(), "band")
+    shingle = still.select("node").distinct().join(sets, "node").select("node", F.explode("members").alias("shingle"))
+    alone = (
+        shingle.groupBy("shingle").agg(F.count("*").alias("_holders"), F.min("node").alias("node")).where("_holders = 1")
+        .groupBy("node").agg(F.count("*").alias("_alone"))
+    )
+    # what a class shares with any other one is at most ``common``
+    still = materialize(
+        still.join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("_alone", F.lit(0))).drop("_alone")
+        .where(F.col("common") * 100 >= F.col("n") * percent)
+    )
+    x = still.where("outside").alias("x")
+    y = still.where("node <> lead").alias("y")
     apart = 1 - percent / 100 + 1e-9
+    shared_most = F.least("x.common", "y.common")
     open_pairs = x.join(y, "band").where(
         (F.col("x.component") != F.col("y.component"))
         & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+        & (shared_most * 100 >= (F.col("x.n") + F.col("y.n") - shared_most) * percent)
         & (F.abs(F.col("x.away") - F.col("y.away")) <= apart)
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = materialize(verified(open_pairs, sets)).where(is_link(percent)).select("a", "b")
