@@ -79,18 +79,21 @@ def fingerprint_text(signature_set: Column) -> Column:
     return F.array_join(F.transform(signature_set, lambda s: F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
+#: A row's key in the joins: id (with a stand-in for null), whether it is null, and the text's hash.
+ROW_KEY = ["_slot", "_none", "_hash"]
+
+
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Of every distinct (id, text hash): the row before it in descending order, and that row's length.
+    """Of every distinct (id, text hash): key and length of the row before it in descending order.
 
     Only ids, hashes and lengths are sorted; the last row comes before the first one.
     """
-    distinct = rows.select("_id", "_hash", "_chars").distinct()
-    ranked = materialize(number_rows(distinct, [], [F.col("_id").desc_nulls_last(), F.col("_hash")], "_rank"))
+    distinct = rows.select(*ROW_KEY, "_chars").distinct()
+    ranked = materialize(number_rows(distinct, [], [F.col("_none"), F.col("_slot").desc(), F.col("_hash")], "_rank"))
     count = ranked.count()
     before = ranked.select(
-        (F.col("_rank") % F.lit(max(count, 1)) + 1).alias("_rank"), F.col("_id").alias("_before_id"),
-        F.col("_hash").alias("_before_hash"), F.col("_chars").alias("_before_chars"),
-    )
+        (F.col("_rank") % F.lit(max(count, 1)) + 1).alias("_rank"), "_chars", *[F.col(c).alias(f"_before{c}") for c in ROW_KEY],
+    ).withColumnRenamed("_chars", "_before_chars")
     return ranked.drop("_chars").join(before, "_rank").drop("_rank")
 
 
@@ -99,20 +102,23 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     The edited text is the row's own with the last half replaced by as much of the next row's beginning.
     """
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns(
-        {"_hash": F.xxhash64("_text"), "_chars": F.length("_text")})
-    order = neighbours(rows).select(F.col("_id").alias("_key"), F.col("_hash").alias("_digest"), "_before_id", "_before_hash", "_before_chars")
-    signed = with_signatures(rows, "_text", "_signs")
-    placed = signed.join(order, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_digest")))
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns({
+        "_slot": F.coalesce("_id", F.lit(0).cast(kind)), "_none": F.col("_id").isNull(),
+        "_hash": F.xxhash64("_text"), "_chars": F.length("_text"),
+    })
+    order = neighbours(rows)
+    placed = with_signatures(rows.drop("_id"), "_text", "_signs").join(order, ROW_KEY)
     following = placed.select(
-        F.col("_before_id").alias("_key"), F.col("_before_hash").alias("_digest"),
-        F.expr("left(_text, int(_before_chars / 2))").alias("_next"), F.col("_signs").alias("_next_signs"),
-    ).dropDuplicates(["_key", "_digest"])
-    own = placed.drop("_key", "_digest", "_before_id", "_before_hash", "_before_chars")
-    joined = own.join(following, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_digest")))
+        *[F.col(f"_before{c}").alias(c) for c in ROW_KEY],
+        # names every column of the other branch, so that both read one shuffle of the texts
+        F.expr("left(_text, least(_chars, int(_before_chars / 2)))").alias("_next"), F.col("_signs").alias("_next_signs"),
+    ).dropDuplicates(ROW_KEY)
+    joined = placed.select(*ROW_KEY, "_text", "_chars", "_signs").join(following, ROW_KEY)
     edited = F.concat(F.expr("left(_text, _chars - int(_chars / 2))"), F.col("_next"))
     return with_signatures(joined.select(
-        F.col("_id").alias(key), F.col("_chars").cast("long").alias("n_chars"), "_signs", "_next_signs", edited.alias("_edited"),
+        F.when(~F.col("_none"), F.col("_slot")).alias(key), F.col("_chars").cast("long").alias("n_chars"),
+        "_signs", "_next_signs", edited.alias("_edited"),
     ), "_edited", "_edited_signs")
 
 
