@@ -35,7 +35,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a live-looking credential go; widely copied examples and plain digit strings stay."""
+    """Documents with a credential go; widely copied examples, and hexadecimal strings outside a credential context, stay."""
     return secrets.without_live_secrets(docs)
 
 

@@ -92,3 +92,33 @@ def test_secret_edges(spark):
     assert by[3].found[0].copies == 2 and by[3].found[0].owners == 1 and by[3].found[0].standing == "live"
     assert by[None].spans == "assign:0:23"
     assert S.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_stage_keeps_clean_documents_and_drops_shared_credentials(spark):
+    """URLs and commit hashes are no credentials; two owners, or copies of one text, make no example."""
+    hashed, token = "9fceb02d0ae598e95dc970b74767f19372d61af8", "qX7vB2mK9tR4wZ8sL3nP6yH1"
+    rows = [
+        (1, "a", "see https://en.wikipedia.example.org/wiki/World_War_2_Battle_of_Britain and others"),
+        (2, "a", f"fixed in commit {hashed}, sha1 {hashed[::-1]}"),
+        (3, "a", "card 4111111111111111 and more"),
+        (4, "a", f"my api_key = {token} one"), (5, "b", f"my api_key = {token} two"),
+        *[(10 + i, f"s{i}", "the same text, password=correcthorsebattery here") for i in range(4)],
+        *[(20 + i, f"s{i}", f"tutorial {i}: password=examplepassword1") for i in range(3)],
+        (30, "a", f"bare {token[::-1]}aB9 one"), (31, "b", f"bare {token[::-1]}aB9 two"),
+        (40, "a", f"Authorization: Bearer {hashed[:32]}"), (41, "a", f"the signing key is {hashed}"),
+        (42, "a", f"blob k9/Q2xV+b7ZtR4wLs8/nP6yH1mJ3cD5 end"),
+        (43, "a", "src/main/java/org/example/Parser2Test/HttpClientFactory"),
+        (50, "a", None), (51, "a", ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    kept = {r.doc_id for r in S.without_live_secrets(df).collect()}
+    assert kept == {1, 2, 3, 20, 21, 22, 43, 50, 51}
+
+
+def test_entropy_reports_random_strings_only(spark):
+    words = ["org/wiki/World_War_2_Battle_of_Britain", "images/2023/IMG_20230415_Holiday_Trip", "aB1aB1aB1aB1aB1aB1aB1aB1"]
+    random = ["qX7vB2mK9tR4wZ8sL3nP6yH1", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXk3mPq9L"]
+    df = spark.createDataFrame([(i, f"a {t} b", f"s{i}") for i, t in enumerate(words + random)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans for r in S.scan_secrets(df).withColumn("spans", S.span_text("found")).collect()}
+    assert [got[i] for i in range(len(words))] == [""] * len(words)
+    assert [got[len(words) + i] for i in range(len(random))] == [f"entropy:2:{2 + len(t)}" for t in random]
