@@ -10,7 +10,9 @@ the largest weights of its words together reach that. Retrieved items are verifi
 of the question's and of the answer's words in their order (longest common subsequence). The question is an item's text up to its last sentence, which is
 the answer; an item of one sentence is split before its last quarter.
 
-Passages are windows of twice the longest item's words, moved by that length, so any copy of an item lies in one whole.
+Items are indexed by length class, a power of two of words (``LEAST_CLASS`` at least). Passages are windows of twice the class,
+moved by the class, so any copy of an item lies in one whole. A retrieved item is verified in spans of twice its own length, moved
+by half of it, which hold its score, its question and its answer together; so an item's matches depend on no other item's length.
 Items are indexed in shards of bounded text size, each searched by all passages; statistics are taken over all items.
 
 Defined results: null and empty texts hold nothing; null, empty or wordless items match nothing; a null id is an
@@ -39,6 +41,8 @@ THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.75, 0.5
 BLOCK_ITEMS = 8
 #: Items of one index hold at most about so many characters; more items make more shards.
 SHARD_CHARS = 8_000_000
+#: Items of up to so many words are searched together.
+LEAST_CLASS = 64
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -70,6 +74,11 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def length_class(words: int) -> int:
+    """The smallest power of two that is not below a number of words, ``LEAST_CLASS`` at least."""
+    return max(LEAST_CLASS, 1 << (words - 1).bit_length())
+
+
 @dataclass
 class Statistics:
     """Over all items: how many there are, their mean length, and in how many each word stands."""
@@ -83,9 +92,8 @@ class Index:
     """Posting lists by word: item numbers ascending, their weights, and the largest weight of every block."""
 
     def __init__(self, items: list[tuple], statistics: Statistics, lowest: float = THRESHOLD):
-        self.ids, self.parts, lists = [], [], {}
+        self.ids, self.parts, self.lengths, lists = [], [], [], {}
         self.lowest = lowest
-        self.longest = 1
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -101,7 +109,8 @@ class Index:
                 lists.setdefault(w, []).append((number, x / full))
             self.ids.append(item_id)
             self.parts.append(question_and_answer(text))
-            self.longest = max(self.longest, len(words))
+            self.lengths.append(len(words))
+        self.width = length_class(max(self.lengths, default=1))
         self.term = {w: n for n, w in enumerate(lists)}
         self.numbers = [[n for n, _ in x] for x in lists.values()]
         self.weights = [[w for _, w in x] for x in lists.values()]
@@ -194,35 +203,50 @@ class Index:
         """Shares of the question's and of the answer's words that a passage holds in order."""
         return tuple(common_in_order(p, passage) / len(p) if p else 1.0 for p in self.parts[number])
 
-    def matches(self, text: str | None, threshold: float, question: float, answer: float) -> dict[int, tuple[float, float, float, int]]:
-        """Best verified passage of every item: score, question and answer share, and its first word."""
-        words = words_of(text)
+    def verified(
+        self, number: int, words: list[str], terms: np.ndarray, start: int, end: int, threshold: float, question: float, answer: float,
+    ) -> tuple[float, float, float, int]:
+        """The best span of twice the item's length in or across a passage that holds the item: score, question and answer
+        share, and its first word negated; empty if there is none."""
+        length, held = self.lengths[number], self.item_weights[number]
+        step, best = max(1, length // 2), (0.0,)
+        first = max(0, (start - length) // step * step)
+        for at in range(first, min(end, max(1, len(words) - length + step)), step):
+            score = sum(held.get(t, 0.0) for t in set(terms[at:at + 2 * length].tolist()))
+            if score >= threshold - 1e-9:
+                q, a = self.overlap(number, words[at:at + 2 * length])
+                if q >= question - 1e-9 and a >= answer - 1e-9:
+                    best = max(best, (score, q, a, -at))
+        return best
+
+    def matches(self, words: list[str], threshold: float, question: float, answer: float) -> dict[int, tuple[float, float, float, int]]:
+        """Best verified span of every item: score, question and answer share, and its first word negated."""
         if not words or not self.ids:
             return {}
         other = len(self.term)
         get = self.term.get
         terms = np.fromiter((get(w, other) for w in words), dtype=np.int64, count=len(words))
         total = np.concatenate(([0.0], np.cumsum(self.bound[terms])))
-        width, least = 2 * self.longest, threshold - self.frequent_most - 1e-6
-        starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
-        ends = np.minimum(starts + width, len(words))
+        least = threshold - self.frequent_most - 1e-6
+        starts = np.arange(0, max(1, len(words) - self.width), self.width)
+        ends = np.minimum(starts + 2 * self.width, len(words))
         best: dict[int, tuple[float, float, float, int]] = {}
-        for start, end in zip(starts, ends):
+        for start, end in zip(starts.tolist(), ends.tolist()):
             if total[end] - total[start] < least:
                 continue
             query = np.unique(terms[start:end])
             query = query[query != other].tolist()
             if not self.may_hold([t for t in query if t not in self.frequent], least):
                 continue
-            for number, score in self.search(query, threshold):
-                q, a = self.overlap(number, words[start:end])
-                if q >= question - 1e-9 and a >= answer - 1e-9:
-                    best[number] = max(best.get(number, (0.0,)), (score, q, a, -int(start)))
+            for number, _ in self.search(query, threshold):
+                found = self.verified(number, words, terms, start, end, threshold, question, answer)
+                if len(found) > 1:
+                    best[number] = max(best.get(number, (0.0,)), found)
         return best
 
 
-def build_shards(items: DataFrame, key: str, text: str, shard_chars: int = SHARD_CHARS) -> list[Index]:
-    """Indexes of all items with words, each of bounded size, with statistics over all of them."""
+def build_shards(items: DataFrame, key: str, text: str, shard_chars: int = SHARD_CHARS) -> list[list[Index]]:
+    """Shards of all items with words, each of bounded size and with an index for each length class; statistics over all of them."""
     given = items.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
@@ -232,18 +256,27 @@ def build_shards(items: DataFrame, key: str, text: str, shard_chars: int = SHARD
     counts = Counter(w for shard in collected for _, t in shard for w in set(words_of(t)))
     held = [n for n in lengths if n]
     statistics = Statistics(len(held), sum(held) / max(len(held), 1), counts)
-    return [Index(sorted(shard, key=lambda x: (x[0] is None, x[0] or 0, x[1])), statistics) for shard in collected]
+    shards = []
+    for shard in collected:
+        classes: dict[int, list[tuple]] = {}
+        for item in sorted(shard, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+            if n := len(words_of(item[1])):
+                classes.setdefault(length_class(n), []).append(item)
+        shards.append([Index(classes[n], statistics) for n in sorted(classes)])
+    return shards
 
 
-def _finder(index: Index, threshold: float, question: float, answer: float) -> Callable:
+def _finder(shard: list[Index], threshold: float, question: float, answer: float) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, items, rows = [], [], []
             for n, text in enumerate(batch.column("_text").to_pylist()):
-                for number, (score, q, a, start) in index.matches(text, threshold, question, answer).items():
-                    of.append(n)
-                    items.append(index.ids[number])
-                    rows.append((score, q, a, -start))
+                words = words_of(text)
+                for index in shard:
+                    for number, (score, q, a, start) in index.matches(words, threshold, question, answer).items():
+                        of.append(n)
+                        items.append(index.ids[number])
+                        rows.append((score, q, a, -start))
             columns = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(pa.array(of, pa.int32())), pa.array(items, pa.int64())]
@@ -262,9 +295,9 @@ def find_leaks(
     given = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     parts = [
         given.mapInArrow(
-            _finder(index, threshold, question, answer),
+            _finder(shard, threshold, question, answer),
             f"_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
-        for index in build_shards(items, item_key, item_text)
+        for shard in build_shards(items, item_key, item_text)
     ]
     found = parts[0]
     for part in parts[1:]:
@@ -277,11 +310,12 @@ def find_leaks(
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns; each is judged in the task that reads it."""
     at = docs.columns.index(text)
-    for index in build_shards(items, item_key, item_text):
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    for shard in build_shards(items, item_key, item_text):
+        def keep(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                texts = [words_of(t) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(
-                    [not index.matches(t, THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP) for t in batch.column(at).to_pylist()], pa.bool_()))
+                    [not any(i.matches(t, THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP) for i in shard) for t in texts], pa.bool_()))
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
 

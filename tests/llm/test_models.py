@@ -124,6 +124,23 @@ def test_decontamination_query_equals_brute_force(spark):
         assert _common(question, B.words_of(docs[d])) >= 0.75 * len(question)
 
 
+def test_decontamination_does_not_depend_on_other_items(spark):
+    """One very long item neither lets a short item's scattered words match nor changes a match's score."""
+    item = "Which river runs through the old town of Bern and under its bridges? It is the river Aare in fact."
+    words = B.words_of(item)
+    scattered = " ".join(w + " filler" * 40 for w in words)
+    docs = spark.createDataFrame([(1, scattered), (2, "x " * 500 + item + " y" * 500), (3, "x " * 31 + item)], "doc_id long, text string")
+    long = " ".join(f"word{n % 7919}" for n in range(20_000))
+    short = [(10, item), (11, "Some quite different question about nothing? The answer is none.")]
+
+    def found(items):
+        rows = B.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        return {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap, r.first_word) for r in rows}
+
+    alone, both = found(short), found(short + [(12, long)])
+    assert set(alone) == {(2, 10), (3, 10)} and alone == both
+
+
 def test_decontamination_edges(spark):
     item = "Which river runs through the old town of Bern and under its bridges? It is the river Aare in fact."
     rows = [(1, item), (2, "x " * 5000 + item + " y" * 5000), (3, None), (4, ""), (5, item.replace("old", "new")), (6, item[:60]), (7, "the of " * 50_000), (1, item), (None, item.upper())]
