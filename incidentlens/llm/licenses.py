@@ -1,6 +1,9 @@
 """License scans: phrases at word positions, and an exact set-similarity join of text blocks with licence templates.
 
-The method: every text block (line) and every template is a set of words, ordered by how rare a word is in the whole
+Blocks are lines and, for notices wrapped over lines, windows of a paragraph's words (twice the longest template's, moved by its
+length; paragraphs end at empty lines). A template that is one of the phrases needs no windows: phrases span lines anyway.
+
+The method: every text block and every template is a set of words, ordered by how rare a word is in the whole
 corpus (ties by the word). A block meets a template when it holds at least ``threshold`` of the template's words. A
 template of ``n`` words needs ``need = ceil(threshold * n)`` common words, so any fitting block holds one of its
 ``n - need + 1`` rarest words (prefix filter), has at least ``need`` template words at all (length filter), and behind
@@ -42,11 +45,13 @@ THRESHOLD = 0.9
 
 def template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
     """Distinct words of each template, by the same rule that cuts the texts."""
-    sets = {}
-    for label, text in templates.items():
-        cut = "".join(c if (c.isascii() and c.isalnum()) or not c.isascii() else " " for c in text)
-        sets[label] = sorted({w.translate({i: i + 32 for i in range(65, 91)}) for w in cut.split(" ") if w})
-    return sets
+    return {label: sorted(set(spaced_words(text))) for label, text in templates.items()}
+
+
+def spaced_words(text: str) -> list[str]:
+    """The words of a fixed text in order, A-Z lower-cased."""
+    cut = "".join(c if (c.isascii() and c.isalnum()) or not c.isascii() else " " for c in text)
+    return [w.translate({i: i + 32 for i in range(65, 91)}) for w in cut.split(" ") if w]
 
 
 def spaced(text: Column) -> Column:
@@ -88,6 +93,21 @@ def template_words(line: Column, vocabulary: list[str]) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
 
 
+def windows(text: Column, longest: int, to_words) -> Column:
+    """Blocks of every paragraph of several lines: windows of ``2 * longest`` words, moved by ``longest``. A block is what
+    ``to_words`` makes of a window's words."""
+    wrapped = F.filter(
+        F.transform(F.split(text, r"\n[\x20\t\r]*(?=\n)"), lambda p: F.regexp_replace(p, r"^\n+|[\n\x20\t\r]+$", "")),
+        lambda p: F.contains(p, F.lit("\n")))
+
+    def of_paragraph(paragraph: Column) -> Column:
+        words = F.split(spaced(paragraph), " ")
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - longest - 1), F.lit(longest))
+        return F.transform(starts, lambda at: to_words(F.array_join(F.slice(words, at + 1, 2 * longest), " ")))
+
+    return F.flatten(F.transform(wrapped, of_paragraph))
+
+
 def word_frequency(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
     """In how many blocks of the corpus each template word stands; as many rows as the templates have words."""
     words = F.filter(F.split(F.lower(spaced(F.col(text))), " "), lambda w: w.isin(vocabulary))
@@ -99,7 +119,8 @@ def scan_licenses(
     docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None,
     templates: dict[str, str] | None = None, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Key, ``n_words``, ``places`` (label, at) of the phrases and ``blocks`` (label, line, share) of the templates."""
+    """Key, ``n_words``, ``places`` (label, at) of the phrases and ``blocks`` (label, line, share) of the templates;
+    a window over several lines has line -1."""
     phrases, sets = phrases or PHRASES, template_sets(templates or TEMPLATES)
     vocabulary = sorted({w for words in sets.values() for w in words})
     frequency = word_frequency(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", vocabulary)
@@ -108,19 +129,25 @@ def scan_licenses(
     shapes, prefixes = {}, []
     for label, words in sets.items():
         ranks, need = sorted(rank[w] for w in words), math.ceil(threshold * len(words) - 1e-9)
-        shapes[label] = {"label": label, "need": need, "all": ranks, "size": len(ranks)}
+        spans = " ".join(spaced_words((templates or TEMPLATES)[label])) not in phrases
+        shapes[label] = {"label": label, "need": need, "all": ranks, "size": len(ranks), "spans": spans}
         prefixes += [{"token": r, "place": i, **shapes[label]} for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     rare = sorted({order[p["token"]] for p in prefixes})
     fewest = min(s["need"] for s in shapes.values())
-    none = F.array().cast("array<struct<line:int,tokens:array<int>>>")
+    none = F.array().cast("array<struct<line:int,wrapped:boolean,tokens:array<int>>>")
     to_rank = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
     may_hold = F.lit(False)
     for word in rare:
         may_hold = may_hold | F.contains("_low", F.lit(word))
-    lines = F.transform(F.split("_text", "\n"), lambda line, n: F.struct(
-        n.alias("line"),
-        F.array_sort(F.transform(template_words(line, vocabulary), lambda w: F.element_at(to_rank, w))).alias("tokens"),
-    ))
+
+    def block(line: Column, number: Column, wrapped: bool) -> Column:
+        ranks = F.array_sort(F.transform(template_words(line, vocabulary), lambda w: F.element_at(to_rank, w)))
+        return F.struct(number.alias("line"), F.lit(wrapped).alias("wrapped"), ranks.alias("tokens"))
+
+    longest = max(len(spaced_words(t)) for t in (templates or TEMPLATES).values())
+    lines = F.concat(
+        F.transform(F.split("_text", "\n"), lambda line, n: block(line, n, False)),
+        windows(F.col("_text"), longest, lambda words: block(words, F.lit(-1), True)))
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
     ).withColumns({"_spaced": spaced(F.col("_text")), "_low": F.lower("_text")})
@@ -131,11 +158,11 @@ def scan_licenses(
         phrase_places(F.col("_spaced"), phrases).alias("places"),
         F.when(may_hold, F.filter(lines, lambda b: F.size(b["tokens"]) >= fewest)).otherwise(none).alias("_blocks"),
     ))
-    block = held.where(F.size("_blocks") > 0).select("_row", F.inline("_blocks"))
-    probes = block.select("_row", "line", "tokens", F.posexplode("tokens").alias("at", "token"))
+    blocks = held.where(F.size("_blocks") > 0).select("_row", F.inline("_blocks"))
+    probes = blocks.select("_row", "line", "wrapped", "tokens", F.posexplode("tokens").alias("at", "token"))
     wanted = values_table(docs.sparkSession, prefixes)
     candidates = probes.join(F.broadcast(wanted), "token").where(  # as many rows as the given templates have prefix words
-        (F.size("tokens") >= F.col("need"))
+        (F.col("spans") | ~F.col("wrapped")) & (F.size("tokens") >= F.col("need"))
         & (F.least(F.size("tokens") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need"))
     )
     share = F.size(F.array_intersect("tokens", "all")) / F.col("size")

@@ -64,6 +64,20 @@ def test_license_edges(spark, tmp_path):
     assert L.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """Notices as published, wrapped over lines, have their labels; words of two paragraphs do not meet."""
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction")
+    bsd = ("Redistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions are met:")
+    gpl = ("    This program is free software: you can redistribute it and/or modify\r\n    it under the terms of the GNU General Public License as published by\r\n"
+           "    the Free Software Foundation")
+    texts = [mit, "x y z\n" * 30 + mit.replace(" ", "  "), f"Copyright\n\n{bsd}\n\nmore", gpl, "one " * 500 + "\n\n" + mit.replace(" ", "\n"), bsd.replace("\n", "\n \n")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {b.label for b in r.blocks} for r in L.scan_licenses(df).collect()}
+    assert got == {0: {"mit-text"}, 1: {"mit-text"}, 2: {"bsd"}, 3: {"gpl-notice"}, 4: {"mit-text"}, 5: set()}
+
+
 def _signs(text):
     if text == "":
         return frozenset()
