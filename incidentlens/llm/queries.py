@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from incidentlens.llm import decontaminate, fingerprints, html_extract, licenses, line_dedup, minhash, pieces, secrets, toxicity, url_filter
+from incidentlens.llm import (
+    decontaminate, fingerprints, html_extract, licenses, line_dedup, minhash, pieces, prefix_trie, secrets, toxicity, url_filter,
+)
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -16,6 +18,7 @@ QUERIES = {
     "op8_piece_sampling": pieces.op8_piece_sampling,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,6 +27,7 @@ SQL = {
     "op4_minhash": minhash.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
