@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from incidentlens.llm import (
-    decontaminate, fingerprints, html_extract, licenses, line_dedup, minhash, pieces, prefix_trie, secrets, toxicity, url_filter,
+    decontaminate, fingerprints, html_extract, licenses, line_dedup, minhash, pieces, prefix_trie, secrets, token_output, toxicity,
+    url_filter, whitening,
 )
 
 QUERIES = {
@@ -19,6 +20,8 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_token_output": token_output.op12_token_output,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
