@@ -23,6 +23,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,13 +44,14 @@ PART_END = re.compile(r"(?<=\w)\n(?=\w)")
 #: White space, and characters that some libraries take for it; a space between two others.
 WHITE = frozenset(c for c in map(chr, [*range(0x3100)]) if c.isspace()) | {"\u180e", "\u200b", "\ufeff"}
 BETWEEN = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
-EDGE = "^[%s]|[%s]$" % (("".join(rf"\x{{{ord(c):X}}}" for c in sorted(WHITE)),) * 2)
-#: Encoded chunks, and words, that a worker keeps.
-KNOWN = 400_000
+_CLASS = "".join(rf"\x{{{ord(c):X}}}" for c in sorted(WHITE - {"\n"}))
+EDGE = rf"^\n?[{_CLASS}]|^\n\n|[{_CLASS}\n]$"
+#: Encoded words that a worker keeps.
+KNOWN = 1_000_000
 #: Latin letters, then ASCII punctuation other than an apostrophe.
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+WORD = r"^(?P<word>\n?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)(?P<mark>[!-&(-/:-@\[-`{-~]*)$"
 #: The byte-level form of a text: bytes that cannot be shown stand as the characters from U+0100 on.
-SHOWN = {byte: 256 + n for n, byte in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+SPACE, LINE_END, SHOWN = "\u0120", "\u010a", {byte: 256 + n for n, byte in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 #: Fixed values of Simple-8b: ids in a word and bits of each, by selector. The two widest forms are not used: escapes stand for them.
 FORMS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20)]
@@ -65,14 +67,20 @@ def pack(ids: np.ndarray) -> bytes:
     ids = np.asarray(ids, dtype=np.uint32)
     n = len(ids)
     escaped = ids >= ESCAPE
-    values = np.where(escaped, np.uint32(ESCAPE), ids).astype(np.uint64)
-    places = np.arange(n)
-    chosen = np.full(n, len(FORMS) - 1)
-    for selector in range(len(FORMS) - 2, -1, -1):
+    values = np.where(escaped, np.uint32(ESCAPE), ids)
+    most = int(_COUNTS.max())
+    # bits of each id, then the most bits of 1, 2, ... ids from each place on; places behind the end need none
+    bits_of = np.zeros(n + most, dtype=np.uint8)
+    bits_of[:n] = np.frexp(values.astype(np.float32))[1]
+    widest, have = bits_of, 1
+    chosen = np.full(n, len(FORMS) - 1, dtype=np.uint8)
+    for selector in range(len(FORMS) - 1, -1, -1):
         count, bits = FORMS[selector]
-        wide = np.where(values >> np.uint64(bits) == 0, n + count, places)
-        until = np.minimum.accumulate(wide[::-1])[::-1]
-        chosen[until - places >= count] = selector
+        while have < count:
+            step = min(have, count - have)
+            widest = np.maximum(widest[:-step], widest[step:])
+            have += step
+        chosen[widest[:n] <= bits] = selector
     steps, starts, at = _COUNTS[chosen].tolist(), [], 0
     while at < n:
         starts.append(at)
@@ -80,7 +88,7 @@ def pack(ids: np.ndarray) -> bytes:
     starts = np.array(starts, dtype=np.int64)
     selectors = chosen[starts]
     words = selectors.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate((values, np.zeros(_COUNTS.max(), dtype=np.uint64)))
+    padded = np.concatenate((values.astype(np.uint64), np.zeros(most, dtype=np.uint64)))
     for selector in np.unique(selectors):
         count, bits = FORMS[selector]
         if bits:
@@ -188,82 +196,94 @@ def parts(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
+class Recent(dict):
+    """Known ids: a full table becomes the old one, from which what is asked for again comes back. Both hold at most ``most``."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = most // 2, {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Keys that neither table has; after it, the others are in this one."""
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+        absent = [key for key in keys if key not in self]
+        self.update((key, self.old[key]) for key in absent if key in self.old)
+        return [key for key in absent if key not in self]
+
+
 class Encoder:
-    """Encodes texts chunk by chunk. Chunks are what stands between single spaces; the library encodes each once, then it is known.
+    """Encodes texts chunk by chunk. Chunks are what stands between single spaces or line ends; the library encodes each once, then it is known.
 
-    A space between two characters that are no white space always begins a token, so the ids of the chunks are those of the text. A chunk
-    of Latin letters and punctuation behind them is two words by the vocabulary's rule, which the library merges; it
-    encodes all others whole. At most ``KNOWN`` chunks and as many words are kept. A vocabulary of another kind gets whole texts.
+    A space between two characters that are no white space always begins a token, and a line end is one, so the ids of the chunks are those
+    of the text. A chunk of Latin letters and punctuation behind them is two words by the vocabulary's rule, which the library merges; it
+    encodes all others whole. About ``KNOWN`` words are kept. A vocabulary of another kind gets whole texts.
     """
 
     def __init__(self, model: str, plain_special: bool):
         self.library, self.by_chunk = tokenizer(model, plain_special), cuts_at_spaces(model)
-        self.behind_space: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.behind_space = Recent(KNOWN)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Every text's ids as 32-bit numbers, by the library."""
         cut = [parts(t) for t in texts] if self.by_chunk else [[t] for t in texts]
         found = iter(self.library.encode_batch_fast([p for own in cut for p in own], add_special_tokens=False))
-        return [b"".join([np.array(next(found).ids, dtype=np.uint32).tobytes() for _ in own]) for own in cut]
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, each with the space before it: words go straight to the library's merges."""
-        if len(self.behind_space) + len(chunks) > KNOWN:
-            self.behind_space.clear()
-        if len(self.words) > KNOWN:
-            self.words.clear()
-        known, merge, hard = self.words, self.library.model.tokenize, []
-        for chunk in chunks:
-            found = WORD.fullmatch(chunk)
-            if found is None:
-                hard.append(chunk)
+        return [b"".join([array("I", next(found).ids).tobytes() for _ in own]) for own in cut]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words, each with the space or line end before it: Latin ones go straight to the library's merges."""
+        merge, hard = self.library.model.tokenize, []
+        for word in words:
+            line, letters = word.startswith("\n"), word.removeprefix("\n")
+            if not letters.isalpha():
+                hard.append(word)
                 continue
-            out = b""
-            for word in (f" {found[1]}", found[2]):
-                if word and word not in known:
-                    shown = word.encode().decode("latin-1").translate(SHOWN)
-                    known[word] = np.array([t.id for t in merge(shown)], dtype=np.uint32).tobytes()
-                out += known[word] if word else b""
-            self.behind_space[chunk] = out
-        self.behind_space.update(zip(hard, self.whole([f" {c}" for c in hard])))
-
-    def of_chunks(self, flat: pa.Array, sizes: np.ndarray) -> list[np.ndarray]:
-        """The ids of texts given as their chunks in a row."""
-        coded = flat.dictionary_encode()
-        chunks, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        new = [c for c in chunks if c not in self.behind_space]
-        if len(self.behind_space) + len(new) > KNOWN:
-            new = chunks
-        if new:
+            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(SHOWN)
+            found = [*merge(LINE_END), *merge(shown)] if line else merge(SPACE + shown)
+            self.behind_space[word] = array("I", [t.id for t in found]).tobytes()
+        self.behind_space.update(zip(hard, self.whole([word if word.startswith("\n") else f" {word}" for word in hard])))
+
+    def chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks behind a space: each is a word and the marks behind it."""
+        found = pc.extract_regex(chunks, WORD)
+        plain = found.is_valid()
+        words = pc.if_else(plain, found.field("word"), chunks).dictionary_encode()
+        marks = pc.if_else(plain, found.field("mark"), "").dictionary_encode()
+        keys = words.dictionary.to_pylist()
+        if new := self.behind_space.missing(keys):
             self.learn(new)
-        starts = np.concatenate(([0], np.cumsum(sizes[:-1])))
-        first = index[starts]
-        used, place = np.unique(first, return_inverse=True)
-        index[starts] = len(chunks) + place  # no space before a text's first chunk
-        table = [self.behind_space[c] for c in chunks] + self.whole([chunks[n] for n in used])
-        length = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
-        before = np.cumsum(length) - length
-        count = length[index]
-        ends = np.cumsum(count)
-        ids = np.frombuffer(b"".join(table), dtype=np.uint32)[np.repeat(before[index] - ends + count, count) + np.arange(count.sum())]
-        return np.split(ids, ends[starts[1:] - 1])
+        of_word = pa.array([self.behind_space[key] for key in keys], pa.large_binary()).take(words.indices)
+        of_mark = pa.array(self.whole(marks.dictionary.to_pylist()), pa.large_binary()).take(marks.indices)
+        return pc.binary_join_element_wise(of_word, of_mark, pa.scalar(b"", pa.large_binary()))
+
+    def of_chunks(self, coded: pa.DictionaryArray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts given as their chunks in a row."""
+        index, starts = coded.indices.to_numpy().copy(), np.concatenate(([0], np.cumsum(sizes[:-1])))
+        used, place = np.unique(index[starts], return_inverse=True)
+        index[starts] = len(coded.dictionary) + place  # no space before a text's first chunk
+        firsts = pa.array(self.whole(coded.dictionary.take(pa.array(used)).to_pylist()), pa.large_binary())
+        joined = pa.concat_arrays([self.chunk_ids(coded.dictionary), firsts]).take(pa.array(index))
+        offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(joined) + 1) // 4
+        data = joined.buffers()[2]
+        ids = np.frombuffer(data, dtype=np.uint32, count=offsets[-1]) if offsets[-1] else np.zeros(0, dtype=np.uint32)
+        return np.split(ids, offsets[starts[1:]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.frombuffer(ids, dtype=np.uint32) for ids in self.whole(texts)]
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        flat, sizes = cut.flatten(), np.diff(np.asarray(cut.offsets))
-        # chunks that are empty or have white space at an end do not stand between single spaces
-        odd = pc.or_(pc.equal(flat, ""), pc.match_substring_regex(flat, EDGE)).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        coded, sizes = cut.flatten().dictionary_encode(), np.diff(np.asarray(cut.offsets))
+        # chunks that are empty or have other white space at an end do not stand between single spaces or line ends
+        odd = pc.or_(pc.equal(coded.dictionary, ""), pc.match_substring_regex(coded.dictionary, EDGE)).to_numpy(zero_copy_only=False)
         if not odd.any():
-            return self.of_chunks(flat, sizes)
-        of = np.unique(np.repeat(np.arange(len(texts)), sizes)[odd])
-        again = [BETWEEN.split(texts[n]) for n in of]
+            return self.of_chunks(coded, sizes)
+        of = np.unique(np.repeat(np.arange(len(texts)), sizes)[odd[coded.indices.to_numpy()]])
         kept = np.setdiff1d(np.arange(len(texts)), of)
-        pieces = cut.take(pa.array(kept)).flatten().to_pylist() if len(kept) else []
-        pieces += [c for own in again for c in own]
-        found = self.of_chunks(pa.array(pieces, pa.large_string()), np.concatenate((sizes[kept], [len(own) for own in again])).astype(np.int64))
+        again = [BETWEEN.split(texts[n]) for n in of]
+        pieces = [cut.take(pa.array(kept)).flatten(), pa.array([c for own in again for c in own], pa.large_string())]
+        sizes = np.concatenate((sizes[kept], [len(own) for own in again])).astype(np.int64)
+        found = self.of_chunks(pa.concat_arrays(pieces).dictionary_encode(), sizes)
         return [found[n] for n in np.argsort(np.concatenate((kept, of)), kind="stable")]
 
 

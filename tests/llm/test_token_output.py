@@ -95,4 +95,4 @@ def test_known_chunks_are_bounded(monkeypatch):
     for n in range(20):
         texts = [f"word{n} and other{n + k} words" for k in range(8)]
         assert [x.tolist() for x in own.encode(texts)] == [library.encode(t).ids for t in texts]
-        assert len(own.behind_space) <= 50 and len(own.words) <= 100
+        assert len(own.behind_space) <= 50 and len(own.behind_space.old) <= 50
