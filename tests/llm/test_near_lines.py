@@ -97,6 +97,25 @@ def test_components_of_a_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def by_id(rows, key):
+    return next(r for r in rows if r.doc_id == key)
+
+
+def test_short_and_unspaced_lines_and_hot_line(spark):
+    """A third of the documents share a line; lines without spaces and of one letter are units like others."""
+    rows = [(i, f"own {i}\nshared by many\n漢字かな交じり文を繰り返す\n|\n\nend {i}" if i % 3 == 0 else f"own {i}\n|") for i in range(300)]
+    got = {r.doc_id: r.text for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == (f"own {i}\nend {i}" if i % 3 == 0 else f"own {i}") for i in range(1, 300))
+
+
+def test_paragraph_units(spark):
+    """Paragraphs wrapped in different ways are copies; breaks of what is left stay as they were."""
+    rows = [(1, "a b\nc d\n\nkeep\none"), (2, "first\n \t\na B c\n d \n\n\n\nlast"), (3, "a b c d"), (4, "\n\n"), (5, None), (6, "keep one\n\n x"), (7, "x\n\nx")]
+    got = {r.doc_id: r for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), unit="paragraph").collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "first\n\n\n\nlast", 3: "", 4: "\n\n", 5: "", 6: " x", 7: ""}
+    assert [tuple(s) for s in got[2].spans] == [(9, 18)] and got[2].kept_doc_ids == [1] and got[7].kept_doc_ids == [6, 6]
+
+
 def test_line_edges(spark):
     long = "these are certainly more than eight words in one line"
     rows = [
@@ -107,10 +126,11 @@ def test_line_edges(spark):
     got = sorted(D.dedup_lines(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, len(r.spans)))
     assert len(got) == len(rows)
     text = {r.doc_id: r.text for r in got}
-    assert text[1] == f"{long}\nhi" and text[3] == "intro\nend" and text[4] == text[5] == "" and text[6] == "hi" and text[None] == ""
-    assert text[2] == "other"  # short repeated lines go with the repeated run they stand in
+    assert text[1] == f"{long}\nhi" and text[3] == "intro\nend" and text[4] == text[5] == "" and text[6] == text[None] == ""
+    assert text[2] == "other"  # empty lines go with the removed line before them
+    assert all(r.n_chars == len(r.text) for r in got) and by_id(got, 2).n_chars_before == len(rows[2][1])
     assert text[7] == "a b c\nd e f\n\ng h i\nx" and text[8] == "y" and text[9] == f"{long}𝒳" and text[10] == ""
     by = {r.doc_id: r for r in got}
     assert [tuple(s) for s in by[3].spans] == [(6, 6 + len(long))] and by[3].kept_doc_ids == [1]
-    assert [r.text for r in got if r.doc_id == 11] == ["w", "w"]
+    assert [r.text for r in got if r.doc_id == 11] == ["w", ""]
     assert D.dedup_lines(df.limit(0)).count() == 0
