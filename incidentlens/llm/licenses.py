@@ -1,17 +1,18 @@
 """License scans: phrases at word positions, and an exact set-similarity join of text blocks with licence templates.
 
-Blocks are lines and, for notices wrapped over lines, windows of a paragraph's words (twice the longest template's, moved by its
-length; paragraphs end at empty lines). A template that is one of the phrases needs no windows: phrases span lines anyway.
+A text block is a run of words inside one paragraph (what stands between empty lines, however it is wrapped), for a template of ``m``
+words one of ``2 * m`` words. So words that are scattered over a long line make no block together.
 
 The method: every text block and every template is a set of words, ordered by how rare a word is in the whole
 corpus (ties by the word). A block meets a template when it holds at least ``threshold`` of the template's words. A
 template of ``n`` words needs ``need = ceil(threshold * n)`` common words, so any fitting block holds one of its
-``n - need + 1`` rarest words (prefix filter), has at least ``need`` template words at all (length filter), and behind
-the first common word enough words remain on both sides (positional filter). Survivors are counted in full. Words
-that are in no template cannot count for any of these tests and are left out of a block's set at once.
+``n - need + 1`` rarest words (prefix filter): only the surroundings of such words are looked at, the other texts are
+left after one pass over their words. There must be at least ``need`` template words around it (length filter), and behind
+the first common word in the order enough must remain on both sides (positional filter). What is left is counted in full, block by block.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows are judged row by row and
-all returned; an empty table gives an empty result. Only key and text are read, so other columns cannot clash.
+all returned; an empty table gives an empty result; of a very long text only the surroundings of rare words are kept,
+at most three times its words. Only key and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -87,92 +88,78 @@ def phrase_places(spaced_text: Column, phrases: dict[str, str]) -> Column:
     return F.concat(*found)
 
 
-def template_words(line: Column, vocabulary: list[str]) -> Column:
-    """The distinct template words of one block."""
-    words = F.split(lower_ascii(spaced(line)), " ")
-    return F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
-
-
-def windows(text: Column, longest: int, to_words) -> Column:
-    """Blocks of every paragraph of several lines: windows of ``2 * longest`` words, moved by ``longest``. A block is what
-    ``to_words`` makes of a window's words."""
-    wrapped = F.filter(
-        F.transform(F.split(text, r"\n[\x20\t\r]*(?=\n)"), lambda p: F.regexp_replace(p, r"^\n+|[\n\x20\t\r]+$", "")),
-        lambda p: F.contains(p, F.lit("\n")))
+def word_frequency(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
+    """How often each template word stands in the corpus; as many rows as the templates have words."""
+    words = docs.select(F.explode(F.split(lower_ascii(spaced(F.col(text))), " ")).alias("word"))
+    return {r["word"]: r["n"] for r in words.where(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
-    def of_paragraph(paragraph: Column) -> Column:
-        words = F.split(spaced(paragraph), " ")
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - longest - 1), F.lit(longest))
-        return F.transform(starts, lambda at: to_words(F.array_join(F.slice(words, at + 1, 2 * longest), " ")))
 
-    return F.flatten(F.transform(wrapped, of_paragraph))
+def surroundings(paragraphs: Column, rare: list[str], length: int) -> Column:
+    """Paragraph, first place and words of every stretch of ``3 * length`` words whose middle third holds a rare word."""
+    def of_paragraph(words: Column, number: Column) -> Column:
+        thirds = F.array_distinct(F.filter(
+            F.transform(words, lambda w, at: F.when(w.isin(rare), F.floor(at / length).cast("int"))), lambda third: third.isNotNull()))
+        return F.transform(thirds, lambda third: F.struct(
+            number.alias("paragraph"), F.greatest((third - 1) * length, F.lit(0)).alias("base"),
+            F.slice(words, F.greatest((third - 1) * length, F.lit(0)) + 1, F.when(third == 0, 2 * length).otherwise(3 * length)).alias("words")))
 
-
-def word_frequency(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
-    """In how many blocks of the corpus each template word stands; as many rows as the templates have words."""
-    words = F.filter(F.split(F.lower(spaced(F.col(text))), " "), lambda w: w.isin(vocabulary))
-    rows = docs.select(F.explode(F.split(F.col(text), "\n")).alias(text)).select(F.explode(F.array_distinct(words)).alias("word"))
-    return {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return F.flatten(F.transform(paragraphs, of_paragraph))
 
 
 def scan_licenses(
     docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None,
     templates: dict[str, str] | None = None, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Key, ``n_words``, ``places`` (label, at) of the phrases and ``blocks`` (label, line, share) of the templates;
-    a window over several lines has line -1."""
-    phrases, sets = phrases or PHRASES, template_sets(templates or TEMPLATES)
+    """Key, ``n_words``, ``places`` (label, at) of the phrases and ``blocks`` (label, paragraph, at, share) of the templates: the best
+    block around each rare word, and the place of its first template word in the paragraph."""
+    phrases, templates = phrases or PHRASES, templates or TEMPLATES
+    sets = template_sets(templates)
     vocabulary = sorted({w for words in sets.values() for w in words})
     frequency = word_frequency(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", vocabulary)
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: n for n, w in enumerate(order)}
-    shapes, prefixes = {}, []
+    prefixes = []
     for label, words in sets.items():
         ranks, need = sorted(rank[w] for w in words), math.ceil(threshold * len(words) - 1e-9)
-        spans = " ".join(spaced_words((templates or TEMPLATES)[label])) not in phrases
-        shapes[label] = {"label": label, "need": need, "all": ranks, "size": len(ranks), "spans": spans}
-        prefixes += [{"token": r, "place": i, **shapes[label]} for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+        shape = {"label": label, "need": need, "all": ranks, "size": len(ranks), "span": 2 * len(spaced_words(templates[label]))}
+        prefixes += [{"token": r, "place": i, **shape} for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     rare = sorted({order[p["token"]] for p in prefixes})
-    fewest = min(s["need"] for s in shapes.values())
-    none = F.array().cast("array<struct<line:int,wrapped:boolean,tokens:array<int>>>")
+    longest = max(p["span"] for p in prefixes)
     to_rank = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
-    may_hold = F.lit(False)
-    for word in rare:
-        may_hold = may_hold | F.contains("_low", F.lit(word))
-
-    def block(line: Column, number: Column, wrapped: bool) -> Column:
-        ranks = F.array_sort(F.transform(template_words(line, vocabulary), lambda w: F.element_at(to_rank, w)))
-        return F.struct(number.alias("line"), F.lit(wrapped).alias("wrapped"), ranks.alias("tokens"))
-
-    longest = max(len(spaced_words(t)) for t in (templates or TEMPLATES).values())
-    lines = F.concat(
-        F.transform(F.split("_text", "\n"), lambda line, n: block(line, n, False)),
-        windows(F.col("_text"), longest, lambda words: block(words, F.lit(-1), True)))
+
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
-    ).withColumns({"_spaced": spaced(F.col("_text")), "_low": F.lower("_text")})
-    held = materialize(rows.select(
-        "_row", "_key",
-        F.when(F.col("_spaced") == "", 0).otherwise(F.length("_spaced") - F.length(F.replace("_spaced", F.lit(" "), F.lit(""))) + 1)
-        .cast("long").alias("n_words"),
+    ).withColumn("_spaced", spaced(F.col("_text"))).withColumn("_words", F.split(lower_ascii(F.col("_spaced")), " "))
+    own = F.transform(F.split("_text", r"\n[\x20\t\x0B\x0C\r]*(?=\n)"), lambda p: F.split(lower_ascii(spaced(p)), " "))
+    cut = rows.withColumn("_paragraphs", F.when(F.exists("_words", lambda w: w.isin(rare)), own))
+    none = F.array().cast("array<struct<paragraph:int,base:int,words:array<string>>>")
+    held = materialize(cut.select(
+        "_row", "_key", F.when(F.col("_spaced") == "", 0).otherwise(F.size("_words")).cast("long").alias("n_words"),
         phrase_places(F.col("_spaced"), phrases).alias("places"),
-        F.when(may_hold, F.filter(lines, lambda b: F.size(b["tokens"]) >= fewest)).otherwise(none).alias("_blocks"),
+        F.coalesce(surroundings(F.col("_paragraphs"), rare, longest), none).alias("_near"),
     ))
-    blocks = held.where(F.size("_blocks") > 0).select("_row", F.inline("_blocks"))
-    probes = blocks.select("_row", "line", "wrapped", "tokens", F.posexplode("tokens").alias("at", "token"))
+    near = held.where(F.size("_near") > 0).select("_row", F.inline("_near"))
+    tokens = F.filter(F.transform("words", lambda w, at: F.when(
+        w.isin(vocabulary), F.struct((F.col("base") + at).alias("at"), F.element_at(to_rank, w).alias("rank")))), lambda t: t.isNotNull())
+    known = near.select("_row", "paragraph", tokens.alias("tokens")).withColumn(
+        "ranks", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: t["rank"]))))
+    probes = known.select("_row", "paragraph", "tokens", "ranks", F.posexplode("ranks").alias("at", "token"))
     wanted = values_table(docs.sparkSession, prefixes)
     candidates = probes.join(F.broadcast(wanted), "token").where(  # as many rows as the given templates have prefix words
-        (F.col("spans") | ~F.col("wrapped")) & (F.size("tokens") >= F.col("need"))
-        & (F.least(F.size("tokens") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need"))
-    )
-    share = F.size(F.array_intersect("tokens", "all")) / F.col("size")
+        (F.size("ranks") >= F.col("need")) & (F.least(F.size("ranks") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need")))
+    mine = candidates.select(
+        "_row", "paragraph", "label", "need", "size", "span", F.filter("tokens", lambda t: F.array_contains(F.col("all"), t["rank"])).alias("mine"))
+    best = F.array_max(F.transform("mine", lambda s: F.struct(
+        F.size(F.array_distinct(F.transform(
+            F.filter("mine", lambda t: t["at"].between(s["at"], s["at"] + F.col("span") - 1)), lambda t: t["rank"]))).alias("n"),
+        (-s["at"]).alias("at"))))
     hits = (
-        candidates.select("_row", "line", "label", "need", "size", share.alias("share"))
-        .where(F.col("share") * F.col("size") >= F.col("need") - 1e-9)
-        .groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("label", "line", "share"))).alias("blocks"))
+        mine.withColumn("best", best).where(F.col("best.n") >= F.col("need")).groupBy("_row")
+        .agg(F.sort_array(F.collect_set(F.struct(
+            "label", "paragraph", (-F.col("best.at")).alias("at"), (F.col("best.n") / F.col("size")).alias("share")))).alias("blocks"))
     )
-    no_blocks = F.array().cast("array<struct<label:string,line:int,share:double>>")
-    return held.drop("_blocks").withColumnRenamed("_key", key).join(hits, "_row", "left").select(
+    no_blocks = F.array().cast("array<struct<label:string,paragraph:int,at:int,share:double>>")
+    return held.drop("_near").withColumnRenamed("_key", key).join(hits, "_row", "left").select(
         key, "n_words", "places", F.coalesce("blocks", no_blocks).alias("blocks"))
 
 

@@ -22,13 +22,15 @@ def _license(text):
         p = phrase.split()
         found += [(i, label) for i in range(len(words)) if words[i:i + len(p)] == p]
     own, best = set(), 0.0
-    for line in (text or "").split("\n"):
-        have = set(_words(line))
+    for paragraph in re.split(r"\n[ \t\x0b\x0c\r]*(?=\n)", text or ""):
+        here = _words(paragraph)
         for label, want in L.template_sets(L.TEMPLATES).items():
-            share = len(have & set(want)) / len(want)
-            if share >= L.THRESHOLD - 1e-9:
-                own.add(label)
-                best = max(best, share)
+            span, known = 2 * len(L.spaced_words(L.TEMPLATES[label])), set(want)
+            for i, word in enumerate(here):
+                share = len(known.intersection(here[i:i + span])) / len(want) if word in known else 0
+                if share >= L.THRESHOLD - 1e-9:
+                    own.add(label)
+                    best = max(best, share)
     at = [i for i, _ in found]
     base = {x for _, x in found}
     return (len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted(base)),
@@ -78,6 +80,18 @@ def test_wrapped_notices(spark):
     assert got == {0: {"mit-text"}, 1: {"mit-text"}, 2: {"bsd"}, 3: {"gpl-notice"}, 4: {"mit-text"}, 5: set()}
 
 
+def test_scattered_words_make_no_block(spark):
+    """Template words spread over a long line are no notice; inside twice the notice's length they are, also far into a long line."""
+    words = "licensed under CC BY 4.0".replace(".", " ").split()
+    scattered = " ".join(f"{w} {'filler ' * 20}" for w in words)
+    near = " ".join(f"{w} filler" for w in words)
+    tail = "filler " * 1000 + near + " filler" * 1000
+    df = spark.createDataFrame([(0, scattered), (1, near), (2, tail), (3, "cc " * 3000 + near), (4, scattered.replace(" ", "\n"))], "doc_id long, text string")
+    got = {r.doc_id: {(b.label, b.at) for b in r.blocks} for r in L.scan_licenses(df).collect()}
+    assert got[0] == got[4] == set() and got[1] == {("cc-by-4.0", 0)} and got[2] == {("cc-by-4.0", 1000)}
+    assert {label for label, _ in got[3]} == {"cc-by-4.0"}
+
+
 def _signs(text):
     if text == "":
         return frozenset()
