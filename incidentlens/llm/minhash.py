@@ -6,10 +6,11 @@ bijective integer mixers. Signatures are cut into bands; texts that agree in a b
 
 * Texts of one shingle set are one class from the start, so copies never meet.
 * In each bucket every class is compared with the bucket's first class only (a star), on the full sets.
-* What the stars have linked needs no more pairs. Classes that the first one's component does not hold are
-  compared with the rest of their bucket, unless one of two bounds rules a link out. Shingles that no other class of
-  the open buckets has (edits make them) can be in no intersection. And with Jaccard distances p and q to the first
-  class, two classes are at least |p - q| apart.
+* What the stars have linked needs no more pairs. A bucket with classes outside the first one's component gets a second star, around
+  its most central class: the one with the fewest shingles that no other class of the open buckets has (edits make such).
+* Classes still outside are compared with the rest of their bucket, each pair in the smallest of its common buckets, unless a bound rules
+  the link out. Shingles that no other class has can be in no intersection; and two classes share at most what both
+  share with the central class, and what both have beside it.
 
 So no link inside any bucket is lost, and a bucket full of near copies costs one comparison for each. With 32 bands of
 four coordinates two sets of similarity 0.75 share no bucket with probability 0.000005.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm.common import materialize, read_table
+from incidentlens.llm.common import in_batches, join_hot, materialize, read_table
 from incidentlens.llm.graph import components
 from incidentlens.llm.shingles import mix64, set_digest, shingle_sets
 
@@ -118,11 +119,12 @@ def near_duplicates(
 ) -> DataFrame:
     """Every row's key, ``_hash`` of its text, ``n_shingles`` and ``component_id`` (smallest key it can reach)."""
     given = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
-    signed = materialize(given.select("_id", "_hash", "_text").mapInArrow(
-        lambda batches: _sign(batches, bands, rows),
+    signed = materialize(in_batches(
+        given.select("_id", "_hash", "_text"), lambda batches: _sign(batches, bands, rows),
         f"_id {_id_type(docs, key)}, _hash long, n long, digest string, bands array<long>",
     ).withColumn("_row", F.monotonically_increasing_id()))
-    classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("_row").alias("node")))
+    classes = materialize(signed.where("n > 0").groupBy("digest").agg(
+        F.min("_row").alias("node"), F.min("_id").alias("_first"), F.count("*").alias("_rows")))
     first = signed.join(classes.select(F.col("node").alias("_row")), "_row").withColumnRenamed("_row", "node")
     spread = first.select("node", "n", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("_classes"), F.min("node").alias("lead")).where("_classes > 1").drop("_classes")
@@ -131,22 +133,39 @@ def near_duplicates(
     wanted = members.select("node").distinct()
     source = materialize(first.join(wanted, "node").select("node", F.col("_id").alias("_key"), F.col("_hash").alias("_digest")))
     texts = given.join(source, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_digest"))).select("node", "_text")
-    sets = materialize(texts.mapInArrow(_sets, "node long, members array<long>").dropDuplicates(["node"]))
+    sets = materialize(in_batches(texts, _sets, "node long, members array<long>").dropDuplicates(["node"]))
 
     star_pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(verified(star_pairs, sets))
     links = stars.where(is_link(percent)).select("a", "b")
     label = components(links)
 
-    # what the stars have left open
-    far = stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("common") / F.col("together")).alias("away"))
+    second = central_links(members, label, sets, percent)
+    if second is not None:
+        label = components(links.union(second))
+
+    named = classes.join(label, "node", "left").select("digest", "_first", "_rows", F.coalesce("component", "node").alias("_group"))
+    named = materialize(named)
+    smallest = materialize(named.groupBy("_group").agg(F.min("_first").alias("component_id"), F.count("*").alias("_classes")))
+    of_class = materialize(join_hot(named, smallest, ["_group"], "_classes", named.count()).select("digest", "_rows", "component_id"))
+    told = signed.where("n > 0").select("_id", "_hash", "n", "digest")
+    empty = signed.where("n = 0").select("_id", "_hash", "n", F.col("_id").alias("component_id"))
+    found = join_hot(told, of_class, ["digest"], "_rows", signed.count()).select("_id", "_hash", "n", "component_id").unionByName(empty)
+    return found.select(F.col("_id").alias(key), "_hash", F.col("n").alias("n_shingles"), "component_id")
+
+
+def central_links(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between the components that the first stars have left apart in some bucket; None if they left nothing."""
+    of_lead = label.select(F.col("node").alias("lead"), F.col("component").alias("_of_lead"))
     placed = (
-        members.join(far, ["lead", "node"], "left").join(label, "node", "left")
-        .select("band", "lead", "node", "n", F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("component", "node").alias("component"))
+        members.join(label, "node", "left").join(of_lead, "lead", "left")
+        .select("band", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("_of_lead", "lead").alias("_of_lead"))
     )
-    lead_label = label.select(F.col("node").alias("lead"), F.col("component").alias("_of_lead"))
-    placed = materialize(placed.join(lead_label, "lead", "left").withColumn("outside", F.col("component") != F.coalesce("_of_lead", "lead")))
-    still = placed.join(placed.where("outside").select("band").distinct(), "band")
+    placed = materialize(placed)
+    apart = placed.where("component <> _of_lead").select("band").distinct()
+    still = materialize(placed.join(apart, "band").drop("_of_lead"))
+    if still.isEmpty():
+        return None
     shingle = still.select("node").distinct().join(sets, "node").select("node", F.explode("members").alias("shingle"))
     alone = (
         shingle.groupBy("shingle").agg(F.count("*").alias("_holders"), F.min("node").alias("node")).where("_holders = 1")
@@ -157,24 +176,38 @@ def near_duplicates(
         still.join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("_alone", F.lit(0))).drop("_alone")
         .where(F.col("common") * 100 >= F.col("n") * percent)
     )
-    x = still.where("outside").alias("x")
-    y = still.where("node <> lead").alias("y")
-    apart = 1 - percent / 100 + 1e-9
-    shared_most = F.least("x.common", "y.common")
-    open_pairs = x.join(y, "band").where(
+    centre = still.groupBy("band").agg(F.min_by("node", F.struct(F.col("n") - F.col("common"), "node")).alias("centre"))
+    around = materialize(still.join(centre, "band"))
+    pairs = around.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(verified(pairs, sets))
+    links = stars.where(is_link(percent)).select("a", "b")
+    # labels of labels: what the new links join
+    of = around.select("node", "component").distinct()
+    joined = links.join(of.withColumnsRenamed({"node": "a", "component": "_one"}), "a").join(
+        of.withColumnsRenamed({"node": "b", "component": "_two"}), "b").where("_one <> _two").select(F.col("_one").alias("a"), F.col("_two").alias("b"))
+    merged = components(joined.distinct()).select(F.col("node").alias("component"), F.col("component").alias("_merged"))
+    core = stars.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("common").alias("core"))
+    known = (
+        around.join(merged, "component", "left").join(core, ["centre", "node"], "left")
+        .withColumn("component", F.coalesce("_merged", "component")).drop("_merged")
+        # the part of a class that another one can share: inside its centre, and beside it
+        .withColumn("core", F.when(F.col("node") == F.col("centre"), F.col("common")).otherwise(F.coalesce("core", "common")))
+        .withColumn("beside", F.col("common") - F.least("core", "common"))
+    )
+    known = materialize(known)
+    centres = known.where("node = centre").select("band", F.col("component").alias("_main"))
+    known = known.join(centres, "band").withColumn("outside", F.col("component") != F.col("_main"))
+    known = materialize(known.join(known.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("bands")), "node"))
+    x, y = known.where("outside").alias("x"), known.alias("y")
+    shared = F.least(F.least("x.common", "y.common"), F.least("x.core", "y.core") + F.least("x.beside", "y.beside"))
+    rest = x.join(y, "band").where(
         (F.col("x.component") != F.col("y.component"))
         & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
-        & (shared_most * 100 >= (F.col("x.n") + F.col("y.n") - shared_most) * percent)
-        & (F.abs(F.col("x.away") - F.col("y.away")) <= apart)
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = materialize(verified(open_pairs, sets)).where(is_link(percent)).select("a", "b")
-    label = components(links.union(rest))
-
-    named = signed.select("_id", "_hash", "n", "digest", "_row").join(classes, "digest", "left").join(label, "node", "left").select(
-        "_id", "_hash", "n", F.coalesce("component", "node", "_row").alias("_group"))
-    named = materialize(named)
-    smallest = named.groupBy("_group").agg(F.min("_id").alias("component_id"))
-    return named.join(smallest, "_group").select(F.col("_id").alias(key), "_hash", F.col("n").alias("n_shingles"), "component_id")
+        & (shared * 100 >= (F.col("x.n") + F.col("y.n") - shared) * percent)
+        & (F.col("band") == F.array_min(F.array_intersect("x.bands", "y.bands")))
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    found = materialize(verified(rest, sets)).where(is_link(percent)).select("a", "b")
+    return links.union(found)
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
