@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm.common import read_table
+from incidentlens.llm.common import in_batches, read_table
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight from which it is retrieved, and what verification asks of question and answer.
@@ -294,7 +294,8 @@ def find_leaks(
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     parts = [
-        given.mapInArrow(
+        in_batches(
+            given,
             _finder(shard, threshold, question, answer),
             f"_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
         for shard in build_shards(items, item_key, item_text)
@@ -316,7 +317,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
                 texts = [words_of(t) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(
                     [not any(i.matches(t, THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP) for i in shard) for t in texts], pa.bool_()))
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = in_batches(docs, keep, docs.schema)
     return docs
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm.common import read_table
+from incidentlens.llm.common import in_batches, read_table
 from incidentlens.llm.shingles import mix64
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -301,7 +301,7 @@ def encode_documents(
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.lit(seed), F.col(key)).alias("_seed"))
     schema = f"_id {kind}, pieces array<int>" + (", lossless boolean" if check else "")
-    return given.mapInArrow(_encoder(model, exponent, alpha, check), schema).withColumnRenamed("_id", key)
+    return in_batches(given, _encoder(model, exponent, alpha, check), schema).withColumnRenamed("_id", key)
 
 
 def decode_documents(encoded: DataFrame, key: str = "doc_id", pieces: str = "pieces", model: str = MODEL) -> DataFrame:
@@ -315,7 +315,7 @@ def decode_documents(encoded: DataFrame, key: str = "doc_id", pieces: str = "pie
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(texts, pa.string())], names=["_id", "text"])
 
     given = encoded.select(F.col(key).alias("_id"), F.col(pieces).alias("_pieces"))
-    return given.mapInArrow(decode, f"_id {kind}, text string").withColumnRenamed("_id", key)
+    return in_batches(given, decode, f"_id {kind}, text string").withColumnRenamed("_id", key)
 
 
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 SHINGLE_WORDS = 5
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[[32, *range(9, 14)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -33,13 +33,20 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 _PLACE = mix64(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def _powers_to(length: int) -> tuple[np.ndarray, np.ndarray]:
+    powers, inverses = np.full(length, _BASE), np.full(length, _INVERSE)
+    powers[0] = inverses[0] = 1
+    return np.multiply.accumulate(powers), np.multiply.accumulate(inverses)
+
+
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_to(PIECE_BYTES + (PIECE_BYTES >> 2))
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < size:
-        length = max(size, PIECE_BYTES + (PIECE_BYTES >> 2))
-        powers, inverses = np.full(length, _BASE), np.full(length, _INVERSE)
-        powers[0] = inverses[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(powers), np.multiply.accumulate(inverses)]
-    return _POWERS[0], _POWERS[1]
+    """Powers of the base and of its inverse; those for a longer text are not kept."""
+    return _usual_powers() if size <= PIECE_BYTES + (PIECE_BYTES >> 2) else _powers_to(size)
 
 
 def pieces(texts: list[str | None]) -> Iterator[list[bytes]]:

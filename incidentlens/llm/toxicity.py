@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm.common import read_table
+from incidentlens.llm.common import in_batches, read_table
 
 #: Letters of a subsequence, its decay for each letter spanned, and the longest unit taken as one.
 LETTERS, DECAY, WINDOW = 5, 0.6, 24
@@ -352,7 +352,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(scores, pa.float64())], names=["_id", "score"])
 
     given = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    return given.mapInArrow(score, f"_id {kind}, score double").withColumnRenamed("_id", key)
+    return in_batches(given, score, f"_id {kind}, score double").withColumnRenamed("_id", key)
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
@@ -364,7 +364,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", cut: float
         for batch in batches:
             yield batch.filter(pa.array(model.score_texts(batch.column(at).to_pylist(), cache) < cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_batches(docs, keep, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
