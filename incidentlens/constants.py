@@ -56,6 +56,11 @@ MAX_EVENT_CHARS = 16 * 1024
 LONG_TRANSACTION_SECONDS = 30
 HISTORY_DEFAULT_LIMIT = 50
 HISTORY_MAX_LIMIT = 200
+BATCH_MAX_AGE_SECONDS = 5 * 60
+BATCH_MAX_BYTES = 1024 * 1024
+BATCH_EVENT_MAX_BYTES = 16 * 1024
+BATCH_MAX_EVENTS = 1_000_000
+BATCH_REPEAT_WINDOW = "15 minutes"
 CURRENT_WINDOW_SECONDS = 10 * 60
 DEPLOY_BACKWARD_SECONDS = 10 * 60
 DEPLOY_FORWARD_SECONDS = 60 * 60

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentlens import constants as C
@@ -12,7 +14,7 @@ from incidentlens.functions.text import (
 from incidentlens.operators.joins import request_evidence, wanted_evidence
 from incidentlens.operators.ranking import number_rows
 from incidentlens.operators.sanitize import sanitize_logs
-from incidentlens.session import RequestScope, broadcast_if_small, instant, interval, request_scope
+from incidentlens.session import RequestScope, broadcast_if_small, instant, interval, materialize, request_scope
 
 PARTS = ["exception_class", "message_template", "top_stack_frame"]
 
@@ -63,8 +65,8 @@ def shared_cluster_counts(requests: DataFrame, parts: DataFrame, scope: RequestS
     """The same counts when many requests overlap, without repeating every event per request.
 
     Events are first counted per minute, once for all requests. A request takes whole minutes
-    from these counts. Only the minutes its own bounds cut (range start, range end and start of
-    the current window) are counted from their events.
+    from these counts (:func:`range_counts`). Only the minutes its own bounds cut (range start,
+    range end and start of the current window) are counted from their events.
     """
     dated = parts.withColumn("_minute", _minute("occurred_at"))
     minutes = dated.groupBy("_minute", *SHAPE).agg(
@@ -75,13 +77,7 @@ def shared_cluster_counts(requests: DataFrame, parts: DataFrame, scope: RequestS
     opens, closes = F.col("_minute"), F.col("_minute") + interval(60)
     whole = (
         (opens >= F.col("from_ts")) & (closes <= F.col("to_ts")) & ((opens >= starts) | (closes <= starts)))
-    inner = request_evidence(requests, minutes, "_minute", scope).where(whole)
-    current = opens >= starts
-    taken = inner.groupBy(*RANGE, *SHAPE).agg(
-        F.sum(F.when(current, F.col("_rows")).otherwise(0)).alias("_current"),
-        F.sum(F.when(current, 0).otherwise(F.col("_rows"))).alias("_baseline"),
-        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.min("_seq").alias("_seq"),
-    )
+    taken = range_counts(requests, materialize(minutes), scope, current_seconds)
     bounds = F.array(*[_minute(c) for c in ("from_ts", "to_ts", "_starts")])
     cut = (
         requests.select("project_id", "environment", *RANGE).withColumn("_starts", starts)
@@ -97,6 +93,67 @@ def shared_cluster_counts(requests: DataFrame, parts: DataFrame, scope: RequestS
     return merge_counts(taken.unionByName(edges))
 
 
+def minute_bounds(requests: DataFrame, current_seconds: float) -> DataFrame:
+    """Four bounds in whole minutes for every request: start of its range, end of its baseline, start of its current window, end of its range."""
+    given = requests.select("project_id", "environment", *RANGE, (F.col("to_ts") - interval(current_seconds)).alias("_starts"))
+
+    def down(name: str) -> Column:
+        return _minute(name)
+
+    def up(name: str) -> Column:
+        return F.when(F.col(name) == down(name), F.col(name)).otherwise(down(name) + interval(60))
+
+    low = up("from_ts")
+    high = F.greatest(low, down("to_ts"))
+    cuts = [F.least(F.greatest(cut, low), high) for cut in (down("_starts"), up("_starts"))]
+    return given.select("project_id", "environment", *RANGE, F.posexplode(F.array(low, *cuts, high)).alias("_bound", "_at"))
+
+
+def range_counts(requests: DataFrame, minutes: DataFrame, scope: RequestScope, current_seconds: float) -> DataFrame:
+    """Counts and extremes of every request and cluster over whole minutes, by look-ups.
+
+    A cluster's minutes and the requests' bounds stand in one line in time order; the running count at a bound is what came
+    before it, so a count is the difference of two, whatever the length of the range. The first arrival in a range comes from
+    a table of minima over 1, 2, 4, ... minutes, of which two cover any range.
+    """
+    bounds = minute_bounds(requests, current_seconds)
+    asked = minutes.select(*SHAPE).distinct().join(F.broadcast(bounds) if scope.small else bounds, ["project_id", "environment"])
+    line = minutes.select(*SHAPE, F.col("_minute").alias("_at"), F.lit(1).alias("_is_minute"), "_rows", "_last").unionByName(
+        asked.withColumns({"_is_minute": F.lit(0), "_rows": F.lit(0).cast("long")}), allowMissingColumns=True)
+    along = Window.partitionBy(*SHAPE).orderBy("_at", "_is_minute").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_bounds = line.withColumns({
+        "_before": F.sum("_rows").over(along), "_place": F.sum("_is_minute").over(along),
+        "_seen": F.last("_last", ignorenulls=True).over(along),
+    }).where("_is_minute = 0")
+
+    def at(bound: int, name: str) -> Column:
+        return F.max(F.when(F.col("_bound") == bound, F.col(name)))
+
+    counts = at_bounds.groupBy(*RANGE, *SHAPE).agg(
+        (at(3, "_before") - at(2, "_before")).alias("_current"), (at(1, "_before") - at(0, "_before")).alias("_baseline"),
+        at(0, "_place").alias("_low"), at(3, "_place").alias("_high"), at(3, "_seen").alias("_last"),
+    ).where("_high > _low")
+    asks = counts.withColumn("_level", F.length(F.bin(F.col("_high") - F.col("_low"))) - 1).withColumn(
+        "_place", F.explode(F.array(F.col("_low") + 1, F.col("_high") - F.expr("shiftleft(1L, _level)") + 1)))
+    table = first_arrivals(minutes)
+    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in SHAPE], F.col("a._place") == F.col("t._place"))
+    found = asks.alias("a").join(table.alias("t"), same)
+    return found.groupBy(*RANGE, *[f"a.{c}" for c in SHAPE]).agg(
+        F.max("_current").alias("_current"), F.max("_baseline").alias("_baseline"), F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"), F.min(F.element_at("_least", F.col("_level") + 1)).alias("_seq"))
+
+
+def first_arrivals(minutes: DataFrame) -> DataFrame:
+    """Every minute of a cluster with its place and the smallest arrival number of it and the following 1, 2, 4, ... minutes that have rows."""
+    longest = minutes.groupBy(*SHAPE).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    in_time = Window.partitionBy(*SHAPE).orderBy("_minute")
+    table = minutes.select(*SHAPE, "_minute", "_first", F.row_number().over(in_time).alias("_place"), F.col("_seq").alias("_least0"))
+    for level in range(1, longest.bit_length()):
+        half = f"_least{level - 1}"
+        table = table.withColumn(f"_least{level}", F.least(half, F.lead(half, 1 << (level - 1)).over(in_time)))
+    return table.select(*SHAPE, "_place", "_first", F.array(*[f"_least{n}" for n in range(longest.bit_length())]).alias("_least"))
+
+
 def _minute(ts: str) -> Column:
     return F.expr(f"{ts} - make_dt_interval(0, 0, 0, extract(SECOND FROM {ts}))")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from incidentlens.functions import logline as L
 from incidentlens.functions import rules as R
 from incidentlens.functions import text as X
+from incidentlens.operators import audit as U
+from incidentlens.operators import batches as N
 from incidentlens.operators import budget as B
 from incidentlens.operators import clustering as K
 from incidentlens.operators import correlation as J
@@ -347,6 +349,23 @@ def ingest_changes(spark, d):
         "evidence_id", "project_id", "environment", "type", "occurred_at", X.render_map(F.col("attributes")).alias("attributes"))
 
 
+@query
+def judge_batches(spark, d):
+    judged = N.judge_batches(E.posted_batches(spark, d), max_events=5)
+    return judged.select("received_seq", "request_id", "project_id", "environment", F.size("events").alias("events"), "reject_reason")
+
+
+@query
+def batch_events(spark, d):
+    rows = N.batch_events(N.judge_batches(E.posted_batches(spark, d), max_events=5))
+    return rows.select("received_seq", "project_id", "environment", "type", "occurred_at", X.render_map(F.col("attributes")).alias("attributes"))
+
+
+@query
+def batch_audit(spark, d):
+    return N.batch_audit(N.judge_batches(E.posted_batches(spark, d), max_events=5))
+
+
 @query
 def report_upsert(spark, d):
     return O.latest_reports(E.stored_reports(spark, d))
@@ -573,7 +592,7 @@ def timeline(spark, d):
 @query
 def timeline_integrity(spark, d):
     run = diagnosis(spark, d, Settings(**{**SETTINGS.__dict__, "caps": TIGHT}))
-    entries = T.timeline_entries(_changes(spark, d), run.clusters, _metrics(spark, d), _slow_sql(spark, d), run.health)
+    entries = T.timeline_entries(run.changes, run.clusters, run.metrics, run.slow_sql, run.health)
     return I.resolved_timeline(entries, run.evidence).select("request_id", "at", "category", "evidence_id")
 
 
@@ -583,6 +602,11 @@ def candidate_integrity(spark, d):
     return _candidates(run.candidates)
 
 
+@query
+def evidence_audit(spark, d):
+    return U.evidence_audit(diagnosis(spark, d).evidence, "evidence_id", "type", "description")
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 @query
@@ -648,10 +672,10 @@ def fallback_reports(spark, d):
 
 @query
 def stored_reports_roundtrip(spark, d):
-    """Diagnose, finish, append, read back: the newest page of the history."""
+    """Diagnose, finish, append, read back: every stored report."""
     path = scratch_path(spark, "reports")
     O.append_reports(diagnosis(spark, d).finished(instant("2024-02-01 00:00:00"), REPORT_DAY), path)
-    return O.report_history(O.read_reports(spark, path), limit=40)
+    return O.report_heads(O.latest_reports(O.read_reports(spark, path)))
 
 
 # --- end to end and scoring ---------------------------------------------------------------------

@@ -67,6 +67,9 @@ class Diagnosis:
     health: DataFrame
     logs: DataFrame
     settings: Settings
+    changes: DataFrame
+    metrics: DataFrame
+    slow_sql: DataFrame
 
     def sampled_clusters(self) -> DataFrame:
         """The kept clusters, each with its sanitized first event."""
@@ -149,6 +152,7 @@ def diagnose(requests: DataFrame, evidence: Evidence, settings: Settings = Setti
         budget=B.budget_report(requests, clusters, slow_sql, metrics, changes, caps),
         unavailable=unavailable, health=health,
         logs=evidence.logs if evidence.capped_logs is None else evidence.capped_logs, settings=settings,
+        changes=changes, metrics=metrics, slow_sql=slow_sql,
     )
 
 

@@ -355,6 +355,24 @@ def _queries() -> dict[str, tuple[str, str]]:
       long_transactions, lock_waits FROM health""")
     add("ingest_changes", """SELECT 'event-' || (100 + row_number() OVER (ORDER BY received_seq)) AS evidence_id, project_id, environment, type, occurred_at, attributes
       FROM subv WHERE reject_reason IS NULL""")
+    posts = """, posts AS (SELECT n * 10 + CAST(substr(project_id, 5) AS INT) * 2 + (environment = 'local')::INT AS received_seq, n, project_id, environment, received_at, events, biggest, total
+      FROM (SELECT event_id // 40 AS n, project_id, environment, max(ts) AS received_at, count(*) AS events, max(b) AS biggest, sum(b) AS total
+        FROM (SELECT *, CASE WHEN k = 77 THEN 20000 ELSE 100 + k END AS b FROM ev WHERE event_type IN ('signup', 'click')) GROUP BY ALL)),
+      named AS (SELECT *, CASE received_seq % 11 WHEN 1 THEN ' ' ELSE 'post-' || project_id || '-' || (n // 2) END AS request_id,
+        CASE WHEN received_seq % 11 = 3 THEN 'svc-9' ELSE project_id END AS token_project FROM posts),
+      reasoned AS (SELECT *, CASE WHEN received_seq % 11 = 1 THEN 'blank-request-id' WHEN received_seq % 11 = 3 THEN 'project-mismatch' WHEN received_seq % 11 = 4 THEN 'environment-not-allowed'
+        WHEN received_seq % 11 = 2 THEN 'stale' WHEN events > 5 THEN 'too-many-events' WHEN total > 1048576 THEN 'batch-too-large' WHEN biggest > 16384 THEN 'event-too-large' END AS r FROM named),
+      judged AS (SELECT *, coalesce(r, CASE WHEN row_number() OVER (PARTITION BY token_project, request_id, r IS NULL ORDER BY received_at, received_seq) > 1 THEN 'duplicate' END) AS reject_reason FROM reasoned)"""
+    add("judge_batches", "SELECT received_seq, request_id, project_id, environment, events::INT AS events, reject_reason FROM judged", posts)
+    add("batch_events", """SELECT j.received_seq * 1000000 + row_number() OVER (PARTITION BY j.received_seq ORDER BY event_id) - 1 AS received_seq, j.project_id, j.environment,
+      upper(event_type) AS type, ts AS occurred_at, '{version=v' || k || '}' AS attributes
+      FROM judged j JOIN ev ON ev.event_id // 40 = j.n AND ev.project_id = j.project_id AND ev.environment = j.environment AND event_type IN ('signup', 'click')
+      WHERE reject_reason IS NULL""", posts)
+    add("batch_audit", """SELECT token_project, project_id, coalesce(reject_reason, 'accepted') AS result, count(*) AS batches, sum(events)::BIGINT AS events
+      FROM judged GROUP BY ALL""", posts)
+    add("evidence_audit", """SELECT request_id, count(*) AS rows, sum(length(evidence_id) + length(type) + length(description))::BIGINT AS characters,
+      sum(CAST('0x' || substr(h, 1, 15) AS BIGINT))::VARCHAR || '-' || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT))::VARCHAR AS payload_digest
+      FROM (SELECT *, md5('=' || evidence_id || chr(31) || '=' || type || chr(31) || '=' || description) AS h FROM kept) GROUP BY request_id""")
     add("report_upsert", "SELECT * FROM latest")
     add("report_find", "SELECT * FROM latest WHERE diagnosis_id = 'diag-5'")
     add("report_history", """SELECT json_extract_string(report_json, '$.diagnosisId') AS diagnosis_id, json_extract_string(report_json, '$.projectId') AS project_id,
@@ -445,8 +463,7 @@ def _queries() -> dict[str, tuple[str, str]]:
         unavailable=f"{_UNA} || CASE WHEN {valid} THEN '' WHEN {_UNA} = '' THEN 'model:rules (error)' ELSE ';model:rules (error)' END"))
     add("stored_reports_roundtrip", """SELECT diagnosis_id, h.project_id, h.environment, TIMESTAMP '2024-02-01 00:00:00' AS created_at, summary, false AS rule_fallback
       FROM heads h JOIN told USING (request_id) JOIN (SELECT request_id, 'diag-20240128-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0')
-        ELSE CAST(n AS VARCHAR) END AS diagnosis_id FROM (SELECT request_id, row_number() OVER (ORDER BY request_id) AS n FROM rq)) i USING (request_id)
-      ORDER BY diagnosis_id DESC LIMIT 40""", _NARRATED)
+        ELSE CAST(n AS VARCHAR) END AS diagnosis_id FROM (SELECT request_id, row_number() OVER (ORDER BY request_id) AS n FROM rq)) i USING (request_id)""", _NARRATED)
     own = """, own AS (SELECT *, row_number() OVER (ORDER BY {order}) AS seq FROM (SELECT occurred_at {shift} AS tm, {level} AS level, trace_id, message, stack_trace,
         'svc-{prj}' AS project_id, 'local' AS environment FROM lg WHERE project_id = 'svc-{prj}' AND environment = 'local' AND upper(level) IN ('WARN', 'ERROR'))),
       own_parts AS (SELECT o.*, request_id, to_ts, to_ts - from_ts > INTERVAL 1 DAY AS has_baseline, """ + f"{_EXC} AS e, {normalize('message')} AS m, {_FRAME} AS f" + """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from incidentlens import constants as C
 from incidentlens.functions.rules import joined
 from incidentlens.functions.text import not_blank, redact
+from incidentlens.operators.asof import latest_before
 from incidentlens.operators.ranking import largest, top_n
 from incidentlens.session import broadcast_if_small, interval
 
@@ -164,14 +165,10 @@ def health_status(requests: DataFrame, projects: DataFrame, snapshots: DataFrame
     """
     kinds = projects.select("project_id", database_kind(F.col("database_type")).alias("_kind"))
     ranged = requests.select("request_id", "project_id", "environment", "from_ts", "to_ts")
-    as_of = F.col("captured_at") <= F.col("to_ts")
+    newest = latest_before(ranged, snapshots, ["project_id", "environment"], "request_id", "to_ts", "captured_at", "snapshot_id")
     if max_age is not None:
-        as_of = as_of & (F.col("captured_at") >= F.col("to_ts") - interval(max_age))
-    seen = ranged.select("request_id", "project_id", "environment", "to_ts").join(
-        snapshots.select("project_id", "environment", "snapshot_id", "captured_at"), ["project_id", "environment"]).where(as_of)
-    newest = seen.groupBy("request_id", "project_id", "environment").agg(
-        F.max(F.struct("captured_at", "snapshot_id")).alias("_newest")).select(
-        "request_id", "project_id", "environment", "_newest.*")
+        ends = ranged.select("request_id", F.col("to_ts").alias("_end"))
+        newest = newest.join(ends, "request_id").where(F.col("captured_at") >= F.col("_end") - interval(max_age)).drop("_end")
     chosen = newest.join(snapshots, ["project_id", "environment", "snapshot_id", "captured_at"])
     joined_rows = ranged.join(kinds, "project_id", "left").join(
         chosen.drop("project_id", "environment"), "request_id", "left")

@@ -194,6 +194,31 @@ def submitted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def posted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and clicks as posted in batches of up to eight neighbours of one project and environment; some invalid, some repeated."""
+    number = F.expr("event_id DIV 40")
+    mod = F.col("received_seq") % 11
+    in_order = F.sort_array(F.collect_list(F.struct(
+        F.col("event_id").alias("seq"), F.upper("event_type").alias("type"), F.col("ts").alias("occurred_at"), "k")))
+    events_of = F.transform(in_order, lambda e: F.struct(
+        e["type"].alias("type"), e["occurred_at"].alias("occurred_at"),
+        F.create_map(F.lit("version"), _text("v", e["k"].cast("string"))).alias("attributes"),
+        F.when(e["k"] == 77, F.lit(20_000)).otherwise(100 + e["k"]).cast("long").alias("bytes")))
+    posts = (
+        events(spark, sf_dir).where(F.col("event_type").isin("signup", "click"))
+        .groupBy(number.alias("number"), "project_id", "environment").agg(events_of.alias("events"), F.max("ts").alias("received_at"))
+        .withColumn("received_seq", F.col("number") * 10 + F.substring("project_id", 5, 9).cast("int") * 2 + (F.col("environment") == "local").cast("int"))
+    )
+    own = F.when(mod == 3, "svc-9").otherwise(F.col("project_id"))
+    return posts.select(
+        "received_seq", F.when(mod == 1, F.lit(" ")).otherwise(_text("post-", F.col("project_id"), "-", F.expr("number DIV 2").cast("string"))).alias("request_id"),
+        (F.col("received_at") - F.when(mod == 2, F.expr("INTERVAL '301' SECOND")).otherwise(F.expr("INTERVAL '300' SECOND"))).alias("sent_at"),
+        "received_at", own.alias("token_project"),
+        F.when(mod == 4, F.array(F.lit("moon"))).otherwise(F.array(F.lit("local"), F.lit("staging"))).alias("token_environments"),
+        "project_id", "environment", "events",
+    )
+
+
 @lru_cache(maxsize=32)
 def pg_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured database sessions: one snapshot per project, environment and month, some after the last request."""

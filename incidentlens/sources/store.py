@@ -76,8 +76,12 @@ def report_history(versions: DataFrame, project_id: str | None = None, environme
     key = ["diagnosis_id", "version"]
     newest = [F.desc("created_at"), F.desc("diagnosis_id")]
     chosen = latest_reports(rows.select(*key, "created_at")).orderBy(*newest).limit(capped)
-    page = rows.join(F.broadcast(chosen.select(*key)), key, "left_semi").orderBy(*newest)
-    readable = page.where(F.try_parse_json("report_json").isNotNull())
+    return report_heads(rows.join(F.broadcast(chosen.select(*key)), key, "left_semi").orderBy(*newest))
+
+
+def report_heads(versions: DataFrame) -> DataFrame:
+    """What a list of reports shows of each; corrupt ones drop."""
+    readable = versions.where(F.try_parse_json("report_json").isNotNull())
     body = readable.withColumn("_r", F.from_json("report_json", REPORT_JSON))
     return body.select(
         F.col("_r.diagnosisId").alias("diagnosis_id"), F.col("_r.projectId").alias("project_id"),
