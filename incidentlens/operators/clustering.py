@@ -68,27 +68,31 @@ def shared_cluster_counts(requests: DataFrame, parts: DataFrame, scope: RequestS
     from these counts (:func:`range_counts`). Only the minutes its own bounds cut (range start,
     range end and start of the current window) are counted from their events.
     """
-    dated = parts.withColumn("_minute", _minute("occurred_at"))
-    minutes = dated.groupBy("_minute", *SHAPE).agg(
-        F.count("*").alias("_rows"), F.min("occurred_at").alias("_first"),
-        F.max("occurred_at").alias("_last"), F.min("arrival_seq").alias("_seq"),
-    )
     starts = F.col("to_ts") - interval(current_seconds)
     opens, closes = F.col("_minute"), F.col("_minute") + interval(60)
     whole = (
         (opens >= F.col("from_ts")) & (closes <= F.col("to_ts")) & ((opens >= starts) | (closes <= starts)))
-    taken = range_counts(requests, materialize(minutes), scope, current_seconds)
     bounds = F.array(*[_minute(c) for c in ("from_ts", "to_ts", "_starts")])
     cut = (
         requests.select("project_id", "environment", *RANGE).withColumn("_starts", starts)
         .withColumn("_minute", F.explode(F.array_distinct(bounds))).drop("_starts")
     )
-    edge = dated.join(F.broadcast(cut) if scope.small else cut, ["project_id", "environment", "_minute"]).where(
-        F.col("occurred_at").between(F.col("from_ts"), F.col("to_ts")) & ~whole)
-    at_current = F.col("occurred_at") >= starts
+    place = ["project_id", "environment", "_minute"]
+    cut_minutes = cut.select(*place).distinct().withColumn("_cut", F.lit(True))
+    dated = parts.withColumn("_minute", _minute("occurred_at")).join(F.broadcast(cut_minutes) if scope.small else cut_minutes, place, "left")
+    # one pass over the events: by minute, and in cut minutes by instant
+    fine = materialize(dated.groupBy("_minute", F.when(F.col("_cut"), F.col("occurred_at")).alias("_exact"), *SHAPE).agg(
+        F.count("*").alias("_rows"), F.min("occurred_at").alias("_first"), F.max("occurred_at").alias("_last"), F.min("arrival_seq").alias("_seq")))
+    minutes = materialize(fine.groupBy("_minute", *SHAPE).agg(
+        F.sum("_rows").alias("_rows"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.min("_seq").alias("_seq")))
+    taken = range_counts(requests, minutes, scope, current_seconds)
+    edge = fine.where(F.col("_exact").isNotNull()).join(F.broadcast(cut) if scope.small else cut, place).where(
+        F.col("_exact").between(F.col("from_ts"), F.col("to_ts")) & ~whole)
+    at_current = F.col("_exact") >= starts
     edges = edge.groupBy(*RANGE, *SHAPE).agg(
-        F.count_if(at_current).alias("_current"), F.count_if(~at_current).alias("_baseline"),
-        F.min("occurred_at").alias("_first"), F.max("occurred_at").alias("_last"), F.min("arrival_seq").alias("_seq"),
+        F.sum(F.when(at_current, F.col("_rows")).otherwise(0)).alias("_current"),
+        F.sum(F.when(at_current, 0).otherwise(F.col("_rows"))).alias("_baseline"),
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.min("_seq").alias("_seq"),
     )
     return merge_counts(taken.unionByName(edges))
 
