@@ -7,10 +7,15 @@ third of that per further level; an ancestor's sum is discounted by the share of
 element with the highest score is the container. Its siblings stay if they score well against it or are
 prose of few links. A container inside an ``article`` or ``main`` element grows to that element, since the markup already names the article.
 
+Names (class, id, role) only raise a doubt; points settle it before the scoring. An element in doubt goes unless it holds most of the
+page's points, is not mostly links, and either holds the named article or, for names of places (sidebar, header, form ...), little stands outside
+all doubt; for names of kinds (adverts, notices, comments ...) it must hold the named article or the main heading. If nothing
+is left, places with more than a few words are let in again; kinds never are.
+
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined in
 page order by one space. Defined results: null or empty html, and a page without text, give an empty text; unclosed
 elements end with their parent, an unclosed paragraph at the next block; repeated rows are all returned; an empty
-table gives an empty result. Only key, url and html are read. Each page is worked on by itself, in the task that reads it.
+table gives an empty result; very long pages are worked on whole, in batches bounded in bytes. Only key, url and html are read. Each page is worked on by itself, in the task that reads it.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from incidentlens.llm.common import read_table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 NEVER = frozenset((
-    "head script style noscript template nav footer aside form iframe object svg math canvas audio video button select "
+    "head script style noscript template nav footer aside iframe object svg math canvas audio video button select "
     "option textarea input label dialog menu map applet noembed noframes"
 ).split())
 BLOCKS = frozenset((
@@ -43,14 +48,23 @@ SELF_CLOSING = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of class, id and role that mark a part as no article text.
-BOILERPLATE = frozenset((
-    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner sidebar aside rail "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer colophon "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist disqus respond reply replies discussion social share sharing sharebar related recommended "
-    "recommendations widget widgets contentinfo complementary search searchbox form skip hidden screenreader"
+#: Words of class, id and role that raise a doubt: of kinds of text that no article is, and of places beside one.
+KINDS = frozenset((
+    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist "
+    "disqus respond reply replies discussion share sharing sharebar recommended recommendations hidden screenreader"
+).split())
+PLACES = frozenset((
+    "banner sidebar aside rail nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar header masthead "
+    "topbar footer colophon social related widget widgets contentinfo complementary search searchbox form skip"
 ).split())
+#: Words after which a name tells what an element has, not what it is; and names of readers' texts, which doubt even an article element.
+HAVING = frozenset("has have with no without hide hides show shows".split())
+READERS = frozenset("comment comments commentlist respond reply replies".split())
+#: Share of the page's points outside all doubt from which an element named like a place is one.
+OUTSIDE = 0.2
+#: Points that text in doubt needs in order to be a page's article: those of some short paragraphs.
+ENOUGH = 3.0
 NAMED = frozenset({"article", "main"})
 SIBLING_SHARE = 0.2
 
@@ -58,39 +72,51 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"'>]|$)", re.I)
+_PLACE = re.compile("<form|" + "|".join(sorted(PLACES)), re.I)
 _SPLIT_NAME = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("name", "parent", "children", "dropped", "named", "score", "size", "linked")
+    __slots__ = ("name", "parent", "children", "dropped", "named", "doubt", "score", "size", "linked")
 
-    def __init__(self, name: str, parent: Element | None, dropped: bool = False, named: bool = False):
+    def __init__(self, name: str, parent: Element | None, dropped: bool = False, named: bool = False, doubt: str | None = None):
         self.name, self.parent, self.children = name, parent, []
-        self.dropped, self.named = dropped, named
+        self.dropped, self.named, self.doubt = dropped, named, doubt
         self.score, self.size, self.linked = 0.0, 0, 0
 
 
-def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether its markup names it the article."""
-    named = name in NAMED
+def _name_words(value: str) -> set[str]:
+    """Words of a class, id or role, without those that tell what an element has."""
+    found = set()
+    for name in value.split():
+        words = [w.lower() for w in _SPLIT_NAME.split(name) if w]
+        found.update(w for before, w in zip(["", *words], words) if before not in HAVING)
+    return found
+
+
+def _part(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool, str | None]:
+    """Whether an element is left out, whether its markup names it the article, and the doubt its names raise; all attributes are looked at."""
     if name in NEVER or (name == "header" and not inside_article):
-        return True, False
-    if not attributes.strip():
-        return False, named
-    for found in _ATTRIBUTE.finditer(attributes):
+        return True, False, None
+    named, words = name in NAMED, set()
+    told = False
+    for found in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
         key = found.group(1).lower()
         value = next((g for g in found.groups()[1:] if g is not None), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True, False
+            return True, False, None
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
-        elif key == "itemprop" or (key == "role" and value.lower() in NAMED):
-            named = named or value.lower() in ("articlebody", "main", "article")
-        elif name not in ("body", "html") and not named:
-            if any(word.lower() in BOILERPLATE for word in _SPLIT_NAME.split(value) if word):
-                return True, False
-    return False, named
+                return True, False, None
+        elif (key == "itemprop" and value.lower() == "articlebody") or (key == "role" and value.lower() in NAMED):
+            told = True
+        elif key != "itemprop":
+            words |= _name_words(value)
+    if told or name in ("body", "html"):
+        return False, named or told, None
+    if named:
+        return False, not words & READERS, "kind" if words & READERS else None
+    return False, False, "kind" if words & KINDS else "place" if name == "form" or words & PLACES else None
 
 
 def parse(page: str) -> Element:
@@ -141,8 +167,8 @@ def parse(page: str) -> Element:
                 while here is not scan.parent:
                     articles -= here.named
                     here = here.parent
-        dropped, named = _is_boilerplate(tag, token.group(3), articles > 0)
-        element = Element(tag, here, dropped, named)
+        dropped, named, doubt = _part(tag, token.group(3), articles > 0)
+        element = Element(tag, here, dropped, named, doubt)
         here.children.append(element)
         if tag in VOID or token.group(3).endswith("/") and tag in ("svg", "path"):
             continue
@@ -200,13 +226,20 @@ def _own_text(element: Element) -> str:
     return " ".join("".join(parts).split())
 
 
-def score_tree(root: Element) -> list[Element]:
-    """All elements in page order, with sizes, linked sizes and scores."""
+def _in_order(root: Element) -> list[Element]:
+    """All elements that are not left out, in page order."""
     order, stack = [], [root]
     while stack:
         element = stack.pop()
         order.append(element)
         stack.extend(reversed([c for c in element.children if isinstance(c, Element) and not c.dropped]))
+    return order
+
+
+def _measure(order: list[Element]) -> None:
+    """Characters of every element, and those of them in links."""
+    for element in order:
+        element.size = element.linked = 0
     for element in reversed(order):
         element.size += sum(len(c.strip()) for c in element.children if isinstance(c, str))
         if element.name == "a":
@@ -214,13 +247,64 @@ def score_tree(root: Element) -> list[Element]:
         if element.parent is not None:
             element.parent.size += element.size
             element.parent.linked += element.linked
+
+
+def _points(element: Element) -> float:
+    """Points of one paragraph-like block."""
+    text = _own_text(element) if element.name in PARAGRAPHS else ""
+    return 1 + text.count(",") + min(len(text) / 100, 3) if text else 0.0
+
+
+def settle_names(root: Element) -> None:
+    """Leaves out the elements whose names raised a doubt that their points do not remove, outer ones first."""
+    order = _in_order(root)
+    if not any(element.doubt for element in order):
+        return
+    _measure(order)
+    inside: dict[Element, float] = {}
+    articles: set[Element] = set()
+    headed: set[Element] = set()
+    for element in reversed(order):
+        inside[element] = inside.get(element, 0.0) + _points(element)
+        named, first = element.named or element in articles, element.name == "h1" or element in headed
+        if element.parent is not None:
+            inside[element.parent] = inside.get(element.parent, 0.0) + inside[element]
+            if named and element.doubt != "kind":
+                articles.add(element.parent)
+            if first and element.doubt != "kind":
+                headed.add(element.parent)
+    beneath: dict[Element, Element] = {}
+    in_doubt: dict[Element, float] = {}
     for element in order:
-        if element.name not in PARAGRAPHS:
-            continue
-        text = _own_text(element)
-        if not text:
+        beneath[element] = element if element.doubt or element.parent is None else beneath[element.parent]
+        in_doubt[element] = inside[element] if element is beneath[element] else 0.0
+    for element in order:
+        if element.doubt and element.parent is not None:
+            in_doubt[beneath[element.parent]] -= inside[element]
+    clear, total = in_doubt[root], inside[root]
+    for element in order:
+        if element.parent is not None and element.parent.dropped:
+            element.dropped = True
+        elif element.doubt:
+            most = inside[element] > 0.5 * total and element.linked < 0.5 * element.size
+            if element.doubt == "place":
+                fits = element in articles or (clear < OUTSIDE * total and inside[element] >= ENOUGH)
+            else:
+                fits = element in articles or element in headed
+            if most and fits:
+                clear += in_doubt[element]
+            else:
+                element.dropped = True
+
+
+def score_tree(root: Element) -> list[Element]:
+    """All elements in page order, with sizes, linked sizes and scores."""
+    order = _in_order(root)
+    _measure(order)
+    for element in order:
+        points = _points(element)
+        if not points:
             continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
         above, share, level = (element if element.name in ("div", "section", "article", "main") else element.parent), 1.0, 0
         while above is not None and share > 1e-6:
             above.score += points * share
@@ -237,6 +321,19 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle_names(root)
+    text = _main_text(root)
+    if not text and _PLACE.search(page):
+        root = parse(page)
+        for element in _in_order(root):
+            element.dropped = element.dropped or element.doubt == "kind"
+        if sum(map(_points, _in_order(root))) >= ENOUGH:
+            text = _main_text(root)
+    return text
+
+
+def _main_text(root: Element) -> str:
+    """Text of the best container and the siblings that stay."""
     order = score_tree(root)
     best = max(order, key=lambda e: e.score)
     scan, outer = best, None
