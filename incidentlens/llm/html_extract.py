@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm.common import read_table
+from incidentlens.llm.common import in_batches, read_table
 
 #: Elements by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -370,7 +370,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """Key, url, main text and its length in code points of every page."""
     kind = pages.schema[key].dataType.simpleString()
     given = pages.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("_url"), F.col(html).alias("_html"))
-    found = given.mapInArrow(_extract, f"_key {kind}, _url string, text string, n_chars long")
+    found = in_batches(given, _extract, f"_key {kind}, _url string, text string, n_chars long")
     return found.select(F.col("_key").alias(key), F.col("_url").alias(url), "text", "n_chars")
 
 

@@ -8,12 +8,14 @@ approximation; it is cut to 0 for units that lack too many of a landmark's lette
 
 Training takes a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, those of the smallest id hash): the labelled
 sentences of a toxic text are known to hold an insult somewhere, those of a clean text to hold none. Landmarks are the
-letter sequences that cover most of the toxic texts and few clean ones, some usual words, and clean words that look alike. Each toxic text
+letter sequences that cover the toxic texts and few clean ones, as many as it takes, some usual words, and clean words that look alike. Each toxic text
 then gives its best unit, each clean one its worst units, and the machine is fitted to these again until they settle.
 
-Every text is scored whole. Units are scored once for each task and kept in a cache of bounded size. Defined results: null and
+Training does not depend on the order of rows or on Python's hash seed. Every text is scored whole, however long, in batches bounded in
+bytes. Units are scored once for each task and kept in a cache of bounded size. Defined results: null and
 empty texts, and texts without a unit of three letters, get the score of no evidence; without any usable label
-every score is 0; a null id is not held out and never a training row; repeated rows get equal scores; an empty
+every score is 0; a null id is not held out and never a training row; repeated rows get equal scores and train once, of different texts under one id
+the smallest trains; an empty
 table gives an empty result. Only id and text are read from the documents, id and label from the labels.
 """
 
@@ -36,8 +38,8 @@ from incidentlens.llm.common import in_batches, read_table
 LETTERS, DECAY, WINDOW = 5, 0.6, 24
 #: Marks at the begin and the end of a word; they count as letters.
 START, END = "\x02", "\x03"
-#: Bounds of the training sample, of the landmarks and of a task's cache of scored units.
-MAX_TOXIC, MAX_CLEAN, LANDMARKS, USUAL, CACHE = 1000, 2000, 24, 8, 300_000
+#: Bounds of the training sample, of the clean landmarks and of a task's cache of scored units.
+MAX_TOXIC, MAX_CLEAN, USUAL, CACHE = 1000, 2000, 8, 300_000
 #: Share of a landmark's letters that a unit must have in order for the kernel to count; below it is 0.
 COMMON = 0.7
 #: Texts and units worked on at a time.
@@ -56,12 +58,12 @@ _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def units_of(text: str) -> list[str]:
-    """Distinct raw units of a text."""
+    """Distinct raw units of a text, sorted: the model must not depend on the order of a set."""
     low = text.lower()
     found = set(low.split())
     if _SPACED.search(low):
         found.update("".join(run.split()) for run in _SPACED.findall(low))
-    return list(found)
+    return sorted(found)
 
 
 def parts_of(unit: str) -> list[str]:
@@ -190,7 +192,7 @@ class Model:
             units = [units_of(t) if t else [] for t in texts[low:low + TEXTS]]
             if len(cache) > CACHE:
                 cache.clear()
-            fresh = list({u for own in units for u in own if u not in cache})
+            fresh = list(dict.fromkeys(u for own in units for u in own if u not in cache))
             cache.update(zip(fresh, self.decisions(fresh).tolist()) if fresh else ())
             for n, own in enumerate(units, low):
                 values = np.fromiter(map(cache.__getitem__, own), dtype=np.float64, count=len(own))
@@ -199,8 +201,11 @@ class Model:
         return np.maximum(best, self.bias)
 
 
-def choose_landmarks(toxic: list[list[str]], clean: list[list[str]], limit: int = LANDMARKS) -> list[str]:
-    """Letter sequences in turn by how many more toxic texts they cover, against the clean texts that hold them."""
+def choose_landmarks(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
+    """Letter sequences in turn by the toxic texts that hold them in units not covered yet, against the clean texts that hold them.
+
+    A text counts less the more landmarks it holds already; the choice ends when no sequence is worth ``1 / 150`` of the toxic texts.
+    """
     def sequences(unit: str) -> set[str]:
         return {
             part[i:i + size] for part in parts_of(unit)
@@ -233,19 +238,35 @@ def choose_landmarks(toxic: list[list[str]], clean: list[list[str]], limit: int
         for s in sequences(unit) & held.keys():
             against[s] += texts
     held = {s: x for s, x in held.items() if against[s] * ratio < 0.1 * len(x)}
-    chosen, open_texts = [], set(range(len(toxic)))
-    while held and len(chosen) < limit:
-        def gain(s: str) -> float:
-            return len(held[s] & open_texts) - 4 * against[s] * ratio
-
-        best = max(held, key=lambda s: (gain(s), len(held[s]) - 4 * against[s] * ratio, len(s), s))
-        if gain(best) < least:
+    if not held:
+        return []
+    # one entry for each sequence, unit that holds it and text that holds the unit
+    names = sorted(held, key=lambda s: (4 * against[s] * ratio - len(held[s]), -len(s), s))
+    place = {s: n for n, s in enumerate(names)}
+    entries = [
+        (place[s], n, text) for n, (unit, texts) in enumerate(rare.items()) for s in sequences(unit) if s in place for text in texts]
+    which, unit, text = np.array(entries, dtype=np.int64).T
+    cost = np.array([4 * against[s] * ratio for s in names])
+    times, chosen = np.zeros(len(toxic)), []
+    while len(which):
+        pairs = np.unique(which * len(toxic) + text)
+        gain = np.bincount(pairs // len(toxic), 1 / (1 + times[pairs % len(toxic)]), len(names)) - cost
+        best = int(np.argmax(gain))
+        if gain[best] < least:
             break
-        chosen.append(best)
-        open_texts -= held.pop(best)
+        chosen.append(names[best])
+        hit = which == best
+        times[np.unique(text[hit])] += 1
+        open_units = ~np.isin(unit, unit[hit])
+        which, unit, text = which[open_units], unit[open_units], text[open_units]
     return chosen
 
 
+def most_common(counts: Counter) -> list[str]:
+    """By falling count, ties by text."""
+    return sorted(counts, key=lambda unit: (-counts[unit], unit))
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear support vector machine of squared hinge loss by Newton steps; both classes weigh the same."""
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -289,7 +310,7 @@ def train(toxic_texts: list[str], clean_texts: list[str]) -> Model:
     place: dict[str, int] = {}
     bags = [np.array(sorted({place.setdefault(p, len(place)) for u in own for p in parts_of(u)}), dtype=np.int64) for own in toxic + clean]
     parts = list(place)
-    names = list(dict.fromkeys(insults + [w for w, _ in usual.most_common(USUAL)]))
+    names = list(dict.fromkeys(insults + most_common(usual)[:USUAL]))
     kernels = Landmarks(names).kernels(parts)
     evidence = kernels[:, :len(insults)].max(axis=1)
     for again in (True, False):
@@ -312,7 +333,7 @@ def train(toxic_texts: list[str], clean_texts: list[str]) -> Model:
             value = features @ w + bias
         if again:
             wrong = Counter(parts[n] for bag in bags[len(toxic):] for n in bag[value[bag] > -0.5])
-            more = [p for p, _ in wrong.most_common() if LETTERS <= len(p) <= WINDOW and p not in names][:2 * USUAL]
+            more = [p for p in most_common(wrong) if LETTERS <= len(p) <= WINDOW and p not in names][:2 * USUAL]
             if not more:
                 break
             names = names + more
@@ -335,6 +356,7 @@ def train_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     order = [F.xxhash64("_key"), F.col("_key")]
     sample = usable.where("_label = 1").orderBy(*order).limit(MAX_TOXIC).union(usable.where("_label = 0").orderBy(*order).limit(MAX_CLEAN))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key").where("_text IS NOT NULL")
+    rows = rows.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
     texts: dict[int, list[str]] = {0: [], 1: []}
     for row in sorted(rows.collect(), key=lambda r: (r["_key"], r["_text"])):
         texts[row["_label"]].append(row["_text"])

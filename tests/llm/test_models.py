@@ -1,8 +1,12 @@
 """Toxicity, decontamination, piece sampling and the pipeline against brute force and held-out rows."""
 
+import os
+import subprocess
+import sys
 from collections import Counter
 from itertools import combinations
 from math import exp, sqrt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +17,7 @@ from incidentlens.llm import pieces as S
 from incidentlens.llm import toxicity as T
 from conftest import TESTDATA
 
+ROOT = Path(__file__).resolve().parents[2]
 SF1, SF2 = str(TESTDATA / "sf0.001"), str(TESTDATA / "sf0.01")
 
 
@@ -60,6 +65,34 @@ def test_broken_up_insults():
     assert (model.score_texts([prose() for _ in range(100)], {}) < T.CUT).mean() > 0.97
 
 
+_TRAIN = """
+import hashlib, random
+from incidentlens.llm import toxicity as T
+rng = random.Random(3)
+prose = lambda: " ".join("".join(rng.choice("th er on an re he in ed nd ha tion ing".split()) for _ in range(rng.randrange(1, 4))) for _ in range(40))
+toxic = [prose() + " " + rng.choice("moron pathetic worthless scum clown".split()) + " " + prose() for _ in range(60)]
+model = T.train(toxic, [prose() for _ in range(120)])
+scores = model.score_texts([prose() for _ in range(50)] + toxic, {})
+print(model.landmarks.texts, hashlib.sha256(scores.tobytes()).hexdigest())
+"""
+
+
+def test_same_model_for_any_hash_seed():
+    seen = set()
+    for seed in ("1", "2", "77"):
+        env = dict(os.environ, PYTHONHASHSEED=seed, PYTHONPATH=str(ROOT))
+        seen.add(subprocess.run([sys.executable, "-c", _TRAIN], env=env, capture_output=True, text=True, check=True).stdout)
+    assert len(seen) == 1 and all(f"{w}{T.END}" in next(iter(seen)).encode().decode("unicode_escape") for w in ("moron", "scum", "clown"))
+
+
+def test_every_insult_of_the_sample_gets_a_landmark():
+    # texts hold several insults each: covering the texts once would need only the first of them
+    words = ["moron", "pathetic", "worthless", "clown", "disgusting"]
+    toxic = [[w for n, w in enumerate(words) if n == 0 or (i >> n) & 1] for i in range(64)]
+    chosen = T.choose_landmarks(toxic, [["plain", "words"]] * 64)
+    assert all(any(w in c or c.strip(T.START + T.END) in w for c in chosen) for w in words)
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     sf = str(TESTDATA / "sf0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
