@@ -181,31 +181,31 @@ def _cluster_rows(clusters: DataFrame) -> DataFrame:
     return clusters.select("request_id", "evidence_id", "cluster_key", "level", "count", "baseline_count", "spike", "first_seen", "last_seen")
 
 
-def _own_clusters(spark: SparkSession, d: str, logs: DataFrame, project: str, environment: str) -> DataFrame:
-    s, mine = SETTINGS, (F.col("project_id") == project) & (F.col("environment") == environment)
+def _all_clusters(spark: SparkSession, d: str, logs: DataFrame) -> DataFrame:
+    s = SETTINGS
     return _cluster_rows(K.log_clusters(
-        E.requests(spark, d).where(mine), logs, current_seconds=s.current_seconds, absolute=s.spike_absolute, ratio=s.spike_ratio))
+        E.requests(spark, d), logs, current_seconds=s.current_seconds, absolute=s.spike_absolute, ratio=s.spike_ratio))
 
 
 @query
 def log_view_clusters(spark, d):
-    """A five-column log view of one project, clustered."""
-    mine = (F.col("project_id") == "svc-2") & (F.col("environment") == "local")
-    view = E.raw_logs(spark, d).where(mine).select("occurred_at", "level", "trace_id", "message", "stack_trace")
-    return _own_clusters(spark, d, S.log_view_events(view, "svc-2", "local", "Asia/Shanghai"), "svc-2", "local")
+    """A log view that all projects share, clustered for every request."""
+    view = E.raw_logs(spark, d).select("project_id", "environment", "occurred_at", "level", "trace_id", "message", "stack_trace")
+    return _all_clusters(spark, d, S.log_view_events(view, F.col("project_id"), F.col("environment"), "Asia/Shanghai"))
 
 
 @query
 def textlog_clusters(spark, d):
-    """Text files of one project, clustered."""
-    mine = (F.col("project_id") == "svc-1") & (F.col("environment") == "local")
+    """Text files of all projects, each in its own folder, clustered for every request."""
     text = F.concat(
         F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), F.upper("level"), F.lit(" [worker] "),
         "logger", F.lit(" - "), "message", F.coalesce(F.concat(F.lit("\n"), "stack_trace"), F.lit("")))
     path = scratch_path(spark, "textlog")
-    E.raw_logs(spark, d).where(mine).select(text.alias("value")).write.text(path)
-    rows, _ = M.read_log_files(spark, [path], project_id="svc-1", environment="local")
-    return _own_clusters(spark, d, rows, "svc-1", "local")
+    rows = E.raw_logs(spark, d).select("project_id", "environment", text.alias("value"))
+    rows.write.partitionBy("project_id", "environment").text(path)
+    folder = {name: F.regexp_extract("file", f"/{name}=([^/]+)/", 1) for name in ("project_id", "environment")}
+    logs, _ = M.read_log_files(spark, [f"{path}/project_id=*/environment=*"], **folder)
+    return _all_clusters(spark, d, logs)
 
 
 @query

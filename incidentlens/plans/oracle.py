@@ -465,7 +465,7 @@ def _queries() -> dict[str, tuple[str, str]]:
       FROM heads h JOIN told USING (request_id) JOIN (SELECT request_id, 'diag-20240128-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0')
         ELSE CAST(n AS VARCHAR) END AS diagnosis_id FROM (SELECT request_id, row_number() OVER (ORDER BY request_id) AS n FROM rq)) i USING (request_id)""", _NARRATED)
     own = """, own AS (SELECT *, row_number() OVER (ORDER BY {order}) AS seq FROM (SELECT occurred_at {shift} AS tm, {level} AS level, trace_id, message, stack_trace,
-        'svc-{prj}' AS project_id, 'local' AS environment FROM lg WHERE project_id = 'svc-{prj}' AND environment = 'local' AND upper(level) IN ('WARN', 'ERROR'))),
+        project_id, environment FROM lg WHERE upper(level) IN ('WARN', 'ERROR'))),
       own_parts AS (SELECT o.*, request_id, to_ts, to_ts - from_ts > INTERVAL 1 DAY AS has_baseline, """ + f"{_EXC} AS e, {normalize('message')} AS m, {_FRAME} AS f" + """
         FROM own o JOIN rq r ON r.project_id = o.project_id AND r.environment = o.environment AND tm BETWEEN from_ts AND to_ts),
       own_clu AS (SELECT request_id, has_baseline, project_id || '|' || environment || '|' || coalesce(e, 'null') || '|' || coalesce(m, 'null') || '|' || coalesce(f, 'null') AS cluster_key,
@@ -475,8 +475,8 @@ def _queries() -> dict[str, tuple[str, str]]:
     own_rows = """SELECT request_id, 'log-' || row_number() OVER (PARTITION BY request_id ORDER BY first_seq) AS evidence_id, cluster_key, level, count, baseline_count,
       current_count >= 5 AND (NOT has_baseline OR current_count >= baseline_count * 1.2::DOUBLE) AS spike, first_seen, last_seen FROM own_clu"""
     add("log_view_clusters", own_rows, own.replace("{order}", "tm DESC, level, trace_id, message").replace("{shift}", "- INTERVAL 8 HOUR")
-        .replace("{level}", "level").replace("{prj}", "2"))
-    add("textlog_clusters", own_rows, own.replace("{order}", "tm").replace("{prj}", "1").replace("occurred_at {shift}", "date_trunc('milliseconds', occurred_at)::TIMESTAMP")
+        .replace("{level}", "level"))
+    add("textlog_clusters", own_rows, own.replace("{order}", "tm").replace("occurred_at {shift}", "date_trunc('milliseconds', occurred_at)::TIMESTAMP")
         .replace("{level}", "upper(level)"))
     add("diagnose_candidates", _CANDIDATE_ROWS + "kcand")
     add("diagnose_evidence", "SELECT request_id, evidence_id, type, description FROM kept")

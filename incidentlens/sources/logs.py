@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens import constants as C
@@ -89,14 +89,19 @@ def scan_log_table(requests: DataFrame, table: DataFrame, zone: str = "UTC",
     return with_range.withColumn("attributes", exception_attributes(F.col("stack_trace")))
 
 
-def log_view_events(table: DataFrame, project_id: str, environment: str, zone: str = "UTC") -> DataFrame:
-    """The five canonical columns of a project's log view as log rows (``LOG_EVENTS``).
+def named(value: str | Column) -> Column:
+    """A project's or environment's name: the same for all rows, or an expression over them."""
+    return F.lit(value) if isinstance(value, str) else value
 
-    Stored times are wall-clock times of ``zone``. Only WARN and ERROR rows are kept. Rows arrive
+
+def log_view_events(table: DataFrame, project_id: str | Column, environment: str | Column, zone: str = "UTC") -> DataFrame:
+    """The five canonical columns of a log view as log rows (``LOG_EVENTS``).
+
+    A view of one project has its names given; one that many share has columns for them. Stored times are wall-clock times of ``zone``. Only WARN and ERROR rows are kept. Rows arrive
     by falling time; of equal times by their other columns.
     """
     rows = kept_level(table).select(
-        F.lit(project_id).alias("project_id"), F.lit(environment).alias("environment"),
+        named(project_id).alias("project_id"), named(environment).alias("environment"),
         wallclock_to_utc(F.col("occurred_at"), zone).alias("occurred_at"), "level", "trace_id", "message", "stack_trace",
         exception_attributes(F.col("stack_trace")).alias("attributes"),
     ).where(F.col("occurred_at").isNotNull())

@@ -10,6 +10,7 @@ from incidentlens.functions import logline as L
 from incidentlens.functions.text import exception_attributes
 from incidentlens.operators.ranking import number_rows, top_n
 from incidentlens.schemas import LOG_EVENTS, conform
+from incidentlens.sources.logs import named
 
 
 def bound_stack(lines: Column) -> Column:
@@ -100,12 +101,13 @@ def assemble_events(lines: DataFrame, pattern: str = C.DEFAULT_LINE_PATTERN, lev
     ).select("file", "ordinal", "head", "body.*")
 
 
-def read_log_files(spark: SparkSession, paths: list[str], *, project_id: str, environment: str,
+def read_log_files(spark: SparkSession, paths: list[str], *, project_id: str | Column, environment: str | Column,
                    pattern: str | None = None, charset: str = "UTF-8", zone: str = "UTC",
                    max_chars_per_file: int | None = None) -> tuple[DataFrame | None, str]:
-    """Log rows (``LOG_EVENTS``) of a project's text files and the state of the source.
+    """Log rows (``LOG_EVENTS``) of text files and the state of the source.
 
-    Missing files are skipped; when none of the configured ones exists there are no rows and the
+    Files of one project have its names given; where many projects keep theirs in folders, the names are expressions over
+    the column ``file``. Missing files are skipped; when none of the configured ones exists there are no rows and the
     state is ``error``. Heads with an unreadable time are dropped. Rows arrive by rising time; of
     equal times by file and place in it.
     """
@@ -115,7 +117,7 @@ def read_log_files(spark: SparkSession, paths: list[str], *, project_id: str, en
     layout = pattern if pattern and pattern.strip() else C.DEFAULT_LINE_PATTERN
     events = assemble_events(read_lines(spark, found, charset), layout, max_chars_per_file=max_chars_per_file)
     rows = parse_events(events, layout, zone).select(
-        F.lit(project_id).alias("project_id"), F.lit(environment).alias("environment"), "*")
+        named(project_id).alias("project_id"), named(environment).alias("environment"), "*")
     arrived = number_rows(rows, [], [F.col("occurred_at"), F.col("file"), F.col("ordinal")], "arrival_seq")
     return conform(arrived, LOG_EVENTS), "ok"
 
