@@ -13,10 +13,10 @@ the answer; an item of one sentence is split before its last quarter.
 Items are indexed by length class, a power of two of words (``LEAST_CLASS`` at least). Passages are windows of twice the class,
 moved by the class, so any copy of an item lies in one whole. A retrieved item is verified in spans of twice its own length, moved
 by half of it, which hold its score, its question and its answer together; so an item's matches depend on no other item's length.
-Items are indexed in shards of bounded text size, each searched by all passages; statistics are taken over all items.
+Items are indexed in shards of bounded text size, one after the other, each searched by all passages; statistics are taken over all items.
 
 Defined results: null and empty texts hold nothing; null, empty or wordless items match nothing; a null id is an
-ordinary value; repeated documents count once for each (document, item); an empty table of either kind gives an empty result. Only
+ordinary value; repeated documents count once for each (document, item), repeated items (id and text) are one; an empty table of either kind gives an empty result. Only
 ids and texts are read.
 """
 
@@ -27,13 +27,16 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from incidentlens.llm.common import in_batches, read_table
+from incidentlens.llm.common import in_batches, materialize, read_table
+from incidentlens.session import scratch_path
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight from which it is retrieved, and what verification asks of question and answer.
@@ -245,28 +248,69 @@ class Index:
         return best
 
 
-def build_shards(items: DataFrame, key: str, text: str, shard_chars: int = SHARD_CHARS) -> list[list[Index]]:
-    """Shards of all items with words, each of bounded size and with an index for each length class; statistics over all of them."""
-    given = items.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    placed = given.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    collected = [[(r["id"], r["text"]) for r in placed.where(F.col("shard") == n).select("id", "text").collect()] for n in range(shards)]
-    lengths = [len(words_of(t)) for shard in collected for _, t in shard]
-    counts = Counter(w for shard in collected for _, t in shard for w in set(words_of(t)))
-    held = [n for n in lengths if n]
-    statistics = Statistics(len(held), sum(held) / max(len(held), 1), counts)
-    shards = []
-    for shard in collected:
-        classes: dict[int, list[tuple]] = {}
-        for item in sorted(shard, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
-            if n := len(words_of(item[1])):
-                classes.setdefault(length_class(n), []).append(item)
-        shards.append([Index(classes[n], statistics) for n in sorted(classes)])
-    return shards
-
-
-def _finder(shard: list[Index], threshold: float, question: float, answer: float) -> Callable:
+class Shards:
+    """All items with words in shards of bounded size, with an index for each length class; statistics over all items.
+
+    Items are written once, by shard; the words' frequencies are counted by Spark. One shard at a time, with the frequencies of its
+    own words only, comes to the driver, so that neither holds more than about twice ``shard_chars`` characters (or one longer item).
+    """
+
+    def __init__(self, items: DataFrame, key: str, text: str, shard_chars: int = SHARD_CHARS):
+        given = items.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+        count = given.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+        self.shards, self.id_type = max(1, -(-(count.chars or 0) // shard_chars)), to_arrow_type(given.schema["id"].dataType)
+        while 1 < self.shards < 8 * count.rows and self._largest(given) > 2 * shard_chars:
+            self.shards *= 2
+        path = scratch_path(items.sparkSession, "items")
+        _with_words(given.withColumn("shard", self._shard())).write.partitionBy("shard").parquet(path)
+        kind = given.schema["id"].dataType.simpleString()
+        self.rows = items.sparkSession.read.schema(f"id {kind}, text string, words array<string>, n_words long, shard int").parquet(path)
+        self.frequency = materialize(self.rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+        held = self.rows.agg(F.count("*").alias("rows"), F.sum("n_words").alias("words")).first()
+        self.items, self.mean_words = held.rows, (held.words or 0) / max(held.rows, 1)
+
+    def _shard(self) -> Column:
+        return F.pmod(F.xxhash64("id", "text"), F.lit(self.shards)).cast("int")
+
+    def _largest(self, given: DataFrame) -> int:
+        """Characters of the largest shard that a finer division can make smaller."""
+        sizes = given.groupBy(self._shard().alias("shard")).agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+        return sizes.where("rows > 1").agg(F.max("chars").alias("most")).first().most or 0
+
+    def __len__(self) -> int:
+        return self.shards
+
+    def __iter__(self) -> Iterator[list[Index]]:
+        for n in range(self.shards):
+            rows = self.rows.where(F.col("shard") == n)
+            words = rows.select(F.explode("words").alias("word")).distinct()
+            counts = {r.word: r.n for r in self.frequency.join(words, "word").collect()}
+            statistics = Statistics(self.items, self.mean_words, counts)
+            classes: dict[int, list[tuple]] = {}
+            for r in sorted(rows.select("id", "text", "n_words").collect(), key=lambda r: (r.id is None, r.id or 0, r.text)):
+                classes.setdefault(length_class(r.n_words), []).append((r.id, r.text))
+            yield [Index(classes[size], statistics) for size in sorted(classes)]
+
+
+def _with_words(items: DataFrame) -> DataFrame:
+    """Items with their distinct words and the number of all; those without words drop."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text"), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())),
+                 pa.array([len(w) for w in words], pa.int64()), batch.column("shard")],
+                names=["id", "text", "words", "n_words", "shard"])
+
+    kind = items.schema["id"].dataType.simpleString()
+    return in_batches(items, cut, f"id {kind}, text string, words array<string>, n_words long, shard int").where("n_words > 0")
+
+
+def build_shards(items: DataFrame, key: str, text: str, shard_chars: int = SHARD_CHARS) -> Shards:
+    return Shards(items, key, text, shard_chars)
+
+
+def _finder(shard: list[Index], id_type: pa.DataType, threshold: float, question: float, answer: float) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, items, rows = [], [], []
@@ -279,7 +323,7 @@ def _finder(shard: list[Index], threshold: float, question: float, answer: float
                         rows.append((score, q, a, -start))
             columns = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(of, pa.int32())), pa.array(items, pa.int64())]
+                [batch.column("_id").take(pa.array(of, pa.int32())), pa.array(items, id_type)]
                 + [pa.array(c, pa.float64()) for c in columns[:3]] + [pa.array(columns[3], pa.int64())],
                 names=["_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],
             )
@@ -288,37 +332,62 @@ def _finder(shard: list[Index], threshold: float, question: float, answer: float
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP,
+    threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, shard_chars: int = SHARD_CHARS,
 ) -> DataFrame:
-    """One row for each document and item it holds: best score, both overlaps, and the passage's first word."""
-    kind = docs.schema[key].dataType.simpleString()
+    """One row for each document and item it holds: best score, both overlaps, and the passage's first word.
+
+    With several shards each one's finds are written before the next one is indexed.
+    """
+    kind, item_kind = (t.schema[k].dataType.simpleString() for t, k in ((docs, key), (items, item_key)))
     given = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    schema = f"_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, first_word long"
+    shards = build_shards(items, item_key, item_text, shard_chars)
     parts = [
-        in_batches(
-            given,
-            _finder(shard, threshold, question, answer),
-            f"_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
-        for shard in build_shards(items, item_key, item_text)
+        part if len(shards) == 1 else materialize(part)
+        for part in (in_batches(given, _finder(shard, shards.id_type, threshold, question, answer), schema) for shard in shards)
     ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+    found = reduce(DataFrame.union, parts)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap", (-F.col("first_word")).alias("at"))).alias("best")
     return found.groupBy("_id", "item_id").agg(best).select(
         F.col("_id").alias(key), "item_id", "best.score", "best.question_overlap", "best.answer_overlap", (-F.col("best.at")).alias("first_word"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns; each is judged in the task that reads it."""
-    at = docs.columns.index(text)
-    for shard in build_shards(items, item_key, item_text):
-        def keep(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
+def _holds_any(shard: list[Index], text: str | None) -> bool:
+    words = words_of(text)
+    return any(index.matches(words, THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP) for index in shard)
+
+
+def without_leaks(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", shard_chars: int = SHARD_CHARS,
+) -> DataFrame:
+    """The documents that hold no item, with all their columns.
+
+    With one shard each is judged in the task that reads it; with several, the digests of the texts that hold an item of a shard
+    are written before the next shard is indexed, and documents with such a digest go.
+    """
+    at, shards = docs.columns.index(text), build_shards(items, item_key, item_text, shard_chars)
+
+    def keeper(shard: list[Index]) -> Callable:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not _holds_any(shard, t) for t in batch.column(at).to_pylist()], pa.bool_()))
+        return keep
+
+    def marker(shard: list[Index]) -> Callable:
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [words_of(t) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(
-                    [not any(i.matches(t, THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP) for i in shard) for t in texts], pa.bool_()))
-        docs = in_batches(docs, keep, docs.schema)
-    return docs
+                holds = pa.array([_holds_any(shard, t) for t in batch.column(0).to_pylist()], pa.bool_())
+                yield batch.filter(holds).select([1])
+        return mark
+
+    if len(shards) == 1:
+        return in_batches(docs, keeper(next(iter(shards))), docs.schema)
+    digest = F.sha2(text, 256)
+    texts = docs.select(F.col(text).alias("_text"), digest.alias("_digest"))
+    parts = [materialize(in_batches(texts, marker(shard), "_digest string").distinct()) for shard in shards]
+    # the whole row rides in one column, so that no name of the table can clash with the digest's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest.alias("_digest"))
+    return rows.join(reduce(DataFrame.union, parts).distinct(), "_digest", "left_anti").select("_row.*")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

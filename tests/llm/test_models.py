@@ -187,6 +187,23 @@ def test_decontamination_edges(spark):
     assert len(B.build_shards(items, "item_id", "text", shard_chars=40)) > 1
 
 
+def test_decontamination_in_many_shards_equals_one(spark):
+    """Statistics, finds and kept documents do not depend on the number of shards; textual ids and repeated items are allowed."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    bench = spark.read.parquet(f"{SF2}/benchmark.parquet").selectExpr("concat('i', item_id) AS item_id", "text")
+    items = bench.unionByName(bench.limit(20))
+    chars = sum(len(r.text) for r in bench.collect())
+    shards = B.build_shards(items, "item_id", "text", shard_chars=chars // 3)
+    assert len(shards) > 2 and shards.items == bench.count()
+    assert sorted(i for shard in shards for index in shard for i in index.ids) == sorted(r.item_id for r in bench.collect())
+    one = {tuple(r) for r in B.find_leaks(docs, bench).collect()}
+    assert one and {tuple(r) for r in B.find_leaks(docs, items, shard_chars=chars // 3).collect()} == one
+    kept = B.without_leaks(docs, items, shard_chars=chars // 3)
+    assert kept.schema.names == docs.schema.names
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in B.without_leaks(docs, bench).collect())
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {r[0] for r in one}
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return S.vocabulary(S.MODEL, S.EXPONENT, S.ALPHA)
