@@ -17,7 +17,9 @@ from incidentlens.operators import clustering as K
 from incidentlens.operators import correlation as J
 from incidentlens.operators import evaluation as V
 from incidentlens.operators import integrity as I
+from incidentlens.operators import linkage as W
 from incidentlens.operators import report as P
+from incidentlens.operators import retention as Q
 from incidentlens.operators import sanitize as Z
 from incidentlens.operators import timeline as T
 from incidentlens.operators import validation as A
@@ -535,6 +537,13 @@ def latency_correlation(spark, d):
     return _candidates(J.latency_correlation(_slow_sql(spark, d), _metrics(spark, d), window=SETTINGS.sql_window))
 
 
+@query
+def trace_links(spark, d):
+    """Slow statements and the errors they belong to: same trace, request, module, or time alone."""
+    statements, errors = E.traced_events(spark, d, "view", "stmt-"), E.traced_events(spark, d, "error", "log-")
+    return W.link_evidence(statements, errors, W.tiers(HOUR))
+
+
 # --- budget, evidence, timeline -----------------------------------------------------------------
 
 def _ranked(df: DataFrame, *columns: str) -> DataFrame:
@@ -561,6 +570,18 @@ def budget_changes(spark, d):
     return _ranked(B.keep_changes(_changes(spark, d), TIGHT[3]), "type")
 
 
+@query
+def asked_clusters(spark, d):
+    rows = Q.keep_asked_clusters(E.asked_requests(spark, d), _clusters(spark, d), _changes(spark, d), TIGHT[0])
+    return _ranked(rows, "question_hits", "level", "count", "deployment_gap_us")
+
+
+@query
+def asked_slow_sql(spark, d):
+    rows = Q.keep_asked_slow_sql(E.asked_requests(spark, d), _slow_sql(spark, d), _changes(spark, d), TIGHT[1])
+    return _ranked(rows, "question_hits", "avg_duration_ms", "deployment_gap_us")
+
+
 @query
 def budget_report(spark, d):
     return diagnosis(spark, d).budget

@@ -420,6 +420,31 @@ def _queries() -> dict[str, tuple[str, str]]:
       JOIN rm c ON c.request_id = t.request_id AND c.evidence_id = t.evidence_id WHERE type_ord = 2""")
     add("budget_changes", """SELECT t.request_id, t.evidence_id, c.type, rank_no FROM tight t
       JOIN rc c ON c.request_id = t.request_id AND c.evidence_id = t.evidence_id WHERE type_ord = 4""")
+    asked = """, question AS (SELECT request_id, list_filter(regexp_extract_all(lower('why does ' || CASE day(from_ts) // 2 % 4 WHEN 0 THEN 'IllegalStateException'
+        WHEN 1 THEN 'rows of T_1' WHEN 2 THEN 'the view order' ELSE 'it' END || ' break in ' || project_id || '? ***'), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3) AS terms FROM rq)"""
+    hits = r"(SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')) AS w) WHERE list_contains(terms, w))"
+    gap = """(SELECT min(abs(epoch_us(c.occurred_at) - epoch_us(x.{0}))) FROM rc c WHERE c.request_id = x.request_id AND type IN ('DEPLOYMENT', 'ROLLBACK'))"""
+    add("asked_clusters", f"""SELECT request_id, evidence_id, question_hits, level, count, deployment_gap_us, rank_no FROM (
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY question_hits > 0 DESC, upper(level) = 'ERROR' DESC, count DESC,
+        deployment_gap_us NULLS LAST, cluster_seq) AS rank_no FROM (SELECT x.*, {hits.format("concat_ws(' ', exception_class, message_template, top_stack_frame)")} AS question_hits,
+        {gap.format('last_seen')} AS deployment_gap_us FROM clu x JOIN question q ON q.request_id = x.request_id)) WHERE rank_no <= 3""", asked)
+    add("asked_slow_sql", f"""SELECT request_id, evidence_id, question_hits, avg_duration_ms, deployment_gap_us, rank_no FROM (
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY question_hits > 0 DESC, avg_duration_ms DESC, occurrences DESC,
+        deployment_gap_us NULLS LAST, evidence_id) AS rank_no FROM (SELECT x.*, {hits.format('sql_template')} AS question_hits,
+        {gap.format('first_seen')} AS deployment_gap_us FROM rs x JOIN question q ON q.request_id = x.request_id)) WHERE rank_no <= 1""", asked)
+    add("trace_links", """SELECT 'stmt-' || s.event_id AS evidence_id, s.project_id, s.environment, linked_id,
+        CASE tier WHEN 1 THEN 'TRACE_ID' WHEN 2 THEN 'REQUEST_SCOPED' WHEN 3 THEN 'MODULE_SCOPED' WHEN 4 THEN 'TEMPORAL_ONLY' END AS correlation_type,
+        gap_us, coalesce(tier < 4, false) AS definite, CASE WHEN tier = 1 THEN 'STRONG' WHEN tier IS NULL THEN 'WEAK' ELSE 'MODERATE' END AS strength
+      FROM traced s LEFT JOIN best b ON b.event_id = s.event_id WHERE s.event_type = 'view'""", """,
+      traced AS (SELECT *, CASE WHEN event_id % 4 <> 0 THEN 't-' || user_id || '-' || (event_id % 11) END AS trace,
+        CASE WHEN event_id % 5 <> 0 THEN '/api/' || (user_id % 7) END AS uri, user_id % 3 AS src, k % 4 AS module,
+        CASE WHEN event_id % 3 <> 0 THEN k % 3 END AS exc FROM ev),
+      pairs AS (SELECT s.event_id, 'log-' || e.event_id AS linked_id, e.ts AS seen, abs(epoch_us(s.ts) - epoch_us(e.ts)) AS gap_us,
+        CASE WHEN s.trace = e.trace THEN 1 WHEN gap_us > 3600000000 THEN NULL WHEN s.uri = e.uri AND s.src = e.src THEN 2
+          WHEN s.module = e.module AND s.exc = e.exc THEN 3 ELSE 4 END AS tier
+        FROM traced s JOIN traced e USING (project_id, environment) WHERE s.event_type = 'view' AND e.event_type = 'error'),
+      best AS (SELECT * FROM pairs WHERE tier IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tier, gap_us, seen, linked_id) = 1)""")
     add("budget_report", f"""SELECT *, log_clusters_truncated + slow_sql_truncated + metrics_truncated + change_events_truncated > 0 AS any_truncated
       FROM (SELECT request_id, {_budget_columns()} FROM rq r)""")
     add("evidence_text", "SELECT request_id, evidence_id, type, description FROM evid")

@@ -116,6 +116,30 @@ def raw_slow_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def traced_events(spark: SparkSession, sf_dir: str, kind: str, prefix: str) -> DataFrame:
+    """Events of a kind as evidence that may carry a trace, a request and a module.
+
+    A quarter has no trace, a fifth no address; traces are short runs of a user's events.
+    """
+    n, user = F.col("event_id"), F.col("user_id")
+    return events(spark, sf_dir).where(F.col("event_type") == kind).select(
+        _text(prefix, _s("event_id")).alias("evidence_id"), "project_id", "environment", F.col("ts").alias("occurred_at"),
+        F.when(n % 4 != 0, _text("t-", _s("user_id"), "-", (n % 11).cast("string"))).alias("trace_id"),
+        F.when(n % 5 != 0, _text("/api/", (user % 7).cast("string"))).alias("request_uri"),
+        _text("t_", (user % 3).cast("string")).alias("sql_source"),
+        _text("m", (F.col("k") % 4).cast("string")).alias("module"),
+        F.when(n % 3 != 0, _text("E", (F.col("k") % 3).cast("string"))).alias("exception_class"),
+    )
+
+
+def asked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with questions that name an exception, a table, or nothing that stands in the evidence."""
+    day = F.expr("day(from_ts) DIV 2 % 4")
+    subject = F.when(day == 0, "IllegalStateException").when(day == 1, "rows of T_1").when(day == 2, "the view order").otherwise("it")
+    return requests(spark, sf_dir).withColumn(
+        "question", _text("Why does ", subject, " break in ", F.col("project_id"), "? password=", F.col("environment")))
+
+
 @lru_cache(maxsize=32)
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per project seen in the events, with the sources it uses."""
