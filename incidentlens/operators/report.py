@@ -156,6 +156,12 @@ def assemble_reports(requests: DataFrame, heads: DataFrame, timeline: DataFrame,
     )
 
 
+def report_id(day: str, number: Column) -> Column:
+    """``diag-<day>-NNN``; numbers from 1000 on keep all their digits."""
+    text = number.cast("string")
+    return F.concat(F.lit(f"diag-{day}-"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text))
+
+
 def assign_report_ids(requests: DataFrame, order: list[Column], stored_ids: DataFrame, day: str) -> DataFrame:
     """``diag-<day>-NNN`` for every request in order, never an id that is already stored.
 
@@ -170,8 +176,7 @@ def assign_report_ids(requests: DataFrame, order: list[Column], stored_ids: Data
     needed = queue.count() + taken.count()
     free = spark.range(1, needed + 1).withColumnRenamed("id", "number").join(taken, "number", "left_anti")
     numbered = number_rows(free, [], [F.col("number")], "turn_no")
-    text = F.when(F.col("number") < 1000, F.lpad(F.col("number").cast("string"), 3, "0")).otherwise(F.col("number").cast("string"))
-    return queue.join(numbered, "turn_no").withColumn("diagnosis_id", F.concat(F.lit(prefix), text)).drop("turn_no", "number")
+    return queue.join(numbered, "turn_no").withColumn("diagnosis_id", report_id(day, F.col("number"))).drop("turn_no", "number")
 
 
 def stored_rows(reports: DataFrame, ids: DataFrame, created_at: Column, version: int = 1) -> DataFrame:

@@ -662,8 +662,8 @@ def narrate(spark, d):
 def assign_report_ids(spark, d):
     turns = E.submitted_requests(spark, d).select("request_id")
     stored = E.table(spark, d, "conversations").where(F.col("conv_id") % 3 == 1).select(
-        F.concat(F.lit(f"diag-{REPORT_DAY}-"), F.lpad(F.col("conv_id").cast("string"), 3, "0")).alias("diagnosis_id")).distinct()
-    return P.assign_report_ids(turns, [F.col("request_id")], stored, REPORT_DAY)
+        P.report_id(REPORT_DAY, F.col("conv_id")).alias("diagnosis_id")).distinct()
+    return P.assign_report_ids(turns, [F.col("request_id").asc_nulls_last()], stored, REPORT_DAY)
 
 
 def _flat_report(reports: DataFrame) -> DataFrame:
