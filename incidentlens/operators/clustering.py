@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from incidentlens import constants as C
 from incidentlens.functions.text import (
-    cluster_exception, cluster_key, limit_stack_lines, normalize_message, redact, top_stack_frame, truncate,
+    cluster_exception, cluster_key, limit_stack_lines, normalize_message, redact, redact_each, top_stack_frame, truncate,
 )
 from incidentlens.operators.joins import request_evidence, wanted_evidence
 from incidentlens.operators.ranking import number_rows
@@ -28,18 +28,19 @@ def cluster_parts(logs: DataFrame, *carried: str) -> DataFrame:
     """Raw log rows narrowed to what a cluster is made of, computed on the sanitized text."""
     same = [*carried, "project_id", "environment", "occurred_at", "arrival_seq", "level"]
     masked = logs.select(
-        *same, redact(F.col("message")).alias("_message"), redact(F.col("stack_trace")).alias("_stack"),
-        redact(F.col("attributes")["exceptionClass"]).alias("_explicit"),
-    )
+        *same, redact(F.col("message")).alias("_message"),
+        redact_each(F.col("stack_trace"), F.col("attributes")["exceptionClass"]).alias("_others"))
+    message, stack, explicit = F.col("_message"), F.get("_others", F.lit(0)), F.get("_others", F.lit(1))
+    # a cut may leave half of what was masked, so cut messages are masked again
+    again = F.get(redact_each(truncate(message)), F.lit(0))
     cut = masked.select(
-        *same, "_explicit", truncate(F.col("_message")).alias("_message"),
-        (F.length("_message") <= C.MAX_SAMPLE_CHARS).alias("_uncut"),
-        limit_stack_lines(F.col("_stack")).alias("_stack"),
+        *same, explicit.alias("_explicit"), limit_stack_lines(stack).alias("_stack"),
+        F.when(F.length(message) > C.MAX_SAMPLE_CHARS, again).otherwise(message).alias("_message"),
     )
     return cut.select(
         *same,
         cluster_exception(F.col("_explicit"), F.col("_stack")).alias("exception_class"),
-        normalize_message(F.col("_message"), already_redacted=F.col("_uncut")).alias("message_template"),
+        normalize_message(F.col("_message"), already_redacted=F.lit(True)).alias("message_template"),
         top_stack_frame(F.col("_stack")).alias("top_stack_frame"),
     )
 

@@ -1,5 +1,14 @@
 """Registered queries on numbers and texts that the given tables do not hold."""
 
+import datetime as dt
+import random
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from incidentlens import constants as C
+from incidentlens.functions import text as X
+from incidentlens.operators import clustering as K
 from incidentlens.plans import catalog, oracle
 from compare import differences
 from conftest import TESTDATA
@@ -16,3 +25,36 @@ def test_report_ids_beyond_three_digits(spark, tmp_path):
     made.to_parquet(tmp_path / "conversations.parquet")
     sf_dir = str(tmp_path)
     assert differences(catalog.assign_report_ids(spark, sf_dir), sf_dir, oracle.all_sql()["assign_report_ids"]) == []
+
+
+LOGS = "project_id string, environment string, occurred_at timestamp, arrival_seq long, level string, message string, stack_trace string, attributes map<string,string>"
+
+
+def _plain(text, rules):
+    """Every pattern as it is written, in order, on every text."""
+    return reduce(lambda column, rule: F.regexp_replace(column, *rule), rules, text)
+
+
+def test_parts_equal_plain_patterns_with_few_searches(spark):
+    rng = random.Random(3)
+    pieces = [
+        "Bearer", "authorization", "AUTHORIZATION: bearer", "password", "Passwd", "pwd", "tOKen", "api-key", "api_Key", "apikey", "secret", "=", ":", " ", " ", "\"", ",", "@",
+        "a@b.com", "x.y-z", ".", "-", "13912345678", "12345678901", "123456789012345678", "12345678901234567X", "7", "10.0.3.7", "deadbeefdeadbeef", "0123456789abcdef",
+        "2024-01-02 03:04:05.678", "2024-01-02T03:04:05Z", "123e4567-e89b-12d3-a456-426614174000", "é", "汉", "_", "k\u212aey", "\n", "abc", "1200", "",
+    ]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(700)]
+    texts += ["w " * 595 + t for t in texts[:200]] + [None, ""]
+    rows = [("p", "e", dt.datetime(2024, 1, 1), n, "WARN", t, t and f"a.BException: {t}\n\tat c.D(E.java:{n})", {"exceptionClass": t} if n % 3 else None)
+            for n, t in enumerate(texts)]
+    logs = spark.createDataFrame(rows, LOGS)
+    parts = K.cluster_parts(logs)
+    masks = [(p, C.MASK) for p in C.SECRET_PATTERNS]
+    masked = _plain(F.col("message"), masks)
+    stack = X.limit_stack_lines(_plain(F.col("stack_trace"), masks))
+    again = F.when(F.length(masked) > C.MAX_SAMPLE_CHARS, _plain(X.truncate(masked), masks)).otherwise(masked)
+    want = logs.select(
+        "arrival_seq", X.cluster_exception(_plain(F.col("attributes")["exceptionClass"], masks), stack).alias("exception_class"),
+        X.trim_control(_plain(again, C.TEMPLATE_PATTERNS)).alias("message_template"), X.top_stack_frame(stack).alias("top_stack_frame"))
+    assert {r.arrival_seq: tuple(r[c] for c in K.PARTS) for r in parts.collect()} == {
+        r.arrival_seq: tuple(r[c] for c in K.PARTS) for r in want.collect()}
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 30
