@@ -10,6 +10,7 @@ from incidentlens.functions import logline as L
 from incidentlens.functions.text import exception_attributes
 from incidentlens.operators.ranking import number_rows, top_n
 from incidentlens.schemas import LOG_EVENTS, conform
+from incidentlens.session import materialize
 from incidentlens.sources.logs import named
 
 
@@ -118,7 +119,8 @@ def read_log_files(spark: SparkSession, paths: list[str], *, project_id: str | C
     events = assemble_events(read_lines(spark, found, charset), layout, max_chars_per_file=max_chars_per_file)
     rows = parse_events(events, layout, zone).select(
         named(project_id).alias("project_id"), named(environment).alias("environment"), "*")
-    arrived = number_rows(rows, [], [F.col("occurred_at"), F.col("file"), F.col("ordinal")], "arrival_seq")
+    # a range shuffle reads its input twice, once for the bounds: events are assembled and parsed before it
+    arrived = number_rows(materialize(rows), [], [F.col("occurred_at"), F.col("file"), F.col("ordinal")], "arrival_seq")
     return conform(arrived, LOG_EVENTS), "ok"
 
 

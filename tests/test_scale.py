@@ -10,6 +10,7 @@ from incidentlens import constants as C
 from incidentlens.functions import text as X
 from incidentlens.operators import clustering as K
 from incidentlens.plans import catalog, oracle
+from incidentlens.sources import textlog as M
 from compare import differences
 from conftest import TESTDATA
 
@@ -58,3 +59,13 @@ def test_parts_equal_plain_patterns_with_few_searches(spark):
     assert {r.arrival_seq: tuple(r[c] for c in K.PARTS) for r in parts.collect()} == {
         r.arrival_seq: tuple(r[c] for c in K.PARTS) for r in want.collect()}
     assert parts._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 30
+
+
+def test_text_events_are_parsed_once(spark, tmp_path, monkeypatch):
+    """What is numbered by a range shuffle, which reads its input twice, is already computed."""
+    (tmp_path / "a.log").write_text("2024-01-01 00:00:00.000 WARN [w] a.B - one\n\tat x\n2024-01-01 00:00:01.000 ERROR [w] a.B - two\n")
+    plans, numbered = [], M.number_rows
+    monkeypatch.setattr(M, "number_rows", lambda rows, *rest: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or numbered(rows, *rest))
+    logs, state = M.read_log_files(spark, [str(tmp_path / "a.log")], project_id="p", environment="e")
+    assert state == "ok" and [r.message for r in logs.orderBy("arrival_seq").collect()] == ["one", "two"]
+    assert len(plans) == 1 and "LogicalRDD" in plans[0] and "Window" not in plans[0]
