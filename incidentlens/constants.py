@@ -13,8 +13,8 @@ SECRET_PATTERNS = [
 SECRET_WORDS = [
     "bearer", "password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key", "authorization",
 ]
-# What a text needs for the other patterns to match.
-ADDRESS_OR_LONG_NUMBER = r"@|\d{11}"
+# What a text needs for the last two patterns to match.
+LONG_NUMBER = r"\d{11}"
 SENSITIVE_KEY = (
     r"(?i)(pass(word|wd)?|pwd|token|secret|api[_-]?key|authorization|credential|access[_-]?key)"
 )
@@ -33,10 +33,13 @@ TEMPLATE_PATTERNS = [
     (LONG_HEX, "{hex}"),
     (NUMBER, "{n}"),
 ]
-# Characters one of which a match begins with; looked for first, they spare the slow part of a pattern at most places.
+# What a match begins with; looked for first, it spares the slow part of a pattern at most places.
 BEGINS_WITH = {
-    SECRET_PATTERNS[0]: "[abAB]", SECRET_PATTERNS[1]: "[pastPAST]", IPV4: r"\d", LONG_HEX: "[0-9a-fA-F]", NUMBER: r"\d",
+    SECRET_PATTERNS[0]: "[abAB][ueUE]", SECRET_PATTERNS[1]: "[pastPAST][awoepuAWOEPU]",
+    IPV4: r"\d{1,3}\.\d", LONG_HEX: "[0-9a-fA-F]{16}", NUMBER: r"\d",
 }
+# The same matches, tried only where a run of such characters begins or the last match ended.
+SEARCHED_AS = {SECRET_PATTERNS[2]: r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
 THROWABLE = r"\b([\w$.]+(?:Exception|Error))\b"
 
 # --- fixed values: log line layout --------------------------------------------------------------

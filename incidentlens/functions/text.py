@@ -26,6 +26,8 @@ def not_blank(text: Column) -> Column:
 
 def _replace_all(text: Column, rules) -> Column:
     def search(pattern: str) -> str:
+        if pattern in C.SEARCHED_AS:
+            return C.SEARCHED_AS[pattern]
         return f"(?={C.BEGINS_WITH[pattern]}){pattern}" if pattern in C.BEGINS_WITH else pattern
 
     return reduce(lambda col, rule: F.regexp_replace(col, search(rule[0]), rule[1]), rules, text)
@@ -42,15 +44,14 @@ def _has_secret_word(text: Column) -> Column:
 def redact(text: Column) -> Column:
     """Mask tokens, key=value secrets, e-mail addresses, phone and id numbers.
 
-    Searching a pattern costs far more than looking for a word; the one of addresses tries every
-    part of every word. Texts without any secret word, or without ``@`` and as many digits in a row
-    as the shortest number has, skip the patterns that need them. Masking never brings such a
-    word, sign or run into a text, so the original text decides.
+    Searching a pattern costs far more than looking for a word. Texts with a secret word but
+    without ``bearer``, ``@`` and as many digits in a row as the shortest number has go through
+    one pattern only, texts without any of them through none. Masking never brings such a word,
+    sign or run into a text, so the original text decides.
     """
     rules = [(p, C.MASK) for p in C.SECRET_PATTERNS]
-    return (
-        F.when(text.rlike(C.ADDRESS_OR_LONG_NUMBER), _replace_all(text, rules))
-        .when(_has_secret_word(text), _replace_all(text, rules[:2])).otherwise(text))
+    needs_all = _has_any(F.lower(text), ["bearer", "@"]) | text.rlike(C.LONG_NUMBER)
+    return F.when(needs_all, _replace_all(text, rules)).when(_has_secret_word(text), _replace_all(text, rules[1:2])).otherwise(text)
 
 
 def redact_each(*texts: Column) -> Column:
@@ -85,27 +86,34 @@ def normalize_message(message: Column, already_redacted: Column | None = None) -
 
     ``already_redacted`` marks rows whose text went through :func:`redact` and was not cut
     afterwards; redacting those again cannot change them, so it is skipped. Without it the text is
-    redacted here. Texts without digits and dashes can only hold identifiers made of hexadecimal letters.
+    redacted here. Identifiers and times with dashes are only searched in texts with a dash; texts
+    without digits and dashes can only hold identifiers made of hexadecimal letters.
     """
+    def template(text: Column) -> Column:
+        letters_only = [rule for rule in C.TEMPLATE_PATTERNS if rule[0] == C.LONG_HEX]
+        undashed = [rule for rule in C.TEMPLATE_PATTERNS if rule[0] not in (C.UUID, C.ISO_TIMESTAMP)]
+        return (
+            F.when(F.contains(text, F.lit("-")), _replace_all(text, C.TEMPLATE_PATTERNS))
+            .when(text.rlike("[0-9]"), _replace_all(text, undashed)).otherwise(_replace_all(text, letters_only)))
+
     masked = redact(message)
     if already_redacted is not None:
         masked = F.when(already_redacted, message).otherwise(masked)
-    letters_only = [rule for rule in C.TEMPLATE_PATTERNS if rule[0] == C.LONG_HEX]
-    plain = ~message.rlike("[-@0-9]") & ~_has_secret_word(message)
-    return trim_control(
-        F.when(plain, _replace_all(message, letters_only)).otherwise(_replace_all(masked, C.TEMPLATE_PATTERNS)))
+    # one expression, as in redact_each
+    return trim_control(F.get(F.transform(F.array(masked), template), F.lit(0)))
 
 
 def top_stack_frame(stack: Column) -> Column:
     """The first ``at …`` line of a stack trace without its line number."""
+    # white space behind a line break takes in the rest of a break of two characters
     frame = F.regexp_extract(
         stack,
-        rf"(?:\A|\R)[\x00-\x20]*at ([\x00-\x20&&[^{_LINE_BREAK_CHARS}]]*"
+        rf"(?:\A|[{_LINE_BREAK_CHARS}])[\x00-\x20]*at ([\x00-\t\x0e-\x20]*"
         rf"[^\x00-\x20{_LINE_BREAK_CHARS}][^{_LINE_BREAK_CHARS}]*)",
         1,
     )
-    bare = trim_control(F.regexp_replace(trim_control(frame), r":\d+\)", ")"))
-    return F.when(frame != "", bare)
+    # a frame has visible characters, and so has what is left of it
+    return F.nullif(trim_control(F.regexp_replace(trim_control(frame), r":\d+\)", ")")), F.lit(""))
 
 
 def exception_class(stack: Column) -> Column:
