@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentlens.session import RequestScope, instant, request_scope
@@ -43,10 +45,7 @@ def wanted_evidence(
     days = scope.days.select("project_id", "environment", "_day", "from_ts", "to_ts")
     asked = F.broadcast(days) if scope.small else days
     dated = in_outer_range(evidence, time_col, scope).withColumn("_day", F.to_date(time_col))
-    matches = (
-        (dated["project_id"] == asked["project_id"])
-        & (dated["environment"] == asked["environment"])
-        & (dated["_day"] == asked["_day"])
-        & dated[time_col].between(asked["from_ts"], asked["to_ts"])
-    )
-    return dated.join(asked, matches, "left_semi").drop("_day")
+    # by alias, so that the rows can meet the same requests again
+    matches = reduce(Column.__and__, [F.col(f"e.{c}") == F.col(f"a.{c}") for c in ("project_id", "environment", "_day")])
+    inside = F.col(f"e.{time_col}").between(F.col("a.from_ts"), F.col("a.to_ts"))
+    return dated.alias("e").join(asked.alias("a"), matches & inside, "left_semi").drop("_day")

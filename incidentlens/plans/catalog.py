@@ -23,10 +23,10 @@ from incidentlens.operators import retention as Q
 from incidentlens.operators import sanitize as Z
 from incidentlens.operators import timeline as T
 from incidentlens.operators import validation as A
-from incidentlens.operators.joins import request_evidence
+from incidentlens.operators.joins import request_evidence, wanted_evidence
 from incidentlens.operators.ranking import largest
 from incidentlens.plans.diagnose import Diagnosis, Evidence, Settings, diagnose, request_slow_sql
-from incidentlens.session import instant, scratch_path
+from incidentlens.session import instant, materialize, materialize_all, request_scope, scratch_path
 from incidentlens.sources import database as D
 from incidentlens.sources import driver_tables as E
 from incidentlens.sources import evidence as G
@@ -58,35 +58,48 @@ def _list(column: str | Column) -> Column:
 
 # --- shared inputs ------------------------------------------------------------------------------
 
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The requests, written once for a query that meets them with several kinds of evidence."""
+    return materialize(E.requests(spark, d))
+
+
+def _clusters(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
     s = SETTINGS
     return K.log_clusters(
-        E.requests(spark, d), S.kept_level(E.log_events(spark, d)),
+        _asked(spark, d) if asked is None else asked, S.kept_level(E.log_events(spark, d)),
         current_seconds=s.current_seconds, absolute=s.spike_absolute, ratio=s.spike_ratio)
 
 
-def _slow_sql(spark: SparkSession, d: str) -> DataFrame:
-    return Z.sanitize_slow_sql(request_slow_sql(E.requests(spark, d), E.raw_slow_sql(spark, d)))
+def _slow_sql(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    return Z.sanitize_slow_sql(request_slow_sql(_asked(spark, d) if asked is None else asked, E.raw_slow_sql(spark, d)))
 
 
-def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return Z.sanitize_metrics(G.metrics_in_range(E.requests(spark, d), E.metric_anomalies(spark, d)))
+def _metrics(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    asked = _asked(spark, d) if asked is None else asked
+    scope = request_scope(asked)
+    wanted = wanted_evidence(asked, E.metric_anomalies(spark, d), "observed_at", scope)
+    return request_evidence(asked, Z.sanitize_metrics(wanted), "observed_at", scope)
 
 
-def _changes(spark: SparkSession, d: str) -> DataFrame:
-    return Z.sanitize_changes(G.changes_in_range(E.requests(spark, d), E.change_events(spark, d)))
+def _changes(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    asked = _asked(spark, d) if asked is None else asked
+    scope = request_scope(asked)
+    return request_evidence(asked, Z.sanitize_changes(wanted_evidence(asked, E.change_events(spark, d), scope=scope)), scope=scope)
 
 
-def _health(spark: SparkSession, d: str) -> DataFrame:
-    return D.health_status(E.requests(spark, d), E.projects(spark, d), E.health_snapshots(spark, d))
+def _health(spark: SparkSession, d: str, asked: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """The snapshots are counted from all captured sessions, so they are written before they are read twice."""
+    asked = _asked(spark, d) if asked is None else asked
+    projects = E.projects(spark, d) if projects is None else projects
+    return D.health_status(asked, projects, materialize(E.health_snapshots(spark, d)))
 
 
 def diagnosis(spark: SparkSession, d: str, settings: Settings = SETTINGS) -> Diagnosis:
-    accepted = A.accepted_requests(E.requests(spark, d), E.projects(spark, d))
+    asked, projects = materialize_all(lambda: E.requests(spark, d), lambda: E.projects(spark, d))
     evidence = Evidence(
         logs=E.log_events(spark, d), metrics=E.metric_anomalies(spark, d), changes=E.change_events(spark, d),
-        raw_slow_sql=E.raw_slow_sql(spark, d), health=_health(spark, d), status=E.source_status(spark, d))
-    return diagnose(accepted, evidence, settings)
+        raw_slow_sql=E.raw_slow_sql(spark, d), health=lambda: _health(spark, d, asked, projects), status=E.source_status(spark, d))
+    return diagnose(A.accepted_requests(asked, projects), evidence, settings)
 
 
 # --- text logs ----------------------------------------------------------------------------------
@@ -523,8 +536,9 @@ def _candidates(df: DataFrame) -> DataFrame:
 
 @query
 def deployment_regression(spark, d):
+    asked = _asked(spark, d)
     return _candidates(J.deployment_regression(
-        _changes(spark, d), _clusters(spark, d), back=SETTINGS.deploy_back, forward=SETTINGS.deploy_forward))
+        _changes(spark, d, asked), _clusters(spark, d, asked), back=SETTINGS.deploy_back, forward=SETTINGS.deploy_forward))
 
 
 @query
@@ -584,29 +598,34 @@ def asked_slow_sql(spark, d):
 
 @query
 def budget_report(spark, d):
-    return diagnosis(spark, d).budget
+    projects = E.projects(spark, d)
+    asked = materialize(A.accepted_requests(E.requests(spark, d), projects))
+    # counts need no texts, so the plans of all kinds but the clusters are read without them
+    return B.budget_report(asked, *[f(spark, d, asked) for f in (_clusters, _slow_sql, _metrics, _changes)], SETTINGS.caps)
 
 
 @query
 def evidence_text(spark, d):
-    unranked = F.lit(0).alias("rank_no")
-    tables = [f(spark, d).select("*", unranked) for f in (_clusters, _metrics, _slow_sql, _changes)]
-    return T.evidence_rows(*tables, _health(spark, d)).select("request_id", "evidence_id", "type", "description")
+    unranked, asked = F.lit(0).alias("rank_no"), _asked(spark, d)
+    tables = [f(spark, d, asked).select("*", unranked) for f in (_clusters, _metrics, _slow_sql, _changes)]
+    return T.evidence_rows(*tables, _health(spark, d, asked)).select("request_id", "evidence_id", "type", "description")
 
 
 @query
 def evidence(spark, d):
+    asked = _asked(spark, d)
     kept = (
-        B.keep_clusters(_clusters(spark, d)), B.keep_metrics(_metrics(spark, d)),
-        B.keep_slow_sql(_slow_sql(spark, d)), B.keep_changes(_changes(spark, d)))
+        B.keep_clusters(_clusters(spark, d, asked)), B.keep_metrics(_metrics(spark, d, asked)),
+        B.keep_slow_sql(_slow_sql(spark, d, asked)), B.keep_changes(_changes(spark, d, asked)))
     return T.evidence_rows(*kept).select(
         "request_id", "evidence_id", "type", "description", F.col("rank_no").cast("long").alias("rank_no"))
 
 
 @query
 def timeline(spark, d):
-    entries = T.timeline_entries(
-        _changes(spark, d), _clusters(spark, d), _metrics(spark, d), _slow_sql(spark, d), _health(spark, d))
+    asked = _asked(spark, d)
+    tables = [f(spark, d, asked) for f in (_changes, _clusters, _metrics, _slow_sql, _health)]
+    entries = T.timeline_entries(*tables)
     return T.order_timeline(entries).select("request_id", "position", "at", "category", "description", "evidence_id")
 
 

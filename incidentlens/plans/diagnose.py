@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,22 +49,23 @@ class Evidence:
     changes: DataFrame
     raw_slow_sql: DataFrame | None = None
     slow_sql: DataFrame | None = None
-    health: DataFrame | None = None
+    #: A table, or a function that makes it at the same time as the other evidence.
+    health: DataFrame | Callable[[], DataFrame] | None = None
     status: DataFrame | None = None
     capped_logs: DataFrame | None = None
 
 
 @dataclass
 class Diagnosis:
-    """What a diagnosis yields; every table is keyed by ``request_id``."""
+    """What a diagnosis yields; every table is keyed by ``request_id``.
+
+    Evidence rows and candidates are computed and written when first asked for. ``changes`` and ``metrics`` are the sanitized
+    rows inside the ranges as plans; ``spots`` has them written without their texts, for rules and counts.
+    """
 
     requests: DataFrame
     clusters: DataFrame
     kept: dict[str, DataFrame]
-    evidence: DataFrame
-    timeline: DataFrame
-    candidates: DataFrame
-    budget: DataFrame
     unavailable: DataFrame
     health: DataFrame
     logs: DataFrame
@@ -70,6 +73,33 @@ class Diagnosis:
     changes: DataFrame
     metrics: DataFrame
     slow_sql: DataFrame
+    spots: dict[str, DataFrame]
+    few: bool
+
+    def _kept(self) -> list[DataFrame]:
+        return [self.kept[kind] for kind in ("log_clusters", "metrics", "slow_sql", "change_events")]
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return materialize(evidence_rows(*self._kept(), self.health))
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        clusters, metrics, slow_sql, changes = self._kept()
+        return order_short_timeline(timeline_entries(changes, clusters, metrics, slow_sql, self.health))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        s = self.settings
+        rules = materialize(rule_candidates(
+            self.spots["change_events"], self.clusters, self.slow_sql, self.spots["metrics"], few_requests=self.few,
+            deploy_back=s.deploy_back, deploy_forward=s.deploy_forward, sql_window=s.sql_window))
+        return materialize(resolved_candidates(rules, self.evidence))
+
+    @cached_property
+    def budget(self) -> DataFrame:
+        return B.budget_report(
+            self.requests, self.clusters, self.slow_sql, self.spots["metrics"], self.spots["change_events"], self.settings.caps)
 
     def sampled_clusters(self) -> DataFrame:
         """The kept clusters, each with its sanitized first event."""
@@ -112,47 +142,45 @@ def diagnose(requests: DataFrame, evidence: Evidence, settings: Settings = Setti
              database_slow_sql: DataFrame | None = None, projects: DataFrame | None = None) -> Diagnosis:
     """Diagnose accepted requests.
 
-    Evidence inside the ranges is computed once and written, since rules, budget, timeline and
-    counts all read it. From the budget on, a request has at most a few dozen rows. Timeline
-    entries are made from kept evidence only, so each of them resolves.
+    Evidence inside the ranges is found once and written, since rules, budget and counts all read
+    it; texts of metrics and changes are sanitized for the kept rows only. From the budget on, a
+    request has at most a few dozen rows. Timeline entries are made from kept evidence only, so
+    each of them resolves.
     """
     requests = materialize(requests)
     scope = request_scope(requests)
-    few = scope.small
-    spark = requests.sparkSession
-    health, clusters, metrics, changes, slow_sql = materialize_all(
-        lambda: spark.createDataFrame([], REQUEST_HEALTH) if evidence.health is None else evidence.health,
+    spark, caps = requests.sparkSession, settings.caps
+    metrics = request_evidence(requests, evidence.metrics, "observed_at", scope)
+    changes = request_evidence(requests, evidence.changes, scope=scope)
+
+    def health() -> DataFrame:
+        given = evidence.health() if callable(evidence.health) else evidence.health
+        return spark.createDataFrame([], REQUEST_HEALTH) if given is None else given
+
+    written_health, clusters, slow_sql, metric_spots, change_spots, kept_metrics, kept_changes = materialize_all(
+        health,
         lambda: log_clusters(
             requests, kept_level(evidence.logs), current_seconds=settings.current_seconds,
             absolute=settings.spike_absolute, ratio=settings.spike_ratio, capped=evidence.capped_logs, scope=scope),
-        lambda: sanitize_metrics(request_evidence(requests, evidence.metrics, "observed_at", scope)),
-        lambda: sanitize_changes(request_evidence(requests, evidence.changes, scope=scope)),
         lambda: sanitize_slow_sql(_slow_sql_rows(requests, evidence, scope, database_slow_sql, projects)),
+        lambda: metrics.select("request_id", "evidence_id", "metric", "observed_at", "metric_seq"),
+        lambda: changes.select("request_id", "evidence_id", "type", "occurred_at", "change_seq"),
+        lambda: sanitize_metrics(B.keep_metrics(metrics, caps[2])),
+        lambda: sanitize_changes(B.keep_changes(changes, caps[3])),
     )
-    caps = settings.caps
     kept = {
         "log_clusters": B.keep_clusters(clusters, caps[0]), "slow_sql": B.keep_slow_sql(slow_sql, caps[1]),
-        "metrics": B.keep_metrics(metrics, caps[2]), "change_events": B.keep_changes(changes, caps[3]),
+        "metrics": kept_metrics, "change_events": kept_changes,
     }
-    rows, rules = materialize_all(
-        lambda: evidence_rows(kept["log_clusters"], kept["metrics"], kept["slow_sql"], kept["change_events"], health),
-        lambda: rule_candidates(
-            changes, clusters, slow_sql, metrics, few_requests=few, deploy_back=settings.deploy_back,
-            deploy_forward=settings.deploy_forward, sql_window=settings.sql_window),
-    )
-    entries = timeline_entries(
-        kept["change_events"], kept["log_clusters"], kept["metrics"], kept["slow_sql"], health)
     unavailable = (
         unavailable_sources(requests, evidence.status) if evidence.status is not None
         else spark.createDataFrame([], "request_id string, unavailable_sources array<string>")
     )
     return Diagnosis(
-        requests=requests, clusters=clusters, kept=kept, evidence=rows,
-        timeline=order_short_timeline(entries), candidates=materialize(resolved_candidates(rules, rows)),
-        budget=B.budget_report(requests, clusters, slow_sql, metrics, changes, caps),
-        unavailable=unavailable, health=health,
+        requests=requests, clusters=clusters, kept=kept, unavailable=unavailable, health=written_health,
         logs=evidence.logs if evidence.capped_logs is None else evidence.capped_logs, settings=settings,
-        changes=changes, metrics=metrics, slow_sql=slow_sql,
+        changes=sanitize_changes(changes), metrics=sanitize_metrics(metrics), slow_sql=slow_sql,
+        spots={"metrics": metric_spots, "change_events": change_spots}, few=scope.small,
     )
 
 

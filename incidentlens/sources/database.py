@@ -79,14 +79,17 @@ def route_slow_sql(projects: DataFrame, database_rows: DataFrame, fallback_rows:
 
 def mysql_health(status: DataFrame) -> DataFrame:
     """Connections per snapshot from server status values; only all-digit values count."""
-    numeric = status.where(F.col("value").rlike(r"\A[0-9]+\z")).select(
-        "project_id", "environment", "snapshot_id", "captured_at", F.lower("name").alias("name"), F.col("value").cast("long").alias("value"))
+    # the check stands in the column and not in a filter, which would work the value out twice
+    numeric = status.select(
+        "project_id", "environment", "snapshot_id", "captured_at", F.lower("name").alias("name"),
+        F.when(F.col("value").rlike(r"\A[0-9]+\z"), F.col("value").cast("long")).alias("value"))
 
     def value_of(name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("name") == name, F.col("value"))), F.lit(0))
 
     counted = numeric.groupBy("project_id", "environment", "snapshot_id", "captured_at").agg(
-        value_of("threads_running").alias("active_connections"), value_of("threads_connected").alias("_connected"))
+        value_of("threads_running").alias("active_connections"), value_of("threads_connected").alias("_connected"),
+        F.count("value").alias("_numbers")).where("_numbers > 0")
     return counted.select(
         "project_id", "environment", "snapshot_id", "captured_at", "active_connections",
         F.greatest(F.lit(0).cast("long"), F.col("_connected") - F.col("active_connections")).alias("idle_connections"),

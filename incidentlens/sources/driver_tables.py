@@ -28,6 +28,10 @@ def _s(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def _month(ts: str) -> Column:
+    return F.substring(F.to_date(ts).cast("string"), 1, 7)
+
+
 @lru_cache(maxsize=32)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -251,7 +255,7 @@ def pg_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
     return _scoped(table(spark, sf_dir, "orders"), "o_custkey").select(
         "project_id", "environment",
-        _text(F.col("project_id"), "/", F.col("environment"), "/", F.date_format("o_orderdate", "yyyy-MM")).alias("snapshot_id"),
+        _text(F.col("project_id"), "/", F.col("environment"), "/", _month("o_orderdate")).alias("snapshot_id"),
         (month + F.expr("INTERVAL '60' SECOND")).alias("captured_at"),
         F.col("o_orderkey").alias("pid"),
         F.when(status == "O", "active").when(status == "F", "idle").otherwise("idle in transaction").alias("state"),
@@ -265,7 +269,7 @@ def pg_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pg_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured locks of the same snapshots."""
     return _scoped(table(spark, sf_dir, "orders"), "o_custkey").select(
-        _text(F.col("project_id"), "/", F.col("environment"), "/", F.date_format("o_orderdate", "yyyy-MM")).alias("snapshot_id"),
+        _text(F.col("project_id"), "/", F.col("environment"), "/", _month("o_orderdate")).alias("snapshot_id"),
         F.col("o_orderkey").alias("pid"), F.lit("tuple").alias("locktype"),
         _text("password=", F.col("o_orderpriority")).alias("mode"),
         (F.col("o_orderstatus") != "P").alias("granted"),
@@ -277,8 +281,8 @@ def mysql_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     mod = F.col("event_id") % 4
     return events(spark, sf_dir).select(
         "project_id", "environment",
-        _text(F.col("project_id"), "/", F.col("environment"), "/", F.date_format("ts", "yyyy-MM-dd")).alias("snapshot_id"),
-        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("captured_at"),
+        _text(F.col("project_id"), "/", F.col("environment"), "/", F.to_date("ts").cast("string")).alias("snapshot_id"),
+        F.to_date("ts").cast("timestamp_ntz").alias("captured_at"),
         F.when(mod == 0, "Threads_connected").when(mod == 1, "THREADS_RUNNING").when(mod == 2, "Uptime")
         .otherwise("Version").alias("name"),
         F.when(F.col("k") % 10 == 3, "n/a").otherwise(_s("k")).alias("value"),
