@@ -105,13 +105,11 @@ def normalize_message(message: Column, already_redacted: Column | None = None) -
 
 def top_stack_frame(stack: Column) -> Column:
     """The first ``at …`` line of a stack trace without its line number."""
-    # white space behind a line break takes in the rest of a break of two characters
-    frame = F.regexp_extract(
-        stack,
-        rf"(?:\A|[{_LINE_BREAK_CHARS}])[\x00-\x20]*at ([\x00-\t\x0e-\x20]*"
-        rf"[^\x00-\x20{_LINE_BREAK_CHARS}][^{_LINE_BREAK_CHARS}]*)",
-        1,
-    )
+    # white space behind a line break takes in the rest of a break of two characters; a dot stops at all breaks but two, which
+    # are cut off by hand: repeating a class of all that is no break took two fifths of a cluster's text work
+    line = F.regexp_extract(
+        stack, rf"(?:\A|[{_LINE_BREAK_CHARS}])[\x00-\x20]*at ([\x00-\t\x0e-\x20]*[^\x00-\x20{_LINE_BREAK_CHARS}].*)", 1)
+    frame = F.substring_index(F.substring_index(line, "\x0b", 1), "\f", 1)
     # a frame has visible characters, and so has what is left of it
     return F.nullif(trim_control(F.regexp_replace(trim_control(frame), r":\d+\)", ")")), F.lit(""))
 

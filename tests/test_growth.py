@@ -1,5 +1,8 @@
 """Work that a query does not need is not done, and evidence may be cleaned before requests repeat it."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from incidentlens import constants as C
@@ -55,6 +58,19 @@ def test_addresses_are_masked_from_the_start_of_a_run_or_of_the_rest_of_one(spar
     assert [r.got for r in rows] == [r.want for r in rows]
 
 
+def test_frames_are_found_without_repeating_a_class_of_no_break(spark):
+    rng = random.Random(5)
+    pieces = ["at ", "at", "\n", "\r\n", "\x0b", "\f", "\x85", "\u2028", "\u2029", " ", "\t", "\x00", "\x1f", "a.B(C.java:12)", ":3)", "x", "汉", "\U0001f600", "E: m", "  at "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    breaks = X._LINE_BREAK_CHARS
+    plain = F.regexp_extract("text", rf"(?:\A|[{breaks}])[\x00-\x20]*at ([\x00-\t\x0e-\x20]*[^\x00-\x20{breaks}][^{breaks}]*)", 1)
+    want = F.nullif(X.trim_control(F.regexp_replace(X.trim_control(plain), r":\d+\)", ")")), F.lit(""))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(X.top_stack_frame(F.col("text")).alias("got"), want.alias("want"))
+    found = rows.collect()
+    assert [r.got for r in found] == [r.want for r in found] and sum(r.got is not None for r in found) > 300
+    assert not re.search(r"\[\^[^\]]*\][*+]", rows.select("got")._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_snapshots_without_numbers_are_none(spark):
     rows = [("p", "e", "s", at(0), "Threads_connected", "9"), ("p", "e", "s", at(0), "threads_running", "n/a"),
             ("p", "e", "t", at(1), "threads_running", "n/a"), ("p", "e", "u", at(2), "Version", "8")]
