@@ -7,6 +7,7 @@ database sessions; ``conversations`` becomes stored reports and model answers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +59,8 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "java.lang.", name, "Exception: k=", _s("k"),
         "\n\tat com.example.S", mod.cast("string"), ".run(S.java:", _s("event_id"), ")",
     )
-    return events(spark, sf_dir).select(
+    # only errors have a stack to name k in, so only their JSON is read
+    return events(spark, sf_dir).withColumn("k", F.when(kind == "error", F.col("k"))).select(
         "project_id", "environment", F.col("ts").alias("occurred_at"),
         F.when(kind == "error", "ERROR").when(kind == "view", "WARN").when(kind == "click", "warn")
         .otherwise("INFO").alias("level"),
@@ -269,7 +271,7 @@ def pg_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pg_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured locks of the same snapshots."""
     return _scoped(table(spark, sf_dir, "orders"), "o_custkey").select(
-        _text(F.col("project_id"), "/", F.col("environment"), "/", _month("o_orderdate")).alias("snapshot_id"),
+        "project_id", _text(F.col("project_id"), "/", F.col("environment"), "/", _month("o_orderdate")).alias("snapshot_id"),
         F.col("o_orderkey").alias("pid"), F.lit("tuple").alias("locktype"),
         _text("password=", F.col("o_orderpriority")).alias("mode"),
         (F.col("o_orderstatus") != "P").alias("granted"),
@@ -291,14 +293,14 @@ def mysql_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mysql_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg_activity(spark, sf_dir).where(F.col("xact_start").isNotNull()).select(
-        "snapshot_id", "captured_at", F.col("pid").alias("trx_id"),
+        "project_id", "snapshot_id", "captured_at", F.col("pid").alias("trx_id"),
         F.col("xact_start").alias("trx_started"), F.col("query").alias("trx_query"),
     )
 
 
 def mysql_lock_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg_locks(spark, sf_dir).where(~F.col("granted")).select(
-        "snapshot_id", F.col("pid").alias("blocking_id"), (F.col("pid") + 1).alias("requesting_id")
+        "project_id", "snapshot_id", F.col("pid").alias("blocking_id"), (F.col("pid") + 1).alias("requesting_id")
     )
 
 
@@ -394,17 +396,23 @@ def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of every snapshot of the projects' own kind of database; one project's did not answer."""
+    """Health of every snapshot of the projects' own kind of database; one project's did not answer.
+
+    Findings are counted for the snapshots of those projects only, the others would meet no snapshot.
+    """
     from incidentlens.sources import database as D
 
-    pg = D.with_findings(
-        D.pg_health(pg_activity(spark, sf_dir)), lock_waits=D.pg_lock_waits(pg_locks(spark, sf_dir)))
-    mysql = D.with_findings(
-        D.mysql_health(mysql_status(spark, sf_dir)), long_transactions=D.mysql_long_transactions(mysql_transactions(spark, sf_dir)),
-        lock_waits=D.mysql_lock_waits(mysql_lock_waits(spark, sf_dir)))
     number = F.col("project_id")
-    return pg.where(number == "svc-2").unionByName(mysql.where(number.isin("svc-1", "svc-4"))).withColumn(
-        "available", number != "svc-1")
+
+    def of(source: Callable[[SparkSession, str], DataFrame], *owners: str) -> DataFrame:
+        return source(spark, sf_dir).where(number.isin(*owners))
+
+    pg = D.with_findings(D.pg_health(of(pg_activity, "svc-2")), lock_waits=D.pg_lock_waits(of(pg_locks, "svc-2")))
+    mysql = D.with_findings(
+        D.mysql_health(of(mysql_status, "svc-1", "svc-4")),
+        long_transactions=D.mysql_long_transactions(of(mysql_transactions, "svc-1", "svc-4")),
+        lock_waits=D.mysql_lock_waits(of(mysql_lock_waits, "svc-1", "svc-4")))
+    return pg.unionByName(mysql).withColumn("available", number != "svc-1")
 
 
 def daily_slow_sql(spark: SparkSession, sf_dir: str) -> DataFrame:

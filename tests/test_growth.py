@@ -12,7 +12,9 @@ from incidentlens.operators.joins import request_evidence, wanted_evidence
 from incidentlens.operators.sanitize import sanitize_metrics
 from incidentlens.plans.diagnose import Evidence, diagnose
 from incidentlens.session import request_scope
+from incidentlens.sources import driver_tables as E
 from incidentlens.sources.database import mysql_health
+from conftest import TESTDATA
 from fixtures import at, change, frame, log, metric, request, sql
 
 
@@ -76,3 +78,33 @@ def test_snapshots_without_numbers_are_none(spark):
             ("p", "e", "t", at(1), "threads_running", "n/a"), ("p", "e", "u", at(2), "Version", "8")]
     found = mysql_health(spark.createDataFrame(rows, "project_id string, environment string, snapshot_id string, captured_at timestamp_ntz, name string, value string"))
     assert sorted((r.snapshot_id, r.active_connections, r.idle_connections) for r in found.collect()) == [("s", 0, 9), ("u", 0, 0)]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_secret_words_are_found_by_one_search(spark):
+    words = ["password", "PassWd", "pwd", "TOKEN", "secret", "api_key", "API-KEY", "apikey", "authorization", "toKen", "pass", "apikeys"]
+    texts = [f"{head}{word}{sign}x1 y" for head in ("", "my", "pa", "\u00e9") for word in words for sign in ("=", ' : "', "", ":\n")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(X.redact(F.col("text")).alias("got"), F.regexp_replace("text", C.SECRET_PATTERNS[1], C.MASK).alias("want"))
+    assert all(r.got == r.want for r in got.collect())
+    # once to look for bearer; every further word used to lower the text again
+    assert _optimized(df.select(X.redact(F.col("text")).alias("got"))).count("lower(") == 1
+
+
+def test_texts_with_nothing_to_mask_skip_array_functions(spark):
+    rows = [("at a.B(C.java:1)", "E"), ("token=abc", None), (None, "x@y.com"), (None, None), ("bearer", "abc 13800138000")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(X.redact_each(F.col("a"), F.col("b")).alias("got"), F.array(X.redact(F.col("a")), X.redact(F.col("b"))).alias("want"))
+    assert all(r.got == r.want for r in got.collect())
+    assert "CASE WHEN" in _optimized(df.select(X.redact_each(F.col("a"), F.col("b")).alias("got"))).split("transform(")[0]
+
+
+def test_health_findings_are_counted_for_the_projects_that_have_snapshots(spark):
+    """Every scan of the orders keeps the rows of its projects before they are counted."""
+    plan = _optimized(E.health_snapshots(spark, str(TESTDATA / "sf0.001")))
+    below = [part.splitlines()[-2] for part in plan.split("Relation [")[:-1]]
+    scans = [line for line in below if "o_custkey" in line]
+    assert len(scans) == 4 and all("Filter" in line and "svc-" in line for line in scans)
