@@ -14,6 +14,7 @@ from incidentlens.plans.diagnose import Evidence, diagnose
 from incidentlens.session import request_scope
 from incidentlens.sources import driver_tables as E
 from incidentlens.sources.database import mysql_health
+from incidentlens.sources.evidence import source_labels
 from conftest import TESTDATA
 from fixtures import at, change, frame, log, metric, request, sql
 
@@ -108,3 +109,9 @@ def test_health_findings_are_counted_for_the_projects_that_have_snapshots(spark)
     below = [part.splitlines()[-2] for part in plan.split("Relation [")[:-1]]
     scans = [line for line in below if "o_custkey" in line]
     assert len(scans) == 4 and all("Filter" in line and "svc-" in line for line in scans)
+
+
+def test_states_of_sources_read_the_properties_of_an_event_once(spark):
+    plan = _optimized(source_labels(E.source_status(spark, str(TESTDATA / "sf0.001"))))
+    (scan,) = [line for line in plan.splitlines() if "Filter" in line]
+    assert scan.count("get_json_object") == 1
